@@ -1 +1,4 @@
+from vacanta.workloads import texts  # noqa: F401
+from vacanta.workloads.registry import ORACLES, QUERIES
 
+__all__ = ["ORACLES", "QUERIES"]
