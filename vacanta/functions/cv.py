@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vacanta.columns import half_up, says, strings, strip
+from vacanta.columns import half_up, let, says, strings, strip
 from vacanta.functions.privacy import has_email, has_phone
 from vacanta.functions.relevance import shown_words
 from vacanta.functions.text import fold
@@ -15,17 +15,17 @@ KEYWORDS = 12
 
 def has_keyword(folded_cv: Column, keyword: Column) -> Column:
     """Each word of the keyword as a whole word, plurals counted; a slash means alternatives."""
-    cv = F.regexp_replace(folded_cv, r"(?<![a-z0-9_])a\s*/\s*b(?![a-z0-9_])", "a/b")
+    text = F.regexp_replace(folded_cv, r"(?<![a-z0-9_])a\s*/\s*b(?![a-z0-9_])", "a/b")
     k = F.regexp_replace(fold(keyword), r"(?<![a-z0-9_])a\s*/\s*b(?![a-z0-9_])", "a/b")
     options = F.filter(F.when(F.contains(k, F.lit("a/b")), F.array(k)).otherwise(F.split(k, r"\s*/\s*", -1)), lambda a: a != "")
 
-    def found(alt: Column) -> Column:
+    def found(cv: Column, alt: Column) -> Column:
         words = F.filter(F.split(alt, "[^a-z0-9+#/]+", -1), lambda w: F.length(w) >= 2)
         stem = lambda w: F.when(F.length(w) > 3, F.regexp_replace(w, "s$", "")).otherwise(w)
         pattern = lambda w: F.concat(F.lit("(?:^|[^a-z0-9])"), F.regexp_replace(stem(w), r"([+])", r"\\$1"), F.lit("(?:s|x|es|ing)?(?![a-z0-9])"))
         return (F.size(words) > 0) & F.forall(words, lambda w: F.rlike(cv, pattern(w)))
 
-    return F.exists(options, found)
+    return let(text, lambda cv: F.exists(options, lambda alt: found(cv, alt)))
 
 
 def compare_keywords(text: Column, keywords: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from vacanta.columns import blank_to_null, says, strip
+from vacanta.columns import blank_to_null, let, says, strip
 from vacanta.functions.text import fold, unaccent
 from vacanta.rules import lines as R
 
@@ -84,7 +84,7 @@ def text_blocks(text: Column, bullet: str = "•", heading_length: int = 70) ->
         kind = F.when(heading, F.lit("heading")).otherwise(F.lit("paragraph"))
         return F.when(x["item"], F.concat(glue, entry)).otherwise(F.concat(F.lit(_SECTION), kind, F.lit(_ITEM), F.regexp_replace(x["line"], ":$", "")))
 
-    joined = F.array_join(F.transform(shaped(lines), marked), "")
+    joined = F.array_join(F.transform(let(lines, shaped), marked), "")
     blocks = F.filter(F.split(joined, _SECTION, -1), lambda b: b != "")
     cells = F.transform(blocks, lambda b: F.split(b, _ITEM, -1))
     none = F.lit(None)
@@ -109,10 +109,12 @@ HEADING_PATTERN = _heading_pattern()
 
 
 def _paragraphs(line: Column) -> Column:
-    sentences = F.regexp_extract_all(line, F.lit(r"[^.!?]+[.!?]+(\s|$)|[^.!?]+$"), F.lit(0))
-    count = F.ceil(F.size(sentences) / 3).cast("int")
-    grouped = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: strip(F.array_join(F.slice(sentences, 3 * i + 1, F.lit(3)), "")))
-    return F.when(F.size(sentences) == 0, F.array(line)).otherwise(grouped)
+    def grouped(sentences: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(sentences) / 3).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: strip(F.array_join(F.slice(sentences, 3 * i + 1, F.lit(3)), "")))
+
+    found = F.regexp_extract_all(line, F.lit(r"[^.!?]+[.!?]+(\s|$)|[^.!?]+$"), F.lit(0))
+    return let(found, lambda s: F.when(F.size(s) == 0, F.array(line)).otherwise(grouped(s)))
 
 
 def structure_text(text: Column) -> Column:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from vacanta.columns import pieces, strip, swap
+from vacanta.columns import pieces, swap
 from vacanta.rules import privacy as R
 
 
+# The first line that is not blank, when it looks like a name.
+NAME_ON_TOP = r"\A((?:[^\S\n]*\n)*)" + R.NAME_LINE.replace("^", "", 1).replace(r"\s", r"[^\S\n]").removesuffix("$") + r"(?=\n|\z)"
+
+
 def _phones_out(c: Column) -> Column:
     digits = lambda x: F.length(F.regexp_replace(x, "[^0-9]", ""))
     return F.array_join(
@@ -29,10 +33,7 @@ def redact(text: Column, names: Column | None = None) -> Column:
         quoted = F.transform(words, lambda w: F.regexp_replace(w, r"([.*+?^$\{\}()|\[\]\\])", r"\\$1"))
         pattern = F.concat(F.lit("(?i)(?<![A-Za-z0-9_])(?:"), F.array_join(quoted, "|"), F.lit(")(?![A-Za-z0-9_])"))
         out = F.when(F.size(words) > 0, F.regexp_replace(out, pattern, F.lit(P["name"]))).otherwise(out)
-    lines = F.split(out, "\n", -1)
-    first = F.array_position(F.transform(lines, lambda l: strip(l) != ""), True).cast("int")
-    renamed = F.transform(lines, lambda l, i: F.when((i == first - 1) & l.rlike(R.NAME_LINE), F.lit(P["name"])).otherwise(l))
-    return F.array_join(renamed, "\n")
+    return F.regexp_replace(out, NAME_ON_TOP, f"$1{P['name']}")
 
 
 def has_email(text: Column) -> Column:

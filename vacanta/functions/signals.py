@@ -1,14 +1,14 @@
 """Signals of a posting as column expressions: contract, remote work, experience, pay, title seniority.
 
-Functions whose name ends in `_in` take text that is folded already, so one fold serves several rules.
+Functions whose name ends in `_in` take text made by `rule_text`, so one pass serves several rules.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vacanta.columns import contexts, first_rule, group, half_up, pieces, says, tail
-from vacanta.functions.text import fold
+from vacanta.columns import contexts, first_rule, group, half_up, hears, let, pieces, says, tail
+from vacanta.functions.text import rule_text
 from vacanta.rules import signals as R
 
 
@@ -18,27 +18,27 @@ def contract_in(title: Column, explicit: Column, text: Column) -> Column:
     stated = F.coalesce(*[group(text, p) for p in R.CONTRACT_STATED])
     named = F.create_map(*[F.lit(x) for pair in R.CONTRACT_STATED_WORDS.items() for x in pair])
     return F.coalesce(
-        first_rule(title, loud),
-        first_rule(F.coalesce(explicit, F.lit("")), R.CONTRACT_WORDS),
-        first_rule(title, R.CONTRACT_WORDS),
+        first_rule(title, loud, test=hears),
+        first_rule(F.coalesce(explicit, F.lit("")), R.CONTRACT_WORDS, test=hears),
+        first_rule(title, R.CONTRACT_WORDS, test=hears),
         F.when(stated.isNotNull(), F.coalesce(F.try_element_at(named, F.regexp_replace(stated, "[- ]", "")), F.lit("unknown"))),
-        first_rule(text, R.CONTRACT_PROSE),
+        first_rule(text, R.CONTRACT_PROSE, test=hears),
         F.lit("unknown"),
     )
 
 
 def detect_contract(title: Column, explicit: Column | None = None, text: Column | None = None) -> Column:
     none = F.lit(None).cast("string")
-    return contract_in(fold(title), fold(explicit) if explicit is not None else none, F.coalesce(fold(text), F.lit("")) if text is not None else F.lit(""))
+    return contract_in(rule_text(title), rule_text(explicit) if explicit is not None else none, F.coalesce(rule_text(text), F.lit("")) if text is not None else F.lit(""))
 
 
 def remote_in(text: Column) -> Column:
     n = F.translate(text, "\u00a0\u202f", "  ")
-    return F.when(says(n, R.REMOTE_FULL), "remote").when(says(n, R.REMOTE_DENIED), F.lit(None)).when(says(n, R.REMOTE_SOME), "hybrid")
+    return F.when(hears(n, R.REMOTE_FULL), "remote").when(hears(n, R.REMOTE_DENIED), F.lit(None)).when(hears(n, R.REMOTE_SOME), "hybrid")
 
 
 def detect_remote(text: Column) -> Column:
-    return remote_in(fold(text))
+    return remote_in(rule_text(text))
 
 
 def years_text(text: Column) -> Column:
@@ -52,37 +52,45 @@ def _floor_years(c: Column) -> Column:
 
 def experience_in(text: Column) -> Column:
     """First duration in years that is an experience asked: struct(min, max), nulls when nothing is said."""
+    duration = R.DURATION.replace(r"\b", "")
+
+    def parts(x: Column) -> Column:
+        return F.struct(
+            x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after"),
+            F.regexp_extract(x["m"], duration, 1).alias("prefix"),
+            _floor_years(F.regexp_extract(x["m"], duration, 2)).alias("low"),
+            _floor_years(group(x["m"], duration, 4)).alias("high"),
+        )
 
     def read(x: Column) -> Column:
-        prefix = F.regexp_extract(x["m"], R.DURATION.replace(r"\b", ""), 1)
-        low = _floor_years(F.regexp_extract(x["m"], R.DURATION.replace(r"\b", ""), 2))
-        high = _floor_years(group(x["m"], R.DURATION.replace(r"\b", ""), 4))
-        ceiling = F.trim(prefix).rlike(R.CEILING)
-        about = says(F.concat(x["before"], x["m"], x["after"]), R.EXPERIENCE_NEAR)
-        lead = F.when(prefix != "", F.substring(x["m"], F.lit(1), F.length(prefix) + 1)).otherwise(F.lit(""))
-        other = says(F.concat(tail(x["before"], 30), lead), R.NOT_EXPERIENCE)
-        upper = F.when((high >= low) & (high <= R.YEARS_HIGH_MAX), high)
+        ceiling = F.trim(x["prefix"]).rlike(R.CEILING)
+        about = hears(F.concat(x["before"], x["m"], x["after"]), R.EXPERIENCE_NEAR)
+        lead = F.when(x["prefix"] != "", F.substring(x["m"], F.lit(1), F.length(x["prefix"]) + 1)).otherwise(F.lit(""))
+        other = hears(F.concat(tail(x["before"], 30), lead), R.NOT_EXPERIENCE)
+        low = F.when(ceiling, F.lit(0)).otherwise(x["low"])
+        upper = F.when((x["high"] >= x["low"]) & (x["high"] <= R.YEARS_HIGH_MAX), x["high"])
         return F.struct(
-            (about & ~other & F.coalesce(F.when(ceiling, F.lit(0)).otherwise(low) <= R.YEARS_MAX, F.lit(False))).alias("ok"),
-            F.when(ceiling, F.lit(0)).otherwise(low).cast("int").alias("min"),
-            F.when(ceiling, low).otherwise(upper).cast("int").alias("max"),
+            (F.coalesce(low <= R.YEARS_MAX, F.lit(False)) & about & ~other).alias("ok"),
+            low.cast("int").alias("min"),
+            F.when(ceiling, x["low"]).otherwise(upper).cast("int").alias("max"),
         )
 
-    found = F.filter(F.transform(contexts(pieces(text, R.DURATION), 110, 70), read), lambda x: x["ok"])
-    first = F.get(found, F.lit(0))
+    found = F.filter(F.transform(F.transform(contexts(pieces(text, R.DURATION), 110, 70), parts), read), lambda x: x["ok"])
+    # A text without a digit holds no duration: the pattern is not tried on it.
+    first = F.when(text.rlike("[0-9]"), F.get(found, F.lit(0)))
     return F.struct(first["min"].alias("min"), first["max"].alias("max"))
 
 
 def detect_experience(text: Column) -> Column:
-    return experience_in(years_text(fold(text)))
+    return experience_in(years_text(rule_text(text)))
 
 
 def level_in(text: Column) -> Column:
-    return F.when(says(text, R.JUNIOR_TEXT), "junior").when(says(text, R.EXPERIENCED_TEXT), "experienced")
+    return F.when(hears(text, R.JUNIOR_TEXT), "junior").when(hears(text, R.EXPERIENCED_TEXT), "experienced")
 
 
 def detect_experience_level(text: Column) -> Column:
-    return level_in(fold(text))
+    return level_in(rule_text(text))
 
 
 def experience_label(low: Column, high: Column) -> Column:
@@ -108,12 +116,12 @@ def experience_text(low: Column, high: Column, level: Column, estimate: Column |
 
 
 def seniority_in(title: Column) -> Column:
-    return first_rule(title, R.TITLE_YEARS, F.lit(0))
+    return first_rule(title, R.TITLE_YEARS, F.lit(0), hears)
 
 
 def title_seniority(title: Column) -> Column:
     """Least years of experience a title implies."""
-    return seniority_in(fold(title))
+    return seniority_in(rule_text(title))
 
 
 def _plain_amount(c: Column) -> Column:
@@ -130,39 +138,47 @@ def salary_in(text: Column) -> Column:
     """Pay as a posting writes it, from folded text: amount or range, gross or net, a month or a year."""
     n = F.translate(text, "\u00a0\u202f–—‑−", "  ----")
 
-    def read(x: Column) -> Column:
-        g = {k: group(x["m"], R.SALARY, k) for k in range(1, 7)}
-        around = F.concat(tail(x["before"], 45), x["m"], F.substring(x["after"], 1, 30))
-        paid = says(around, R.PAY_NEAR) & ~says(F.concat(x["before"], x["m"]), R.NOT_PAY)
-        low = F.when(g[1].isNotNull(), _thousands(g[1], F.coalesce(g[2], g[4]))).otherwise(_thousands(g[5], g[6]))
-        high = F.when(g[3].isNotNull(), _thousands(g[3], F.coalesce(g[4], g[2])))
-        unit = F.coalesce(g[2], g[4], g[6])
-        euros = F.when(unit.isNull() | F.coalesce(g[6].contains("€"), F.lit(False)), _plain_amount(F.coalesce(g[1], g[5]))).otherwise(F.lit(0.0))
-        monthly = says(around, R.PAY_MONTHLY) | ((euros >= 1000) & (euros < 15000) & ~says(around, R.PAY_YEARLY))
-
-        def sound(v: Column) -> Column:
-            return F.when(monthly, v.between(*R.MONTHLY_RANGE)).otherwise(v.between(*R.YEARLY_RANGE))
-
-        ok = paid & low.isNotNull() & sound(low) & F.coalesce(sound(high) & (high >= low), F.lit(True))
-
-        def shown(v: Column) -> Column:
-            month = F.concat(F.translate(F.format_number(half_up(v * 1000).cast("double"), 0), ",", " "), F.lit(" €"))
-            return F.when(monthly, month).otherwise(F.concat(half_up(v).cast("string"), F.lit(" k€")))
-
-        span = F.when(monthly, F.concat(shown(low), F.lit(" à "), shown(high))).otherwise(
-            F.concat(half_up(low).cast("string"), F.lit(" à "), half_up(high).cast("string"), F.lit(" k€"))
+    def parts(x: Column) -> Column:
+        return F.struct(
+            *[group(x["m"], R.SALARY, k).alias(f"g{k}") for k in range(1, 7)],
+            F.concat(tail(x["before"], 45), x["m"], F.substring(x["after"], 1, 30)).alias("around"),
+            F.concat(x["before"], x["m"]).alias("until"),
         )
-        value = F.when(high.isNotNull() & (high != low), span).otherwise(shown(low))
-        gross = F.when(says(around, "brut|gross"), " brut").when(says(around, r"net\b"), " net").otherwise("")
-        period = F.when(monthly, " par mois").otherwise(" par an")
-        return F.when(ok, F.concat(value, gross, period))
 
-    found = F.filter(F.transform(contexts(pieces(n, R.SALARY), 50, 30, shortest=2), read), lambda x: x.isNotNull())
-    return F.get(found, F.lit(0))
+    def amounts(x: Column) -> Column:
+        unit = F.coalesce(x["g2"], x["g4"], x["g6"])
+        bare = unit.isNull() | F.coalesce(x["g6"].contains("€"), F.lit(False))
+        euros = F.when(bare, _plain_amount(F.coalesce(x["g1"], x["g5"]))).otherwise(F.lit(0.0))
+        return F.struct(
+            x["around"].alias("around"),
+            F.when(x["g1"].isNotNull(), _thousands(x["g1"], F.coalesce(x["g2"], x["g4"]))).otherwise(_thousands(x["g5"], x["g6"])).alias("low"),
+            F.when(x["g3"].isNotNull(), _thousands(x["g3"], F.coalesce(x["g4"], x["g2"]))).alias("high"),
+            (hears(x["around"], R.PAY_MONTHLY) | ((euros >= 1000) & (euros < 15000) & ~hears(x["around"], R.PAY_YEARLY))).alias("monthly"),
+        )
+
+    def sound(v: Column, monthly: Column) -> Column:
+        return F.when(monthly, v.between(*R.MONTHLY_RANGE)).otherwise(v.between(*R.YEARLY_RANGE))
+
+    def is_sound(x: Column) -> Column:
+        high = F.coalesce(sound(x["high"], x["monthly"]) & (x["high"] >= x["low"]), F.lit(True))
+        return F.coalesce(x["low"].isNotNull() & sound(x["low"], x["monthly"]) & high, F.lit(False))
+
+    def shown(x: Column) -> Column:
+        month = lambda v: F.concat(F.translate(F.format_number(half_up(v * 1000).cast("double"), 0), ",", " "), F.lit(" €"))
+        whole = lambda v: half_up(v).cast("string")
+        span = F.when(x["monthly"], F.concat(month(x["low"]), F.lit(" à "), month(x["high"]))).otherwise(F.concat(whole(x["low"]), F.lit(" à "), whole(x["high"]), F.lit(" k€")))
+        single = F.when(x["monthly"], month(x["low"])).otherwise(F.concat(whole(x["low"]), F.lit(" k€")))
+        gross = F.when(hears(x["around"], "brut|gross"), " brut").when(hears(x["around"], r"net\b"), " net").otherwise("")
+        return F.concat(F.when(x["high"] != x["low"], span).otherwise(single), gross, F.when(x["monthly"], " par mois").otherwise(" par an"))
+
+    near = F.transform(contexts(pieces(n, R.SALARY), 50, 30, shortest=2), parts)
+    paid = F.filter(near, lambda x: hears(x["around"], R.PAY_NEAR) & ~hears(x["until"], R.NOT_PAY))
+    first = F.get(F.filter(F.transform(paid, amounts), is_sound), F.lit(0))
+    return F.when(n.rlike("[0-9]"), let(first, lambda x: F.when(x.isNotNull(), shown(x))))
 
 
 def detect_salary(text: Column) -> Column:
-    return salary_in(fold(text))
+    return salary_in(rule_text(text))
 
 
 _GROUPED = r"(\d{1,3}(?:[ \u00a0\u202f]\d{3})*|\d+)(?:,\d+)?"
@@ -189,11 +205,11 @@ def is_training(title: Column) -> Column:
 
 
 def is_student(title_folded: Column, contract: Column) -> Column:
-    return F.coalesce(contract.isin("stage", "alternance"), F.lit(False)) | says(title_folded, R.STUDENT_TITLE)
+    return F.coalesce(contract.isin("stage", "alternance"), F.lit(False)) | hears(title_folded, R.STUDENT_TITLE)
 
 
 def has_junior_title(title_folded: Column) -> Column:
-    return says(title_folded, R.JUNIOR_TITLE)
+    return hears(title_folded, R.JUNIOR_TITLE)
 
 
 def is_junior(title: Column, years: Column, level: Column, asked: Column) -> Column:
@@ -206,11 +222,11 @@ def is_junior(title: Column, years: Column, level: Column, asked: Column) -> Col
 def with_signals(df: DataFrame, title: str = "title", text: str = "text", explicit: str | None = None) -> DataFrame:
     """Adds contract, remote, experience and pay columns; each text is folded once."""
     folded = df.withColumns({
-        "_title": fold(F.col(title)),
-        "_text": F.coalesce(fold(F.col(text)), F.lit("")),
+        "_title": rule_text(F.col(title)),
+        "_text": F.coalesce(rule_text(F.col(text)), F.lit("")),
     })
     years = folded.withColumn("_years", experience_in(years_text(F.col("_text"))))
-    stated = fold(F.col(explicit)) if explicit else F.lit(None).cast("string")
+    stated = rule_text(F.col(explicit)) if explicit else F.lit(None).cast("string")
     return years.withColumns({
         "contract": contract_in(F.col("_title"), stated, F.col("_text")),
         "remote_text": remote_in(F.col("_text")),

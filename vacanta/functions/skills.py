@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from vacanta.columns import first_rule, says, strings
+from vacanta.columns import first_rule, let, says, strings
 from vacanta.functions.text import fold, skill_key, words_key
 from vacanta.rules import skills as R
 
@@ -49,14 +49,14 @@ def skill_label(name: Column) -> Column:
 
 def phrases(key_text: Column, max_words: int) -> Column:
     """Every different run of 1 to `max_words` words of a text already keyed by `skill_key`."""
-    words = F.filter(F.split(key_text, " ", -1), lambda w: w != "")
-    size = F.size(words)
-
-    def runs(n: int) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1)))
-        return F.when(size >= n, F.transform(at, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(strings([]))
+    def runs(words: Column, n: int) -> Column:
+        if n == 1:
+            return words
+        last = F.greatest(F.size(words) - (n - 1), F.lit(1))
+        return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(strings([]))
 
-    return F.array_distinct(F.flatten(F.array(*[runs(n) for n in range(1, max_words + 1)])))
+    words = F.filter(F.split(key_text, " ", -1), lambda w: w != "")
+    return let(words, lambda w: F.array_distinct(F.flatten(F.array(*[runs(w, n) for n in range(1, max_words + 1)]))))
 
 
 __all__ = ["skill_alias", "skill_name", "canonical_skill", "spellings", "is_countable_skill", "skill_label", "phrases", "fold"]

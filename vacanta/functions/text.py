@@ -31,6 +31,11 @@ def fold(c: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), "[\u0300-\u036f]", "")
 
 
+def rule_text(c: Column) -> Column:
+    """Folded text for the word rules: letters outside ASCII that are left (œ, ß…) never belong to a word."""
+    return F.regexp_replace(fold(c), r"[\p{L}\p{N}&&[^\x00-\x7F]]", "¤")
+
+
 def unaccent(c: Column) -> Column:
     """Accents removed, case kept."""
     upper = "".join(ch.upper() if len(ch.upper()) == 1 else ch for ch in ACCENTED)

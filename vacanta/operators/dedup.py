@@ -117,7 +117,7 @@ def title_words(title: Column, company: Column, noise: list[str] = V.TITLE_NOISE
     """Words of a title that tell offers of one company apart."""
     drop = F.array_union(strings(noise), F.split(fold(company), "[^a-z0-9]+", -1))
     words = F.split(swap(fold(title), V.TITLE_MARKERS, " "), "[^a-z0-9]+", -1)
-    return F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(drop, w))))
+    return F.array_sort(F.array_except(F.filter(words, lambda w: F.length(w) > 2), drop))
 
 
 def _by_rarity(words: Column) -> Column:

@@ -138,7 +138,7 @@ def part_titles(spark, sf):
         SELECT {Q.first_rule('h', SR.TITLE_YEARS, '0')} AS years, {Q.matches('h', SR.JUNIOR_TITLE)} AS junior, {Q.matches('h', SR.STUDENT_TITLE)} AS student, count(*) AS n FROM t GROUP BY ALL""",
 )
 def title_seniority(spark, sf):
-    t = part_titles(spark, sf).withColumn("h", T.fold(F.col("title")))
+    t = part_titles(spark, sf).withColumn("h", T.rule_text(F.col("title")))
     return t.groupBy(S.seniority_in(F.col("h")).alias("years"), S.has_junior_title(F.col("h")).alias("junior"), S.is_student(F.col("h"), F.lit("cdi")).alias("student")).agg(F.count("*").alias("n"))
 
 
