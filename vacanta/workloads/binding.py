@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from vacanta.columns import let
 from vacanta.functions.text import first_line, skill_key
 from vacanta.workloads import sqltext as Q
 
@@ -49,11 +50,14 @@ OFFERS = f"""offers AS (
 
 def with_skills(df: DataFrame) -> DataFrame:
     """Skills an offer lists: the longer words of its title (tools) and its pairs of words (methods)."""
+    def listed(words: Column) -> Column:
+        singles = F.transform(F.filter(words, lambda w: F.length(w) >= 5), lambda w: F.struct(w.alias("name"), F.lit("outil").alias("kind")))
+        at = F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1)))
+        pairs = F.transform(at, lambda i: F.struct(F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)).alias("name"), F.lit("methode").alias("kind")))
+        return F.when(F.size(words) >= 2, F.concat(singles, pairs)).otherwise(singles)
+
     words = F.filter(F.split(skill_key(F.col("title")), " ", -1), lambda w: w != "")
-    singles = F.transform(F.filter(words, lambda w: F.length(w) >= 5), lambda w: F.struct(w.alias("name"), F.lit("outil").alias("kind")))
-    at = F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1)))
-    pairs = F.when(F.size(words) >= 2, F.transform(at, lambda i: F.struct(F.array_join(F.slice(words, i, F.lit(2)), " ").alias("name"), F.lit("methode").alias("kind"))))
-    return df.withColumn("skills", F.concat(singles, F.coalesce(pairs, F.array().cast("array<struct<name:string,kind:string>>"))))
+    return df.withColumn("skills", let(words, listed))
 
 
 # Words of titles and texts, and the skills drawn from titles, for the oracles.
