@@ -8,7 +8,7 @@ from vacanta.columns import half_up
 from vacanta.functions import skills as K
 from vacanta.functions.text import skill_key
 from vacanta.rules import skills as R
-from vacanta.session import BROADCAST_ROWS, broadcast_if_small
+from vacanta.session import BROADCAST_ROWS, broadcast_if_small, settle
 
 
 def skill_vocabulary(offers: DataFrame, skills: str = "skills") -> DataFrame:
@@ -23,7 +23,8 @@ def skill_groups(vocab: DataFrame) -> DataFrame:
     """
     named = vocab.withColumn("name", K.skill_name(F.col("name"), F.col("kind")))
     keyed = named.withColumn("own", K.canonical_skill(F.col("name"))).filter(K.is_countable_skill(F.col("own")))
-    spelled = keyed.groupBy("own", "name", "kind").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
+    # Read several times below: kept once, as large as the vocabulary and no larger.
+    spelled = settle(keyed.groupBy("own", "name", "kind").agg(F.count("*").alias("n"), F.min("ord").alias("ord")))
     keys = spelled.groupBy("own").agg(F.min("ord").alias("ord"))
     words = F.split("own", " ")
     stem = F.when((F.size(words) > 1) & F.element_at(words, -1).isin(R.NEUTRAL), F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), " "))
@@ -86,6 +87,7 @@ def skill_demand(texts: DataFrame, groups: DataFrame, id: str = "offer_id", text
     `required` and `bonus` are the two parts of the text; a skill found only in the second is a wish.
     """
     ids = [id] if market is None else [market, id]
+    groups = settle(groups)
     forms = forms_of(groups)
     longest = longest_phrase(forms)
     parts = [("full", text)] + ([("required", required), ("bonus", bonus)] if required and bonus else [])

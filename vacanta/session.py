@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -41,9 +42,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage on reliable storage, so a lost executor never costs the whole plan."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once into a table of the shared checkpoint folder and read it back.
+
+    The lineage ends there, so a lost executor never costs the whole plan, several readers never repeat
+    the work, and the size of the table is known to the planner.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/vacanta-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
