@@ -173,7 +173,7 @@ def mix_shares(spark, sf):
     return M.mix(table(spark, sf, "orders").withColumnRenamed("o_orderstatus", "stage"), "stage")
 
 
-@query("contract_mix", f"SELECT o_orderpriority AS contract, c_mktsegment AS segment, count(*) AS count, {Q.percent('count(*)', 'sum(count(*)) OVER (PARTITION BY c_mktsegment)')} AS share FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority <> '4-NOT SPECIFIED' GROUP BY ALL")
+@query("contract_mix", f"SELECT contract, segment, count, {Q.percent('count', 'sum(count) OVER (PARTITION BY segment)')} AS share FROM (SELECT o_orderpriority AS contract, c_mktsegment AS segment, count(*) AS count FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority <> '4-NOT SPECIFIED' GROUP BY ALL)")
 def contract_mix(spark, sf):
     j = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return M.mix(j.select(F.col("o_orderpriority").alias("contract"), F.col("c_mktsegment").alias("segment")), "contract", ["segment"], "4-NOT SPECIFIED")
