@@ -8,7 +8,6 @@ from vacanta.columns import first_rule, strip
 from vacanta.functions.text import slug_guesses
 from vacanta.operators.filters import named_company
 from vacanta.rules import boards as R
-from vacanta.workloads import sqltext as Q
 
 BOARD = "struct<ats:string,token:string>"
 
@@ -71,15 +70,3 @@ def parse_company_list(lines: DataFrame, line: str = "line") -> DataFrame:
     flat = lines.select(F.explode(entries).alias("e")).select("e.name", "e.site")
     header = F.coalesce(F.col("name"), F.lit("")).rlike("^(?i:entreprise|company|nom|name|site)$")
     return flat.filter((F.col("name").isNotNull() | F.col("site").isNotNull()) & ~header)
-
-
-# The reading pages live on invented hosts, so their patterns are given as parameters.
-TEST_BOARDS = [("net", r"(?i)https?://(?:www\.|m\.|blog\.)?([a-z0-9-]+)\.example\.net"), ("org", r"(?i)https?://(?:www\.|m\.|blog\.)?([a-z0-9-]+)\.example\.org"), ("com", r"(?i)https?://(?:www\.|m\.|blog\.)?([a-z0-9-]+)\.example\.com")]
-TEST_PLATFORMS = [("mobile", r"(?i)//m\."), ("blog", r"(?i)//blog\.")]
-_HITS = ", ".join(f"lower(nullif(regexp_extract(url, {Q.lit(p)}, 1), '')) AS t_{a}" for a, p in TEST_BOARDS)
-_KEPT = {a: f"(t_{a} IS NOT NULL AND t_{a} NOT IN {Q.one_of(R.NOT_A_COMPANY)})" for a, _ in TEST_BOARDS}
-BOARD_SQL = f"""WITH t AS (SELECT page_id, {_HITS} FROM pages)
-SELECT page_id, CASE {' '.join(f"WHEN {_KEPT[a]} THEN '{a}'" for a, _ in TEST_BOARDS)} END AS ats, CASE {' '.join(f"WHEN {_KEPT[a]} THEN t_{a}" for a, _ in TEST_BOARDS)} END AS token FROM t"""
-CRAWL_SQL = f"""WITH t AS (SELECT {_HITS} FROM pages), u AS ({' UNION '.join(f"SELECT '{a}' AS ats, t_{a} AS token FROM t" for a, _ in TEST_BOARDS)})
-SELECT ats, token, 'crawl' AS via FROM u WHERE token IS NOT NULL AND token NOT IN {Q.one_of(R.NOT_A_COMPANY_IN_CRAWL)}"""
-PLATFORM_SQL = f"SELECT {Q.first_rule('url', [(p, n) for n, p in TEST_PLATFORMS])} AS platform, count(*) AS n FROM pages GROUP BY 1"

@@ -13,6 +13,7 @@ from vacanta.functions import signals as S
 from vacanta.functions import skills as K
 from vacanta.functions import text as T
 from vacanta.operators import market as M
+from vacanta.rules import boards as BR
 from vacanta.rules import privacy as PR
 from vacanta.rules import relevance as VR
 from vacanta.rules import signals as SR
@@ -337,17 +338,29 @@ def cv_grid(spark, sf):
     return g.select("conv_id", "turn", *[F.col(f"points_{n}").alias(n) for n in ("readable_text", "email", "phone", "length", "dates")])
 
 
-@query("board_of_pages", B.BOARD_SQL)
+# The reading pages live on invented hosts, so their patterns are given as parameters.
+TEST_BOARDS = [("net", r"(?i)https?://(?:www\.|m\.|blog\.)?([a-z0-9-]+)\.example\.net"), ("org", r"(?i)https?://(?:www\.|m\.|blog\.)?([a-z0-9-]+)\.example\.org"), ("com", r"(?i)https?://(?:www\.|m\.|blog\.)?([a-z0-9-]+)\.example\.com")]
+TEST_PLATFORMS = [("mobile", r"(?i)//m\."), ("blog", r"(?i)//blog\.")]
+_HITS = ", ".join(f"lower(nullif(regexp_extract(url, {Q.lit(p)}, 1), '')) AS t_{a}" for a, p in TEST_BOARDS)
+_KEPT = {a: f"(t_{a} IS NOT NULL AND t_{a} NOT IN {Q.one_of(BR.NOT_A_COMPANY)})" for a, _ in TEST_BOARDS}
+BOARD_SQL = f"""WITH t AS (SELECT page_id, {_HITS} FROM pages)
+SELECT page_id, CASE {' '.join(f"WHEN {_KEPT[a]} THEN '{a}'" for a, _ in TEST_BOARDS)} END AS ats, CASE {' '.join(f"WHEN {_KEPT[a]} THEN t_{a}" for a, _ in TEST_BOARDS)} END AS token FROM t"""
+CRAWL_SQL = f"""WITH t AS (SELECT {_HITS} FROM pages), u AS ({' UNION '.join(f"SELECT '{a}' AS ats, t_{a} AS token FROM t" for a, _ in TEST_BOARDS)})
+SELECT ats, token, 'crawl' AS via FROM u WHERE token IS NOT NULL AND token NOT IN {Q.one_of(BR.NOT_A_COMPANY_IN_CRAWL)}"""
+PLATFORM_SQL = f"SELECT {Q.first_rule('url', [(p, n) for n, p in TEST_PLATFORMS])} AS platform, count(*) AS n FROM pages GROUP BY 1"
+
+
+@query("board_of_pages", BOARD_SQL)
 def board_of_pages(spark, sf):
     p = table(spark, sf, "pages")
-    return p.select("page_id", B.board_from(F.col("url"), B.TEST_BOARDS).alias("b")).select("page_id", "b.ats", "b.token")
+    return p.select("page_id", B.board_from(F.col("url"), TEST_BOARDS).alias("b")).select("page_id", "b.ats", "b.token")
 
 
-@query("crawl_boards", B.CRAWL_SQL)
+@query("crawl_boards", CRAWL_SQL)
 def crawl_boards(spark, sf):
-    return B.crawl_candidates(table(spark, sf, "pages").select(F.concat(F.lit('{"url": "'), "url", F.lit('"}')).alias("line")), B.TEST_BOARDS)
+    return B.crawl_candidates(table(spark, sf, "pages").select(F.concat(F.lit('{"url": "'), "url", F.lit('"}')).alias("line")), TEST_BOARDS)
 
 
-@query("platforms", B.PLATFORM_SQL)
+@query("platforms", PLATFORM_SQL)
 def platforms(spark, sf):
-    return table(spark, sf, "pages").groupBy(B.platform_of(F.col("url"), B.TEST_PLATFORMS).alias("platform")).agg(F.count("*").alias("n"))
+    return table(spark, sf, "pages").groupBy(B.platform_of(F.col("url"), TEST_PLATFORMS).alias("platform")).agg(F.count("*").alias("n"))
