@@ -118,10 +118,12 @@ def top_skills(offers: DataFrame, k: int = 8, id: str = "offer_id", skills: str
     listed = offers.filter(F.size(skills) > 0).select(id, F.posexplode(skills).alias("at", "s"))
     named = listed.select(id, "at", F.col("s.kind").alias("kind"), K.skill_name(F.col("s.name"), F.col("s.kind")).alias("name"))
     keyed = named.withColumn("key", K.canonical_skill(F.col("name"))).filter("key <> ''")
-    first = keyed.groupBy("key").agg(F.min_by("kind", F.struct(id, "at")).alias("kind"))
-    names = keyed.groupBy("key", "name").agg(F.count("*").alias("n"), F.min(F.struct(id, "at")).alias("o"))
-    shown = names.groupBy("key").agg(F.max_by("name", F.struct("n")).alias("any"), F.max("n").alias("top"))
-    shown = names.join(shown, "key").filter("n = top").groupBy("key").agg(F.min_by("name", "o").alias("name"))
+    # One line per spelling, as large as the vocabulary: kept once for the three uses below.
+    spelled = settle(keyed.groupBy("key", "name", "kind").agg(F.count("*").alias("n"), F.min(F.struct(id, "at")).alias("o")))
+    first = spelled.groupBy("key").agg(F.min_by("kind", "o").alias("kind"))
+    names = spelled.groupBy("key", "name").agg(F.sum("n").alias("n"), F.min("o").alias("o"))
+    top = names.groupBy("key").agg(F.max("n").alias("top"))
+    shown = names.join(top, "key").filter("n = top").groupBy("key").agg(F.min_by("name", "o").alias("name"))
     # "roadmap produit" joins "roadmap": every start of the key whose rest is qualifiers only.
     words = F.split("key", " ")
     starts = F.filter(

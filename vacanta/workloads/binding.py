@@ -11,16 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vacanta.columns import let
 from vacanta.functions.text import first_line, skill_key
+from vacanta.session import spread
 from vacanta.workloads import sqltext as Q
 
 ENGINE_SOURCES = ["src0", "src1", "src2", "src3", "src4"]
+TEXT_TABLES = {"documents", "pages", "conversations"}
 NOW = "2024-03-31"
 EVENTS_NOW = "2024-01-31 00:00:00"
 ORDERS_NOW = "2001-08-01 00:00:00"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def ntz(text: str) -> Column:

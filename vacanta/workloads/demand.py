@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vacanta.functions import lines as N
 from vacanta.functions import cv as C
-from vacanta.functions.text import company_key, skill_key, slug
+from vacanta.functions.text import company_key, fold, skill_key, slug
 from vacanta.operators import dedup as D
 from vacanta.operators import filters as X
 from vacanta.operators import market as M
@@ -303,9 +303,9 @@ def cv_skills(spark, sf):
 
 @query(
     "present_missing",
-    f"""{_DEMAND}, {_CV}, {grams('turns', 'cv_id', name='gc')}, top AS (SELECT key FROM kept ORDER BY count DESC, key LIMIT 12), ids AS (SELECT cv_id FROM turns)
-        SELECT cv_id, count(form) AS present, count(*) - count(form) AS missing, {Q.half_up('100.0 * count(form) / count(*)')} AS score
-        FROM ids CROSS JOIN top LEFT JOIN gc USING (cv_id) WHERE form IS NULL OR form = key GROUP BY 1""".replace("FROM ids CROSS JOIN top LEFT JOIN gc USING (cv_id) WHERE form IS NULL OR form = key", "FROM (SELECT ids.cv_id, top.key FROM ids CROSS JOIN top) p LEFT JOIN gc ON gc.cv_id = p.cv_id AND gc.form = p.key"),
+    f"""{_DEMAND}, {_CV}, {grams('turns', 'cv_id', name='gc')}, top AS (SELECT key FROM kept ORDER BY count DESC, key LIMIT 12), p AS (SELECT turns.cv_id, top.key FROM turns, top)
+        SELECT p.cv_id, count(gc.form) AS present, count(*) - count(gc.form) AS missing, {Q.half_up('100.0 * count(gc.form) / count(*)')} AS score
+        FROM p LEFT JOIN gc ON gc.cv_id = p.cv_id AND gc.form = p.key GROUP BY p.cv_id""",
 )
 def present_missing(spark, sf):
     """The twelve skills asked most, present in each CV or missing from it."""
@@ -319,7 +319,7 @@ def present_missing(spark, sf):
 
 @query("keyword_turns", f"SELECT conv_id, turn, {Q.matches(Q.fold('text'), '(?:^|[^a-z0-9])the(?:s|x|es|ing)?([^a-z0-9]|$)')} AND {Q.matches(Q.fold('text'), '(?:^|[^a-z0-9])and(?:s|x|es|ing)?([^a-z0-9]|$)')} OR {Q.matches(Q.fold('text'), '(?:^|[^a-z0-9])les(?:s|x|es|ing)?([^a-z0-9]|$)')} AS found FROM conversations")
 def keyword_turns(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", C.has_keyword(F.expr("translate(lower(text), '', '')"), F.lit("the and/les")).alias("found"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", C.has_keyword(fold(F.col("text")), F.lit("the and/les")).alias("found"))
 
 
 @query(
