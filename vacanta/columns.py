@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # White space as web pages mean it (no-break and thin spaces included).
 SPACE = " \t\n\r\x0b\x0c\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -35,6 +36,16 @@ def group(c: Column, pattern: str, index: int = 1) -> Column:
     return F.nullif(F.regexp_extract(c, rx(pattern), index), F.lit(""))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds costly columns that are computed once per row.
+
+    A filter on a plain column is pushed below it and computes it again; a generated row stops that.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.explode_outer(F.array(row)).alias("_once")).select(*kept, *[F.col(f"_once.{n}").alias(n) for n in columns])
+
+
 def let(value: Column, use) -> Column:
     """`use(value)` with the value computed once per row, even when lambdas read it for every element."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -108,6 +119,11 @@ def tail(c: Column, n: int) -> Column:
     return F.substring(c, F.greatest(F.lit(1), F.length(c) - n + 1), F.lit(n))
 
 
+def fixed_map(values: dict, value_type: str = "string") -> Column:
+    """A fixed table as a map: one literal for the planner, folded before the query runs."""
+    return F.from_json(F.lit(json.dumps(values, ensure_ascii=False)), f"map<string,{value_type}>")
+
+
 def half_up(c: Column) -> Column:
     """Rounding that sends halves upward, negative values included."""
     return F.floor(c + F.lit(0.5))

@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vacanta.columns import first_rule, group, says, strip
+from vacanta.columns import first_rule, fixed_map, group, says, strip
 from vacanta.functions.text import fold
 from vacanta.rules import geo as R
 
@@ -51,15 +51,13 @@ LONG_COUNTRY = f"({_alternatives(_LONG)})"
 
 
 def _city_map() -> Column:
-    cells = []
-    for i, (country, region, name) in enumerate(CITY_ROWS):
-        title = " ".join(w[:1].upper() + w[1:] for w in name.split(" "))
-        cells += [F.lit(name), F.struct(F.lit(i).alias("rank"), F.lit(title).alias("city"), F.lit(region).cast("string").alias("region"), F.lit(country).alias("country"))]
-    return F.create_map(*cells)
+    title = lambda name: " ".join(w[:1].upper() + w[1:] for w in name.split(" "))
+    rows = {name: {"rank": i, "city": title(name), "region": region, "country": country} for i, (country, region, name) in enumerate(CITY_ROWS)}
+    return fixed_map(rows, "struct<rank:int,city:string,region:string,country:string>")
 
 
 def _country_map() -> Column:
-    return F.create_map(*[x for i, (code, name) in enumerate(COUNTRY_ROWS) for x in (F.lit(name), F.struct(F.lit(i).alias("rank"), F.lit(code).alias("code")))])
+    return fixed_map({name: {"rank": i, "code": code} for i, (code, name) in enumerate(COUNTRY_ROWS)}, "struct<rank:int,code:string>")
 
 
 def gazetteer(spark) -> DataFrame:
@@ -87,8 +85,8 @@ def _stated_country(segment: Column, flat_text: Column, normed: Column) -> Colum
 
 
 def _department(segment: Column) -> Column:
-    codes = F.create_map(*[F.lit(x) for region, numbers in R.DEPARTMENTS.items() for n in numbers.split(" ") for x in (n, region)])
-    return F.try_element_at(codes, F.substring(group(segment, r"\b(\d{5})\b"), 1, 2))
+    codes = {n: region for region, numbers in R.DEPARTMENTS.items() for n in numbers.split(" ")}
+    return F.try_element_at(fixed_map(codes), F.substring(group(segment, r"\b(\d{5})\b"), 1, 2))
 
 
 def place_of(segment: Column, flat_text: Column, normed: Column) -> Column:
@@ -165,7 +163,7 @@ def region_code(label: Column) -> Column:
         return "".join(c for c in unicodedata.normalize("NFD", s.lower()) if not 0x300 <= ord(c) <= 0x36F)
 
     pairs = [(plain(name), code) for code, name in R.REGION_LABELS.items()] + [(code.lower(), code) for code in R.REGION_LABELS]
-    return F.try_element_at(F.create_map(*[F.lit(x) for p in pairs for x in p]), norm(label))
+    return F.try_element_at(fixed_map(dict(pairs)), norm(label))
 
 
 def zone_keys(zone_places: Column) -> Column:

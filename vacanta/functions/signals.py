@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vacanta.columns import contexts, first_rule, group, half_up, hears, let, pieces, says, tail
+from vacanta.columns import contexts, first_rule, fixed_map, group, half_up, hears, let, pieces, says, tail
 from vacanta.functions.text import rule_text
 from vacanta.rules import signals as R
 
@@ -16,7 +16,7 @@ def contract_in(title: Column, explicit: Column, text: Column) -> Column:
     """Contract of a posting from its folded title, its folded structured field and its folded text."""
     loud = [(p, c) for p, c in R.CONTRACT_WORDS if c != "cdi"]
     stated = F.coalesce(*[group(text, p) for p in R.CONTRACT_STATED])
-    named = F.create_map(*[F.lit(x) for pair in R.CONTRACT_STATED_WORDS.items() for x in pair])
+    named = fixed_map(R.CONTRACT_STATED_WORDS)
     return F.coalesce(
         first_rule(title, loud, test=hears),
         first_rule(F.coalesce(explicit, F.lit("")), R.CONTRACT_WORDS, test=hears),

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from vacanta.columns import first_rule, let, says, strings
+from vacanta.columns import first_rule, fixed_map, let, says, strings
 from vacanta.functions.text import fold, skill_key, words_key
 from vacanta.rules import skills as R
 
 
 def _aliases(extra: dict[str, str] | None = None) -> Column:
     table = {**R.ALIASES, **(extra or {})}
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return fixed_map(table)
 
 
 def skill_alias(key: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vacanta.columns import strings
+from vacanta.columns import fixed_map, strings
 from vacanta.functions.geo import norm, zone_keys, zone_verdict
 from vacanta.functions.signals import title_seniority
 from vacanta.rules import signals as S
@@ -32,7 +32,7 @@ def chances_cap(gap: Column) -> Column:
 
 
 def contract_label(contract: Column) -> Column:
-    labels = F.create_map(*[F.lit(x) for pair in S.CONTRACT_LABELS.items() for x in pair])
+    labels = fixed_map(S.CONTRACT_LABELS)
     return F.coalesce(F.try_element_at(labels, contract), contract)
 
 

@@ -58,7 +58,7 @@ def citing(texts: DataFrame, forms: DataFrame, id: str, text: str = "text", keye
     """
     longest = max_words or longest_phrase(forms)
     words = F.col(text) if keyed else skill_key(F.col(text))
-    grams = texts.select(*([id] if isinstance(id, str) else id), F.explode(K.phrases(words, longest)).alias("form"))
+    grams = texts.select(*([id] if isinstance(id, str) else id), F.explode_outer(K.phrases(words, longest)).alias("form"))
     side, small = broadcast_if_small(forms.select("form", "key"), max_rows)
     ids = [id] if isinstance(id, str) else list(id)
     if small:
@@ -91,7 +91,7 @@ def skill_demand(texts: DataFrame, groups: DataFrame, id: str = "offer_id", text
     forms = forms_of(groups)
     longest = longest_phrase(forms)
     parts = [("full", text)] + ([("required", required), ("bonus", bonus)] if required and bonus else [])
-    stacked = texts.select(*ids, F.explode(F.array(*[F.struct(F.lit(n).alias("part"), skill_key(F.col(c)).alias("words")) for n, c in parts])).alias("p")).select(*ids, "p.part", "p.words")
+    stacked = texts.select(*ids, F.explode_outer(F.array(*[F.struct(F.lit(n).alias("part"), skill_key(F.col(c)).alias("words")) for n, c in parts])).alias("p")).select(*ids, "p.part", "p.words")
     hits = citing(stacked, forms, [*ids, "part"], "words", keyed=True, max_words=longest)
     per_text = hits.groupBy(*ids, "key").agg(*[F.max((F.col("part") == n).cast("int")).alias(n) for n in ("full", "required", "bonus")])
     by = ["key"] if market is None else [market, "key"]

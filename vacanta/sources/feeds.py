@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vacanta.columns import strings, strip
+from vacanta.columns import fixed_map, strings, strip
 from vacanta.functions.geo import parse_locations
 from vacanta.functions.signals import detect_contract, detect_experience
 from vacanta.functions.text import company_key, html_to_text
@@ -40,7 +40,7 @@ def _html(c: Column) -> Column:
 
 
 def _code(family: str, c: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for p in R.EMPLOYMENT[family].items() for x in p]), c)
+    return F.try_element_at(fixed_map(R.EMPLOYMENT[family]), c)
 
 
 def _or_blank(c: Column, other: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vacanta.columns import strip
+from vacanta.columns import let, once, strip
 from vacanta.functions.geo import places_of, remote_of, scope_of
 from vacanta.functions.signals import detect_contract, detect_experience
 from vacanta.functions.text import decode_entities, html_to_text
@@ -27,12 +27,13 @@ def page_title(html: Column) -> Column:
 def page_text(html: Column) -> Column:
     skipped = "|".join(R.SKIPPED_BLOCKS)
     clean = F.regexp_replace(html, rf"(?is)<({skipped})\b.*?</\1>", " ")
-    return html_to_text(F.coalesce(_inside(clean, "main"), _inside(clean, "article"), _inside(clean, "body"), clean))
+    body = let(clean, lambda c: F.coalesce(_inside(c, "main"), _inside(c, "article"), _inside(c, "body"), c))
+    return let(body, html_to_text)
 
 
 def read_html_posting(pages: DataFrame, html: str = "html", url: str = "url", min_chars: int = R.MIN_CHARS) -> DataFrame:
     """Ordinary pages read as postings: a title and enough text, no list and no open application."""
-    read = pages.withColumns({"title": page_title(F.col(html)), "description": page_text(F.col(html))})
+    read = once(pages, title=page_title(F.col(html)), description=page_text(F.col(html)))
     fit = (F.length("title") >= 4) & ~F.col("title").rlike(R.NOT_A_JOB) & (F.length("description") >= min_chars) & ~F.substring("description", 1, 200).rlike(R.NOT_A_JOB)
     kept = read.filter(fit)
     head = F.array_join(F.slice(F.split("description", "\n"), 1, R.HEAD_LINES), " ")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from vacanta.columns import let
+from vacanta.columns import let, once
 from vacanta.functions.text import first_line, skill_key
 from vacanta.session import spread
 from vacanta.workloads import sqltext as Q
@@ -60,7 +60,7 @@ def with_skills(df: DataFrame) -> DataFrame:
         return F.when(F.size(words) >= 2, F.concat(singles, pairs)).otherwise(singles)
 
     words = F.filter(F.split(skill_key(F.col("title")), " ", -1), lambda w: w != "")
-    return df.withColumn("skills", let(words, listed))
+    return once(df, skills=let(words, listed))
 
 
 # Words of titles and texts, and the skills drawn from titles, for the oracles.

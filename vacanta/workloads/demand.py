@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vacanta.columns import once
 from vacanta.functions import lines as N
 from vacanta.functions import cv as C
 from vacanta.functions.text import company_key, fold, skill_key, slug
@@ -46,7 +47,7 @@ parts AS (SELECT offer_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTE
 
 
 def parts(df):
-    return df.withColumn("r", N.split_requirements(F.col("text"), bonus=WISH, section_words=HEAD, plus=WISH)).withColumns({"required": F.col("r.required"), "bonus_text": F.col("r.bonus")}).drop("r")
+    return once(df, r=N.split_requirements(F.col("text"), bonus=WISH, section_words=HEAD, plus=WISH)).withColumns({"required": F.col("r.required"), "bonus_text": F.col("r.bonus")}).drop("r")
 
 
 @query("active_offers", f"WITH {OFFERS}, {DEDUPED} SELECT offer_id, source FROM active")
