@@ -6,7 +6,7 @@ import unicodedata
 
 from pyspark.sql import Column, SparkSession, functions as F
 
-from vacanta.columns import blank_to_null, pieces, strip, swap
+from vacanta.columns import blank_to_null, let, pieces, strip, swap
 from vacanta.rules import text as R
 
 
@@ -45,7 +45,9 @@ def unaccent(c: Column) -> Column:
 
 def slug(c: Column) -> Column:
     """Letters and digits only, without the (H/F) markers of titles."""
-    return F.trim(F.regexp_replace(swap(fold(c), R.GENDER_MARKERS, " "), "[^a-z0-9]+", " "))
+    # Every marker holds a slash: texts without one skip the pattern.
+    bare = let(fold(c), lambda f: F.when(F.contains(f, F.lit("/")), swap(f, R.GENDER_MARKERS, " ")).otherwise(f))
+    return F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
 
 
 def company_key(c: Column) -> Column:

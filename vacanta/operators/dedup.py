@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vacanta.columns import says, strings, swap
+from vacanta.columns import once, says, strings, swap
 from vacanta.functions.text import company_key, fold, slug
 from vacanta.rules import signals as R
 from vacanta.rules import views as V
@@ -106,9 +106,12 @@ def merge_engine_copies(offers: DataFrame, followed: DataFrame, shortest: int =
     Own pages are reduced to their distinct fingerprints before the semi join, so no pair of offers is
     ever formed, however many copies a posting has.
     """
-    keyed = offers.withColumn("_title", slug(F.col("title"))).withColumn("_print", text_print(F.col("text"), chars))
-    own = keyed.filter(~F.col("engine_only")).select("_title", "_print").distinct()
-    engine = keyed.filter(F.col("engine_only") & (F.length(F.coalesce(F.col("text"), F.lit(""))) >= shortest)).select(id, "_title", "_print")
+    def keyed(df: DataFrame) -> DataFrame:
+        return once(df.select(id, "title", "text"), _title=slug(F.col("title")), _print=text_print(F.col("text"), chars)).select(id, "_title", "_print")
+
+    long = F.length(F.coalesce(F.col("text"), F.lit(""))) >= shortest
+    own = keyed(offers.filter(~F.col("engine_only"))).select("_title", "_print").distinct()
+    engine = keyed(offers.filter(F.col("engine_only") & long))
     same = skew_join(engine, own, ["_title", "_print"], "left_semi").select(id)
     return same.join(followed.select(id).distinct(), id, "left_anti")
 

@@ -30,7 +30,8 @@ def named_offers(offers: DataFrame, profiles: DataFrame, at: Column) -> DataFram
     phrases = role_phrases(profiles, bridges=None)
     online = active_at(offers, at)
     near = title_matrix(online, phrases).filter(F.col("score") * F.col("weight") >= RR.MIN_TITLE_RELEVANCE)
-    near = near.select("title", "profile_id", "core", "words", "title_words")
+    # Used for the texts to read and for the pairs: kept once, a line per title and role that meet.
+    near = settle(near.select("title", "profile_id", "core", "words", "title_words"))
     full = online.filter(~is_excerpt(F.col("text"), F.col("engine_only"))).join(near.select("title").distinct(), "title", "left_semi")
     read = once(full.select("offer_id", "title", "text"), text_words=F.array_distinct(V.tokens(F.concat_ws(" ", "title", "text"))), parts=V.title_parts(F.col("title")))
     named = V.names_role(F.col("title"), F.col("title_words"), F.col("parts"), F.col("text_words"), F.col("core"), F.col("words"))
