@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vacanta.columns import half_up
+from vacanta.columns import half_up, once
 from vacanta.functions import skills as K
 from vacanta.functions.text import skill_key
 from vacanta.rules import skills as R
-from vacanta.session import BROADCAST_ROWS, broadcast_if_small, settle
+from vacanta.session import broadcast_if_small, settle
+
+# Two short texts per row: a million of them stay under a hundred megabytes.
+PHRASE_ROWS = 1_000_000
 
 
 def skill_vocabulary(offers: DataFrame, skills: str = "skills") -> DataFrame:
@@ -21,10 +24,12 @@ def skill_groups(vocab: DataFrame) -> DataFrame:
     `vocab` holds name, kind and an `ord` that gives the reading order (ties keep the first). A key whose
     last word is neutral joins the key without it when that one exists.
     """
-    named = vocab.withColumn("name", K.skill_name(F.col("name"), F.col("kind")))
-    keyed = named.withColumn("own", K.canonical_skill(F.col("name"))).filter(K.is_countable_skill(F.col("own")))
+    # Names repeat from offer to offer: each is keyed once, after a first count.
+    raw = vocab.groupBy("name", "kind").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
+    shown = K.skill_name(F.col("name"), F.col("kind"))
+    keyed = once(raw, shown=shown, own=K.canonical_skill(shown)).filter(K.is_countable_skill(F.col("own")))
     # Read several times below: kept once, as large as the vocabulary and no larger.
-    spelled = settle(keyed.groupBy("own", "name", "kind").agg(F.count("*").alias("n"), F.min("ord").alias("ord")))
+    spelled = settle(keyed.groupBy("own", F.col("shown").alias("name"), "kind").agg(F.sum("n").alias("n"), F.min("ord").alias("ord")))
     keys = spelled.groupBy("own").agg(F.min("ord").alias("ord"))
     words = F.split("own", " ")
     stem = F.when((F.size(words) > 1) & F.element_at(words, -1).isin(R.NEUTRAL), F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), " "))
@@ -49,7 +54,7 @@ def longest_phrase(forms: DataFrame, form: str = "form") -> int:
     return int(row["n"] or 1)
 
 
-def citing(texts: DataFrame, forms: DataFrame, id: str, text: str = "text", keyed: bool = False, max_words: int | None = None, max_rows: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:
+def citing(texts: DataFrame, forms: DataFrame, id: str, text: str = "text", keyed: bool = False, max_words: int | None = None, max_rows: int = PHRASE_ROWS, salts: int = 16) -> DataFrame:
     """(id, key) once for every skill a text holds as whole words.
 
     Texts become their distinct phrases, matched by equality. A vocabulary of proven size is sent to the
