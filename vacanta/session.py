@@ -50,14 +50,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Compute once into a table of the shared checkpoint folder and read it back.
 
     The lineage ends there, so a lost executor never costs the whole plan, several readers never repeat
     the work, and the size of the table is known to the planner.
     """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/vacanta-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
