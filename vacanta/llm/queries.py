@@ -53,3 +53,52 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     from vacanta.llm.token_counts import token_counts
 
     return token_counts(table(spark, sf, "documents"), tokenizer())
+
+
+@query(
+    "op2_line_dedup",
+    r"""
+    WITH parts AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+    keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM parts),
+    frequent AS (SELECT k, max(doc_id) AS holder FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+    marked AS (SELECT doc_id, pos, line, coalesce(doc_id <> holder, false) AS gone FROM keyed LEFT JOIN frequent USING (k))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+    FROM marked GROUP BY doc_id
+    """,
+)
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    from vacanta.llm.lines import dedup_lines
+
+    return dedup_lines(table(spark, sf, "documents")).drop("kept_text")
+
+
+@query(
+    "op4_top_k",
+    """
+    WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS c FROM embeddings
+               WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum([p[1] * p[2] for p in list_zip(q.c, d.c)]) AS BIGINT) AS score
+          FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id)
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+    """,
+)
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    from vacanta.llm.maxscore import top_k
+
+    return top_k(table(spark, sf, "embeddings"), "vec_id % 20 = 0")
+
+
+@query(
+    "op9_warc",
+    """
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to FROM f
+    """,
+)
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    from vacanta.llm.warc import read_archives, write_archives
+
+    return read_archives(write_archives(table(spark, sf, "pages")))
