@@ -102,3 +102,34 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     from vacanta.llm.warc import read_archives, write_archives
 
     return read_archives(write_archives(table(spark, sf, "pages")))
+
+
+@query(
+    "op3_mixing",
+    r"""
+    WITH base AS (SELECT doc_id, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens FROM documents),
+    shares AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS held FROM base GROUP BY source),
+    ends AS (SELECT max(held) AS largest, min(held) AS smallest FROM shares WHERE held > 0),
+    e AS (SELECT *, CASE WHEN smallest = largest THEN 0 ELSE greatest(0, 1 - ln(2.0) / ln(largest / smallest)) END AS exponent FROM ends),
+    plan AS (SELECT source, held, CASE WHEN held > 0 THEN CAST(floor(pow(held / CAST(largest AS DOUBLE), exponent - 1) * held + 0.5) AS BIGINT) ELSE 0 END AS wanted FROM shares, e),
+    n AS (SELECT greatest(1, CAST(ceil(sum(wanted) / 1000000.0) AS BIGINT)) AS blocks FROM plan),
+    readings AS (SELECT *, unnest(range(0, CASE WHEN held > 0 THEN greatest(CAST(ceil(wanted / held) AS BIGINT), 1) ELSE 1 END)) AS pass FROM base JOIN plan USING (source)),
+    starts AS (SELECT *, pass * held + coalesce(sum(tokens) OVER (PARTITION BY source, pass ORDER BY md5(concat_ws(':', 17, pass, doc_id)), doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM readings),
+    taken AS (SELECT *, least(CAST(floor(CAST(start AS DOUBLE) / greatest(wanted, 1) * blocks) AS BIGINT), blocks - 1) AS block FROM starts, n WHERE start < wanted OR (tokens = 0 AND pass = 0))
+    SELECT doc_id, source, tokens, pass, block, CAST(row_number() OVER (PARTITION BY block ORDER BY md5(concat_ws(':', 17, 'block', pass, doc_id)), pass, doc_id, source, tokens) AS INTEGER) AS place FROM taken
+    """,
+)
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    from vacanta.llm.mixing import mix
+
+    return mix(table(spark, sf, "documents"))
+
+
+@query("op1_decontamination")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from vacanta.llm.tiling import contaminated
+
+    found = contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max(F.size("tiles")).alias("n_tiles"))

@@ -15,13 +15,15 @@ import pyarrow as pa
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+# Everything in ASCII but letters and digits, for words without punctuation.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _RANDOM = np.random.RandomState(20_261)
 _BYTE = _RANDOM.randint(0, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[_SPACE] = 0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_WINDOW_BASE = np.uint64(0xD1B54A32D192ED03)
 # Bytes of text handled at once: the arrays of a chunk stay within the processor's cache.
 CHUNK = 1 << 20
 
@@ -73,23 +75,27 @@ def _buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
-def words_of(column: pa.Array, chunk: int = CHUNK) -> Iterator[Words]:
-    """Words of a text column, chunk by chunk (whole rows, about `chunk` bytes each). Null texts have no words."""
+def words_of(column: pa.Array, chunk: int = CHUNK, apart: np.ndarray = _SPACE) -> Iterator[Words]:
+    """Words of a text column, chunk by chunk (whole rows, about `chunk` bytes each). Null texts have no words.
+
+    `apart` marks the bytes that stand between words.
+    """
+    values = np.where(apart, np.uint64(0), _BYTE)
     offsets, data = _buffer(column)
     row, rows = 0, len(column)
     while row < rows:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + chunk, side="right")) - 1)
         end = min(end, rows)
         limits = offsets[row : end + 1] - offsets[row]
-        yield Words(row, end - row, *_hash(_LOWER[data[offsets[row] : offsets[end]]], limits))
+        yield Words(row, end - row, *_hash(_LOWER[data[offsets[row] : offsets[end]]], limits, apart, values))
         row = end
 
 
-def _hash(text: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash(text: np.ndarray, limits: np.ndarray, apart: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(text)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(limits), np.int64)
-    space = _SPACE[text]
+    space = apart[text]
     opens = np.ones(n, bool)
     opens[1:] = space[:-1]
     opens[limits[:-1][limits[:-1] < n]] = True
@@ -97,26 +103,23 @@ def _hash(text: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     first = np.searchsorted(starts, limits)
     if not len(starts):
         return np.zeros(0, np.uint64), first
-    # A word's bytes run from its start to the next start; white space weighs nothing.
-    sums = np.add.reduceat(_BYTE[text] * _power("down", n), starts)
+    # A word's bytes run from its start to the next start; what stands between weighs nothing.
+    sums = np.add.reduceat(values[text] * _power("down", n), starts)
     return mix(sums * _power("up", n)[starts]), first
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every window of `k` consecutive words, limits of rows not regarded."""
+    """Karp-Rabin fingerprint of every window of `k` consecutive words, limits of rows not regarded."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out += hashes[j : j + n] * _odd(j)
+    out = hashes[:n].copy()
+    for j in range(1, k):
+        out *= _WINDOW_BASE
+        out += hashes[j : j + n]
     return mix(out)
 
 
-def _odd(j: int) -> np.uint64:
-    return np.uint64((0xD1B54A32D192ED03 * (2 * j + 3) + 0x632BE59BD9B4E019 * j * 2) % 2**64 | 1)
-
-
 def hash_word(word: str) -> int:
     """The hash of one word, signed as Spark stores it."""
     (w,) = words_of(pa.array([word]))
