@@ -18,21 +18,21 @@ def components(links: DataFrame) -> DataFrame:
     links and ids are written to the shared folder, so a lost executor repeats one round at most.
     """
     live = settle(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct())
-    ids = settle(live.select(F.col("a").alias("id")).union(live.select("b")).distinct().withColumn("root", F.col("id")))
+    ids = live.select(F.col("a").alias("id")).union(live.select("b")).distinct().withColumn("root", F.col("id"))
     turn = 0
-    while live.limit(1).count():
+    while not live.isEmpty():
         mask = F.lit(_MASKS[turn % len(_MASKS)] >> (turn // len(_MASKS) % 8))
         both = live.union(live.select("b", "a"))
-        target = both.groupBy("a").agg(F.min(F.col("b").bitwiseXOR(mask)).alias("m"))
-        target = settle(target.select(F.col("a").alias("id"), F.least(F.col("m"), F.col("id").bitwiseXOR(mask)).bitwiseXOR(mask).alias("to")))
-        # One jump: the target's own target, where it has moved as well.
-        jump = target.select(F.col("id").alias("to"), F.col("to").alias("then"))
-        target = settle(target.join(jump, "to").select("id", F.col("then").alias("to")))
+        near = both.groupBy("a").agg(F.min(F.col("b").bitwiseXOR(mask)).alias("m"))
+        near = near.select(F.col("a").alias("id"), F.least(F.col("m"), F.col("id").bitwiseXOR(mask)).bitwiseXOR(mask).alias("to"))
+        # One jump: an id goes to the target of its target.
+        target = settle(near.join(near.select(F.col("id").alias("to"), F.col("to").alias("then")), "to").select("id", F.col("then").alias("to")))
         live = settle(
             live.join(target.withColumnRenamed("id", "a").withColumnRenamed("to", "ta"), "a").join(target.withColumnRenamed("id", "b").withColumnRenamed("to", "tb"), "b")
             .select(F.col("ta").alias("a"), F.col("tb").alias("b")).where("a <> b").distinct()
         )
-        ids = settle(ids.join(target.withColumnRenamed("id", "root"), "root", "left").select("id", F.coalesce("to", "root").alias("root")))
+        ids = ids.join(target.withColumnRenamed("id", "root"), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
         turn += 1
+    ids = settle(ids)
     smallest = ids.groupBy("root").agg(F.min("id").alias("label"))
     return ids.join(smallest, "root").select("id", "label")

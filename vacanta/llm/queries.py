@@ -133,3 +133,12 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 
     found = contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max(F.size("tiles")).alias("n_tiles"))
+
+
+@query("op8_language_model")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from vacanta.llm.hmm import language_model_scores
+
+    return language_model_scores(table(spark, sf, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
