@@ -1,25 +1,59 @@
-"""Corpus pipeline: toxicity, near-duplicates, decontamination, mixing, token shards."""
+"""Corpus pipeline: toxic documents go, one of each group of near-duplicates stays, documents that hold benchmark
+passages go, sources are mixed to target weights, and the token ids are written in training order.
+
+Every stage takes `(spark, docs, sf_dir)` and works on all that the stage before kept; what comes between two
+stages is a table in the shared folder.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vacanta.llm import minhash, queries, token_shards
+from vacanta.llm import minhash, mixing, queries, tiling, token_shards, toxicity
 from vacanta.session import settle
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score reaches the threshold go. The classifier learns from the labelled documents."""
+    model = toxicity.learn(docs, queries.table(spark, sf_dir, "labels"))
+    rejected = toxicity.toxicity_scores(docs, model).where("predicted = 1").select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """Of each group of near-duplicates, the document with the smallest doc_id stays."""
+    copies = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that cover at least half of a benchmark item's words with shared passages go."""
+    found = tiling.contaminated(docs, queries.table(spark, sf_dir, "benchmark")).select("doc_id", "body").distinct()
+    here = docs.withColumn("body", F.xxhash64("text"))
+    held = here.alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id AND d.body = f.body"), "left_anti")
+    return held.select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document is repeated as often as the mixture reads it: once at least, small sources up to twice."""
+    read = mixing.copies(mixing.mix(docs, repetition=2.0))
+    times = docs.join(read, "doc_id", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    return times.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards in training order; returns their records as read back."""
+    """Token shards in training order, read back: slot, shard, byte_offset, doc_id, part, n_tokens, ids_sha256."""
     return token_shards.read_shards(*token_shards.write_shards(docs, queries.tokenizer()))
 
 
-STAGES = [("MinHash near-dedup", drop_near_duplicates), ("token-ID output", token_output)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources", mix_sources),
+    ("token-ID output", token_output),
+]
+# No SQL: compression distances, MinHash and tokenizers have no form in it. See tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from vacanta.llm.sampling import bounded_sample
 from vacanta.llm.words import words_of
 from vacanta.session import settle
 
@@ -201,7 +202,7 @@ def language_model_scores(docs: DataFrame, held_out, states: int = STATES, round
     coded = settle(rows.select("doc_id", "held_out", "text").mapInArrow(encode, schema).withColumn("row", F.monotonically_increasing_id()), compression="zstd")
     training = coded.where("NOT held_out").select("classes")
 
-    chosen = coded.where((~F.col("held_out")) & (F.octet_length("classes") <= START_BYTES)).orderBy(F.xxhash64("doc_id", "n_tokens"), "row").limit(START_TEXTS).select("classes").collect()
+    chosen = bounded_sample(coded.where(~F.col("held_out")), F.col("row"), START_TEXTS).where(F.octet_length("classes") <= START_BYTES).orderBy("row").select("classes").collect()
     model = starting_model([np.frombuffer(bytes(r.classes), np.uint16) for r in chosen], overall, states)
     names = _COUNTS[:states] if states <= STATES else [f"s{j}" for j in range(states)]
     for _ in range(rounds):

@@ -142,3 +142,15 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     from vacanta.llm.hmm import language_model_scores
 
     return language_model_scores(table(spark, sf, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from vacanta.llm.toxicity import learn, toxicity_scores
+
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    docs = table(spark, sf, "documents")
+    scored = toxicity_scores(docs, learn(docs, table(spark, sf, "labels").where(~held_out)))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")

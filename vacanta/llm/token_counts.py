@@ -8,8 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from vacanta.llm.pretokens import Library, PieceCoder, frequent_pieces
+from vacanta.llm.sampling import bounded_sample
 
-# The frequent tier is learnt from this many documents of at most this many bytes; it decides speed, never a count.
+# The frequent tier is learnt from about this many documents of at most this many bytes; it decides speed, never a count.
 SAMPLE_DOCS, SAMPLE_BYTES = 1_000, 65_536
 # Entries of the broadcast tier (about 1 MB).
 FREQUENT = 16_384
@@ -34,7 +35,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     tokenizer file every executor can open (`.json` or `.model`).
     """
     spark = docs.sparkSession
-    sample = docs.where(F.octet_length("text") <= SAMPLE_BYTES).orderBy(F.xxhash64(F.col("doc_id").cast("string"))).limit(SAMPLE_DOCS).select("text")
+    sample = bounded_sample(docs, F.col("doc_id").cast("string"), SAMPLE_DOCS).where(F.octet_length("text") <= SAMPLE_BYTES).select("text")
     pieces = frequent_pieces((r.text for r in sample.collect()), FREQUENT)
     count = counter(path)
     tier = spark.sparkContext.broadcast({p: count(" " + p) for p in pieces})

@@ -153,10 +153,9 @@ def write_shards(docs: DataFrame, path: str, length: int = 256, end: int | None
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.string()), pa.array([d[2] for d in done], pa.int64())], names=["shard", "file", "records"])
 
     manifest = None
-    for wave in range(min(waves, max(shards, 1))):
+    waves = min(waves, shards)
+    for wave in range(waves):
         low, high = shards * wave // waves, shards * (wave + 1) // waves
-        if low == high:
-            continue
         shard = F.floor(F.col("slot") / per_shard).cast("long")
         moved = numbered.where(F.col("slot").between(low * per_shard, high * per_shard - 1)).select("slot", "doc_id", "part", "n", "ids", shard.alias("shard"))
         ranged = moved.repartition(high - low, "shard").sortWithinPartitions("slot").drop("shard")

@@ -17,10 +17,11 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from vacanta.llm.files import open_file, shared_folder
+from vacanta.llm.sampling import bounded_sample
 from vacanta.session import settle, skew_join
 
 REVISIT_BYTES = 100
-# The dictionary is built from this many records of at most this many payload bytes.
+# The dictionary is built from about this many records of at most this many payload bytes.
 SAMPLE_RECORDS, SAMPLE_BYTES = 400, 65_536
 DICTIONARY = 32_768
 LEVEL = 3
@@ -108,7 +109,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
     narrow = rows.where(F.col("size") >= REVISIT_BYTES).select("page_id", "digest")
     # Copies are looked up without their payloads, spread over salts; only the rows that refer to another page come back.
     revisits = settle(skew_join(narrow, settle(firsts), ["digest"], "inner").where("NOT page_id <=> first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct())
-    sample = rows.where(F.col("size") <= SAMPLE_BYTES).orderBy(F.xxhash64("page_id"), "digest").limit(SAMPLE_RECORDS).collect()
+    sample = bounded_sample(rows, F.col("page_id"), SAMPLE_RECORDS).where(F.col("size") <= SAMPLE_BYTES).collect()
     dictionary = build_dictionary([record(r.page_id, r.url, bytes(r.payload), r.digest, r.size, None) for r in sample])
     shared = spark.sparkContext.broadcast(dictionary)
     folder = shared_folder(spark, "warc")
