@@ -15,30 +15,31 @@ from vacanta.rules import views as V
 from vacanta.session import skew_join
 
 
-def text_print(text: Column, chars: int | None = None) -> Column:
-    """Fingerprint of a text in its slug form; `chars` compares only its first characters."""
-    key = slug(text)
-    return F.sha2(F.substring(key, 1, chars) if chars else key, 256)
+def text_print(text: Column) -> Column:
+    """Fingerprint of a whole text in its slug form."""
+    return F.sha2(slug(text), 256)
 
 
-def dedup_texts(df: DataFrame, text: str = "text", engine: str = "engine_only", id: str = "offer_id", chars: int | None = None, within: list[str] | None = None) -> DataFrame:
+def dedup_texts(df: DataFrame, text: str = "text", engine: str = "engine_only", id: str = "offer_id", within: list[str] | None = None) -> DataFrame:
     """One row per text: the employer's own page first, then the smallest id."""
-    by = [F.col(c) for c in (within or [])] + [text_print(F.col(text), chars).alias("_print")]
-    winners = df.groupBy(*by).agg(F.min(F.struct(F.col(engine), F.col(id))).alias("_first"))
-    keys = winners.select(*(within or []), F.col(f"_first.{id}").alias(id))
+    by = [F.col(c) for c in (within or [])] + [text_print(F.col(text)).alias("_print")]
+    # Two plain minima: a hash aggregate, where the minimum of a struct would sort.
+    winners = df.groupBy(*by).agg(F.coalesce(F.min(F.when(~F.col(engine), F.col(id))), F.min(id)).alias(id))
+    keys = winners.select(*(within or []), id)
     return df.join(keys, [*(within or []), id], "left_semi")
 
 
-def copies(df: DataFrame, kept: DataFrame, id: str = "offer_id") -> DataFrame:
-    return df.join(kept.select(id), id, "left_anti")
+def copies(df: DataFrame, kept: DataFrame, id: list[str] | str = "offer_id") -> DataFrame:
+    """Rows of `df` that were not kept, by one key or several."""
+    ids = [id] if isinstance(id, str) else id
+    return df.join(kept.select(*ids), ids, "left_anti")
 
 
-def dedup_batch(df: DataFrame, key: str = "dedup_key", text: str = "text", ordinal: str = "ordinal") -> DataFrame:
-    """Longest text per key; the first row wins between equal lengths. One partial aggregate, no sort."""
-    order = F.struct(F.length(F.coalesce(F.col(text), F.lit(""))), (-F.col(ordinal)).alias("o"))
-    best = df.groupBy(key).agg(F.max_by(F.col(ordinal), order).alias("_ordinal"))
-    winners = best.select(F.col("_ordinal").alias(ordinal))
-    return df.join(winners, ordinal, "left_semi")
+def dedup_batch(df: DataFrame, key: str = "dedup_key", text: str = "text", ordinal: list[str] | str = "ordinal") -> DataFrame:
+    """The row of the longest text per key, exactly one; between equal lengths, the first by `ordinal`."""
+    first = [ordinal] if isinstance(ordinal, str) else ordinal
+    order = F.struct((-F.length(F.coalesce(F.col(text), F.lit("")))).alias("_l"), *first)
+    return df.groupBy(key).agg(F.min_by(F.struct(*df.columns), order).alias("_row")).select("_row.*")
 
 
 def merge_arrays(old: Column, new: Column) -> Column:
@@ -53,6 +54,8 @@ def is_repost(archived: Column, was_published: Column, published: Column, now: C
     return F.coalesce(gone & later, F.lit(False))
 
 
+# Columns a batch may bring beside those every offer has; a sighting replaces them, an image only by another.
+OFFER_DETAILS = ["company", "location_raw", "places", "remote", "remote_scope", "contract", "experience_min_years", "experience_max_years", "experience_level", "salary_text", "image_url"]
 OFFER_STATE = ["dedup_key", "title", "text", "urls", "sources", "apply_url", "published_at", "first_seen_at", "last_seen_at", "archived_at", "repost_count", "reposted_at"]
 
 
@@ -62,8 +65,9 @@ def merge_offers(state: DataFrame, batch: DataFrame, now: Column, direct: str =
     `state` holds OFFER_STATE; `batch` one row per key with title, text, source_key, source_url, apply_url,
     published_at. Both sides are unique on the key, so one full outer join on it is the only shuffle.
     """
-    s = state.select(*[F.col(c).alias(f"s_{c}") for c in OFFER_STATE])
-    b = batch.select(*[F.col(c).alias(f"b_{c}") for c in ["dedup_key", "title", "text", "source_key", "source_url", "apply_url", "published_at"]])
+    details = [c for c in OFFER_DETAILS if c in batch.columns or c in state.columns]
+    s = state.select(*[F.col(c).alias(f"s_{c}") for c in [*OFFER_STATE, *details] if c in state.columns])
+    b = batch.select(*[F.col(c).alias(f"b_{c}") for c in ["dedup_key", "title", "text", "source_key", "source_url", "apply_url", "published_at", *details] if c in batch.columns])
     j = s.join(b, F.col("s_dedup_key") == F.col("b_dedup_key"), "full_outer")
     seen = F.col("b_dedup_key").isNotNull()
     urls = F.coalesce(F.col("s_urls"), F.array().cast("array<struct<source:string,url:string>>"))
@@ -77,6 +81,14 @@ def merge_offers(state: DataFrame, batch: DataFrame, now: Column, direct: str =
     def pick(fresh: Column, old: str) -> Column:
         return F.when(seen, fresh).otherwise(F.col(old))
 
+    def detail(c: str) -> Column:
+        if c not in batch.columns:
+            return F.col(f"s_{c}").alias(c)
+        if c not in state.columns:
+            return F.col(f"b_{c}").alias(c)
+        fresh = F.coalesce(f"b_{c}", f"s_{c}") if c == "image_url" else F.col(f"b_{c}")
+        return pick(fresh, f"s_{c}").alias(c)
+
     return j.select(
         F.coalesce("b_dedup_key", "s_dedup_key").alias("dedup_key"),
         pick(F.col("b_title"), "s_title").alias("title"),
@@ -90,6 +102,7 @@ def merge_offers(state: DataFrame, batch: DataFrame, now: Column, direct: str =
         pick(F.lit(None).cast(state.schema["archived_at"].dataType), "s_archived_at").alias("archived_at"),
         (F.coalesce("s_repost_count", F.lit(0)) + again.cast("int")).alias("repost_count"),
         F.when(again, now).otherwise(F.col("s_reposted_at")).alias("reposted_at"),
+        *[detail(c) for c in details],
     )
 
 
@@ -100,14 +113,14 @@ def ensure_companies(batch: DataFrame, companies: DataFrame, name: str = "compan
     return missing, keyed
 
 
-def merge_engine_copies(offers: DataFrame, followed: DataFrame, shortest: int = R.EXCERPT_LENGTH, chars: int | None = None, id: str = "offer_id") -> DataFrame:
+def merge_engine_copies(offers: DataFrame, followed: DataFrame, shortest: int = R.EXCERPT_LENGTH, id: str = "offer_id") -> DataFrame:
     """Engine offers that copy an employer's own page (same title, same text); followed ones are kept.
 
     Own pages are reduced to their distinct fingerprints before the semi join, so no pair of offers is
     ever formed, however many copies a posting has.
     """
     def keyed(df: DataFrame) -> DataFrame:
-        return once(df.select(id, "title", "text"), _title=slug(F.col("title")), _print=text_print(F.col("text"), chars)).select(id, "_title", "_print")
+        return once(df.select(id, "title", "text"), _title=slug(F.col("title")), _print=text_print(F.col("text"))).select(id, "_title", "_print")
 
     long = F.length(F.coalesce(F.col("text"), F.lit(""))) >= shortest
     own = keyed(offers.filter(~F.col("engine_only"))).select("_title", "_print").distinct()

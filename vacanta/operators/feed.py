@@ -137,9 +137,9 @@ def verified_brand(proposals: DataFrame, offers: DataFrame) -> DataFrame:
     return said.join(p, "company_id").filter(F.contains(F.col("said"), F.lower("brand"))).select("company_id", "name", "brand").distinct()
 
 
-def cv_targets(scores: DataFrame, applications: DataFrame, k: int = 400) -> DataFrame:
-    """The k offers of highest interest per person, those already followed first."""
-    best = scores.filter(F.col("level") != "ecartee").withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc_nulls_last("score_interet"), "offer_id"))).filter(F.col("rank") <= k)
+def cv_targets(scores: DataFrame, applications: DataFrame) -> DataFrame:
+    """The offers of a person that are not set aside, those already followed first, then by interest."""
+    best = scores.filter(F.col("level") != "ecartee").withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc_nulls_last("score_interet"), "offer_id")))
     tracked = applications.select("user_id", "offer_id").distinct().withColumn("tracked", F.lit(True))
     j = best.join(tracked, ["user_id", "offer_id"], "left").withColumn("tracked", F.coalesce("tracked", F.lit(False)))
     return j.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("tracked"), "rank")))

@@ -135,11 +135,17 @@ def candidates(gated: DataFrame, favorites: DataFrame, relevance: str = "relevan
 
 
 def reuse_verdicts(wanted: DataFrame, scores: DataFrame, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(reused, left): earlier verdicts under the same judge key, the latest version kept; pairs without one."""
+    """(reused, left): the latest earlier verdict under the same judge key, and the pairs without one.
+
+    A reused row is written for the version asked for and with the zone flag of the pair asked for.
+    """
     by = by or ["user_id", "offer_id", "judge_key"]
-    earlier = scores.join(wanted.select(*by, F.col("criteria_version").alias("_v")), by).filter(F.col("criteria_version") < F.col("_v"))
-    payload = [c for c in scores.columns if c not in by]
-    latest = earlier.groupBy(*by).agg(F.max_by(F.struct(*payload), "criteria_version").alias("r")).select(*by, "r.*")
+    asked = [F.col("criteria_version").alias("_v"), *([F.col("out_of_zone").alias("_z")] if "out_of_zone" in wanted.columns else [])]
+    earlier = scores.join(wanted.select(*by, *asked), by).filter(F.col("criteria_version") < F.col("_v"))
+    new = {"criteria_version": F.col("_v"), "out_of_zone": F.col("_z")} if "_z" in earlier.columns else {"criteria_version": F.col("_v")}
+    payload = [new[c].alias(c) if c in new else F.col(c) for c in scores.columns if c not in by]
+    extra = [new[c].alias(c) for c in new if c not in scores.columns]
+    latest = earlier.groupBy(*by).agg(F.max_by(F.struct(*payload, *extra), "criteria_version").alias("r")).select(*by, "r.*")
     return latest, wanted.join(latest.select(*by), by, "left_anti")
 
 

@@ -272,10 +272,10 @@ def backfill_days(profiles: DataFrame, known: DataFrame, now: str, start: str =
     return steps.join(known.select("profile_id", "day").distinct(), ["profile_id", "day"], "left_anti")
 
 
-def recheck_queue(offers: DataFrame, now: Column, days: int = 3, k: int = 1000, id: str = "offer_id") -> DataFrame:
-    """Engine-only active offers to check again: never checked first, then the oldest check."""
+def recheck_queue(offers: DataFrame, now: Column, days: int = 3, id: str = "offer_id") -> DataFrame:
+    """Engine-only active offers to check again, in their order: never checked first, then the oldest check. The reader takes as many as it can."""
     due = F.col("completed_at").isNull() | (seconds_between(now, F.col("completed_at")) > days * DAY)
-    return offers.filter(F.col("engine_only") & F.col("archived_at").isNull() & due).orderBy(F.asc_nulls_first("completed_at"), id).limit(k)
+    return offers.filter(F.col("engine_only") & F.col("archived_at").isNull() & due).orderBy(F.asc_nulls_first("completed_at"), id)
 
 
 def history(snapshots: DataFrame, k: int = 60, profile: str = "profile_id", day: str = "day") -> DataFrame:
@@ -288,7 +288,3 @@ def posting_age(posted: Column, reposted: Column, repost_count: Column, publishe
     again = (F.coalesce(repost_count, F.lit(0)) > 0) & (F.abs(seconds_between(published, reposted)) <= 3 * DAY)
     aged = F.when(age >= 90, "over_90_days").when(age >= 30, "over_30_days")
     return F.struct(F.coalesce(again, F.lit(False)).alias("reposted"), aged.alias("age"))
-
-
-def cap_base(base: DataFrame, k: int = 1500, id: str = "offer_id") -> DataFrame:
-    return base.orderBy(id).limit(k)

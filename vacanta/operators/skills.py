@@ -31,15 +31,7 @@ def skill_groups(vocab: DataFrame) -> DataFrame:
     # Read several times below: kept once, as large as the vocabulary and no larger.
     spelled = settle(keyed.groupBy("own", F.col("shown").alias("name"), "kind").agg(F.sum("n").alias("n"), F.min("ord").alias("ord")))
     keys = spelled.groupBy("own").agg(F.min("ord").alias("ord"))
-    words = F.split("own", " ")
-    stem = F.when((F.size(words) > 1) & F.element_at(words, -1).isin(R.NEUTRAL), F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), " "))
-    merged = keys.withColumn("stem", stem).filter("stem IS NOT NULL").join(keys.select(F.col("own").alias("stem"), F.col("ord").alias("stem_ord")), "stem")
-    # A base that was itself folded before is no longer there; folded after, it carries both further.
-    second = merged.select(F.col("own").alias("stem"), F.col("stem").alias("root"))
-    target = merged.join(second, "stem", "left").select(
-        "own",
-        F.when(F.col("root").isNull(), F.col("stem")).when(F.col("ord") < F.col("stem_ord"), F.col("root")).otherwise(F.col("own")).alias("key"),
-    )
+    target = folded_keys(keys)
     grouped = spelled.join(target, "own", "left").withColumn("key", F.coalesce("key", "own"))
     kinds = grouped.groupBy("key", "kind").agg(F.sum("n").alias("n"), F.min("ord").alias("ord"))
     kinds = kinds.groupBy("key").agg(F.max_by("kind", F.struct("n", -F.col("ord"))).alias("kind"), F.sum("n").alias("extracted"))
@@ -48,6 +40,32 @@ def skill_groups(vocab: DataFrame) -> DataFrame:
     return kinds.join(names, "key").select("key", "name", "kind", "extracted")
 
 
+def folded_keys(keys: DataFrame) -> DataFrame:
+    """(own, key) of the keys that end in neutral words: the key each is read as, whatever the number of such words.
+
+    `keys` holds own and ord. In reading order, a key joins the one without its last word if that one is still
+    there; folded later, that one carries both further. The chain of a key is its own prefixes, so it is looked
+    up in one join and followed from its end.
+    """
+    words = F.split("own", " ")
+    # Neutral words at the end, the first word never being one of them.
+    tail = F.aggregate(F.slice(words, F.lit(2), F.size(words)), F.lit(0), lambda n, w: F.when(w.isin(R.NEUTRAL), n + 1).otherwise(0))
+    chains = keys.withColumn("w", words).withColumn("tail", tail).filter("tail > 0").select("own", "ord", "w", F.explode(F.sequence(F.lit(1), F.col("tail"))).alias("i"))
+    prefixes = chains.select("own", "ord", "i", F.array_join(F.slice("w", F.lit(1), F.size("w") - F.col("i")), " ").alias("prefix"))
+    there = prefixes.join(keys.select(F.col("own").alias("prefix"), F.col("ord").alias("at")), "prefix")
+    step = F.struct("i", F.col("prefix").alias("key"), F.col("at").alias("ord"))
+    chain = there.groupBy("own").agg(F.min("ord").alias("ord"), F.array_sort(F.collect_list(step)).alias("chain"))
+    whole = F.concat(F.array(F.struct(F.lit(0).alias("i"), F.col("own").alias("key"), "ord")), "chain")
+    unbroken = F.filter(F.transform(whole, lambda x, n: F.struct(x["i"].alias("i"), x["key"].alias("key"), x["ord"].alias("ord"), n.alias("n"))), lambda x: x["i"] == x["n"])
+    start = F.struct(F.lit(None).cast("string").alias("root"), F.lit(False).alias("folded"), F.lit(None).cast("bigint").alias("ord"))
+
+    def follow(last: Column, x: Column) -> Column:
+        joins = last["root"].isNotNull() & ~(last["folded"] & (last["ord"] < x["ord"]))
+        return F.struct(F.when(joins, last["root"]).otherwise(x["key"]).alias("root"), joins.alias("folded"), x["ord"].cast("bigint").alias("ord"))
+
+    return chain.select("own", F.aggregate(F.reverse(unbroken), start, follow)["root"].alias("key"))
+
+
 def longest_phrase(forms: DataFrame, form: str = "form") -> int:
     """Words of the longest phrase searched: one number, read once."""
     row = forms.agg(F.max(F.size(F.split(form, " "))).alias("n")).first()

@@ -11,10 +11,13 @@ from vacanta.functions.text import dedup_key, rule_text
 from vacanta.operators import dedup as D
 from vacanta.operators import feed as FD
 from vacanta.operators import market as M
+from vacanta.session import settle
 from vacanta.sources import boards as B
 from vacanta.sources.feeds import union_feeds
 from vacanta.sources.sinks import purge_texts
-from vacanta.streaming.incremental import archive_absent
+
+# Arrival order within a run: between texts of equal length the first of these wins.
+ARRIVAL = ["source_key", "source_url", "title"]
 
 
 def normalise(offers: DataFrame) -> DataFrame:
@@ -27,16 +30,36 @@ def normalise(offers: DataFrame) -> DataFrame:
         "experience_level": F.col("level"), "salary_text": F.col("pay"), "contract": F.when(F.col("contract") == "unknown", F.col("deal")).otherwise(F.col("contract")),
         "dedup_key": dedup_key(F.col("company"), F.col("title"), F.get(F.col("places"), F.lit(0))["city"], F.col("location_raw")),
     })
-    return full.drop("_t", "years", "level", "pay", "mode", "deal").withColumn("ordinal", F.xxhash64("source_url"))
+    return full.drop("_t", "years", "level", "pay", "mode", "deal")
+
+
+def with_board_names(offers: DataFrame, boards: DataFrame) -> DataFrame:
+    """A board's offers belong to the company that owns the board, whatever name its feed shows."""
+    names = boards.select(F.col("source").alias("source_key"), F.col("name").alias("_name"))
+    named = offers.join(names, "source_key", "left").withColumn("company", F.coalesce("_name", "company")).drop("_name")
+    return named.withColumn("dedup_key", dedup_key(F.col("company"), F.col("title"), F.get(F.col("places"), F.lit(0))["city"], F.col("location_raw"))).select(*offers.columns)
+
+
+def archive_unlisted(offers: DataFrame, read: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
+    """Active offers of a board read in this run (`read`: source) that no source of the run shows any more (`seen`: dedup_key)."""
+    gone = offers.filter("archived_at IS NULL").select("dedup_key", F.explode("sources").alias("source")).join(read, "source", "left_semi").select("dedup_key").distinct().join(seen, "dedup_key", "left_anti")
+    marked = offers.join(gone.withColumn("_gone", F.lit(True)), "dedup_key", "left")
+    return marked.withColumn("archived_at", F.when(F.col("_gone"), now).otherwise(F.col("archived_at"))).select(*offers.columns)
+
 
+def collect(feeds: list[DataFrame], state: DataFrame, countries: list[str], now: Column, boards: DataFrame | None = None) -> DataFrame:
+    """Next version of the offers: feeds united, kept in scope, longest text per key, merged, absences archived, old texts purged.
 
-def collect(feeds: list[DataFrame], state: DataFrame, countries: list[str], now: Column) -> DataFrame:
-    """Next version of the offers: feeds united, kept in scope, longest text per key, merged, absences archived, old texts purged."""
-    batch = D.dedup_batch(normalise(keep_in_scope(union_feeds(*feeds), countries)))
+    `boards` (source, name) are the boards read in full in this run, those without any offer included; without it, the
+    boards that sent an offer.
+    """
+    read = settle(normalise(keep_in_scope(union_feeds(*feeds), countries)))
+    named = read if boards is None else with_board_names(read, boards)
+    batch = D.dedup_batch(named, ordinal=ARRIVAL)
     merged = D.merge_offers(state, batch, now)
-    boards = batch.filter(F.col("ats").isNotNull()).select(F.col("source_key").alias("source"), "dedup_key")
-    by_source = merged.withColumn("source", F.get("sources", F.lit(0)))
-    return purge_texts(archive_absent(by_source, boards, now).drop("source"), now)
+    listing = read.filter(F.col("ats").isNotNull()).select(F.col("source_key").alias("source"), "dedup_key")
+    whole = listing.select("source") if boards is None else listing.select("source").union(boards.select("source"))
+    return purge_texts(archive_unlisted(merged, whole.distinct(), batch.select("dedup_key"), now), now)
 
 
 def discover(index: DataFrame, companies: DataFrame) -> DataFrame:

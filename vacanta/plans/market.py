@@ -38,14 +38,12 @@ def named_offers(offers: DataFrame, profiles: DataFrame, at: Column) -> DataFram
     return read.drop("text").join(near, "title").filter(named).select("profile_id", "offer_id").distinct()
 
 
-def market_base(offers: DataFrame, profiles: DataFrame, at: Column, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(base, copies): one row per profile and text, and the copies left out. `cap` keeps the first offers by id."""
+def market_base(offers: DataFrame, profiles: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """(base, copies): one row per profile and text, and the copies left out."""
     pairs = settle(named_offers(offers, profiles, at))
     rows = active_at(offers, at).join(pairs, "offer_id")
-    if cap:
-        rows = M.cap_base(rows, cap)
     base = dedup_texts(rows, within=["profile_id"])
-    return base, copies(pairs, base.select("offer_id"))
+    return base, copies(pairs, base, ["profile_id", "offer_id"])
 
 
 def market_counts(base: DataFrame, at: Column) -> dict[str, DataFrame]:
@@ -85,9 +83,9 @@ def market_employers(offers: DataFrame, profiles: DataFrame, base: DataFrame, le
     return M.top_employers(M.who_hires(counted, at, by=["profile_id"]), companies, by=["profile_id"])
 
 
-def market_picture(offers: DataFrame, profiles: DataFrame, vocabulary: DataFrame, companies: DataFrame, at: Column, cap: int | None = None) -> dict[str, DataFrame]:
+def market_picture(offers: DataFrame, profiles: DataFrame, vocabulary: DataFrame, companies: DataFrame, at: Column) -> dict[str, DataFrame]:
     """The whole picture of every profile at one time."""
-    base, left_out = market_base(offers, profiles, at, cap)
+    base, left_out = market_base(offers, profiles, at)
     kept = settle(base)
     roles = profiles.select("profile_id", F.explode(F.array_distinct(F.concat("target_roles", "title_variants"))).alias("role"))
     return {

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vacanta.columns import fixed_map, strings, strip
 from vacanta.functions.geo import parse_locations
@@ -105,13 +105,8 @@ def _flags(remote: str, hybrid: str) -> Column:
     return F.when(F.col(remote), "remote").when(F.col(hybrid), "hybrid")
 
 
-def _per_board(df: DataFrame, cap: int | None) -> DataFrame:
-    """The first `cap` rows of each board, all when no cap is given (landed details cost no request)."""
-    return df if cap is None else df.withColumn("_r", F.row_number().over(Window.partitionBy("token").orderBy("at"))).filter(F.col("_r") <= cap).drop("_r")
-
-
-def smartrecruiters(landing: DataFrame, details: DataFrame, cap: int | None = None) -> DataFrame:
-    j = _per_board(_each(landing, R.SMARTRECRUITERS, "content"), cap).withColumn("key", F.col("j.id"))
+def smartrecruiters(landing: DataFrame, details: DataFrame) -> DataFrame:
+    j = _each(landing, R.SMARTRECRUITERS, "content").withColumn("key", F.col("j.id"))
     d = details.select("token", "key", F.from_json("payload", R.SMARTRECRUITERS_DETAIL).alias("d"))
     both = j.join(d, ["token", "key"])
     part = lambda s: F.try_element_at("d.jobAd.sections", F.lit(s))
@@ -157,12 +152,10 @@ def personio(landing: DataFrame) -> DataFrame:
     return finish(x.select(*BOARD, text.alias("text"), F.col("j.name").alias("title"), raw.alias("raw"), F.col("j.name").alias("context"), F.lit(None).cast("string").alias("said_remote"), _code("personio", F.col("j.employmentType")).alias("employment"), url.alias("url"), _or_blank(F.col("j.subcompany"), F.col("board_name")).alias("company"), F.col("j.createdAt").alias("published")), "personio")
 
 
-def digitalrecruiters(landing: DataFrame, details: DataFrame, cap: int | None = None) -> DataFrame:
+def digitalrecruiters(landing: DataFrame, details: DataFrame) -> DataFrame:
     """Details are landed for wanted titles only; an offer without one keeps its list columns."""
     j = _each(landing, R.DIGITALRECRUITERS, "items").withColumn("key", F.col("j.job_ad_id").cast("string"))
     d = details.select("token", "key", F.from_json("payload", R.DIGITALRECRUITERS_DETAIL).alias("d"))
-    if cap is not None:
-        d = _per_board(d.join(j.select("token", "key", "at"), ["token", "key"]), cap).drop("at")
     both = j.join(d, ["token", "key"], "left")
     body = _joined(_html(F.col("d.catch_phrase")), _html(F.col("d.description")), _html(F.col("d.profile")), by="\n\n")
     asked = F.when(F.col("d.job_experience").isNotNull() & ~F.col("d.job_experience").rlike(R.NO_PREFERENCE), F.concat("d.job_experience", F.lit("\n"))).otherwise("")
@@ -183,10 +176,10 @@ def welcomekit(landing: DataFrame) -> DataFrame:
     return finish(named.select(*BOARD, _joined(_html(F.col("j.description")), _html(F.col("j.profile")), by="\n\n").alias("text"), F.col("j.name").alias("title"), raw.alias("raw"), F.col("j.name").alias("context"), F.lit(None).cast("string").alias("said_remote"), F.col("j.contract_type.fr").alias("employment"), "url", _or_blank(F.col("_p.name"), F.col("board_name")).alias("company"), F.col("j.published_at").alias("published")), "welcomekit")
 
 
-def workday(landing: DataFrame, details: DataFrame, wanted: Callable[[DataFrame], DataFrame] | None = None, cap: int | None = None) -> DataFrame:
+def workday(landing: DataFrame, details: DataFrame, wanted: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """List and details; titles nobody looks for are dropped before the join, the country is added to each place."""
     j = _each(landing, R.WORKDAY, "jobPostings").withColumns({"key": F.col("j.externalPath"), "title": F.col("j.title")}).filter((F.length("title") > 0) & (F.length("key") > 0))
-    j = _per_board(wanted(j) if wanted else j, cap)
+    j = wanted(j) if wanted else j
     d = details.select("token", "key", F.from_json("payload", R.WORKDAY_DETAIL)["jobPostingInfo"].alias("d")).filter("d.title IS NOT NULL")
     both = j.drop("title").join(d, ["token", "key"])
     country = F.coalesce("d.country.descriptor", F.lit(""))

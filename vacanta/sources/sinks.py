@@ -50,10 +50,13 @@ def upsert_offers(batch: DataFrame, root: str, now: Column) -> int:
 def first_state(batch: DataFrame, now: Column) -> DataFrame:
     """The empty offers table, typed like the batch."""
     none = now.isNull()
+    from vacanta.operators.dedup import OFFER_DETAILS
+
     return batch.select(
         "dedup_key", "title", "text", F.array(F.struct(F.col("source_key").alias("source"), F.col("source_url").alias("url"))).alias("urls"),
         F.array("source_key").alias("sources"), "apply_url", "published_at", now.alias("first_seen_at"), now.alias("last_seen_at"),
         F.when(none, now).alias("archived_at"), F.lit(0).alias("repost_count"), F.when(none, now).alias("reposted_at"),
+        *[c for c in OFFER_DETAILS if c in batch.columns],
     )
 
 

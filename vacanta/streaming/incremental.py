@@ -137,14 +137,14 @@ def count_reposts(sights: DataFrame, known: DataFrame | None, days: int = 2) ->
 def send_messages(matches: DataFrame, sent: DataFrame | None, now: Column, hours: int = 20) -> tuple[DataFrame, DataFrame]:
     """(messages, state): people due with what is new since their last message, and when each was last written to.
 
-    A person's matches are counted before they meet the state. `matches` holds user_id, ts.
+    Only matches later than the last message count, to the microsecond. `matches` holds user_id, ts; the state
+    has one row per person.
     """
-    per_hour = matches.groupBy("user_id", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"), F.max("ts").alias("last"))
     before = sent if sent is not None else matches.sparkSession.createDataFrame([], "user_id bigint, sent_at timestamp")
-    j = per_hour.join(before, "user_id", "left")
+    j = matches.select("user_id", "ts").join(before, "user_id", "left")
     due = F.col("sent_at").isNull() | (F.timestamp_diff("SECOND", "sent_at", now) >= hours * 3600)
-    fresh = F.col("last") > F.coalesce("sent_at", now - F.expr("INTERVAL 1 DAY"))
-    messages = j.filter(due & fresh).groupBy("user_id").agg(F.sum("n").alias("n"))
+    fresh = F.col("ts") > F.coalesce("sent_at", now - F.expr("INTERVAL 1 DAY"))
+    messages = j.filter(due & fresh).groupBy("user_id").agg(F.count("*").alias("n"))
     state = messages.select("user_id", now.alias("sent_at")).unionByName(before.join(messages, "user_id", "left_anti"))
     return messages, state
 

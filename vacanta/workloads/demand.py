@@ -168,17 +168,12 @@ def offers_by_source(spark, sf):
     return M.offers_by_source(offers(spark, sf).withColumn("sources", F.array(F.concat("source", F.lit(":board")))))
 
 
-@query("recheck_queue", f"WITH {OFFERS} SELECT offer_id FROM (SELECT offer_id, CASE WHEN lang = 'fr' THEN NULL ELSE posted_at END AS c FROM offers WHERE engine_only AND archived_at IS NULL) WHERE c IS NULL OR c < TIMESTAMP '{NOW}' - INTERVAL 3 DAY ORDER BY c NULLS FIRST, offer_id LIMIT 1000")
+@query("recheck_queue", f"WITH {OFFERS} SELECT offer_id FROM (SELECT offer_id, CASE WHEN lang = 'fr' THEN NULL ELSE posted_at END AS c FROM offers WHERE engine_only AND archived_at IS NULL) WHERE c IS NULL OR c < TIMESTAMP '{NOW}' - INTERVAL 3 DAY")
 def recheck_queue(spark, sf):
     o = offers(spark, sf).withColumn("completed_at", F.when(F.col("lang") != "fr", F.col("posted_at")))
     return M.recheck_queue(o, ntz(NOW)).select("offer_id")
 
 
-@query("cap_base", f"WITH {OFFERS}, {DEDUPED} SELECT offer_id FROM base ORDER BY offer_id LIMIT 1500")
-def cap_base(spark, sf):
-    return M.cap_base(D.dedup_texts(X.active_at(offers(spark, sf), ntz(NOW)))).select("offer_id")
-
-
 @query("purge_texts", f"WITH {OFFERS} SELECT source, count(*) AS n, count(*) FILTER (WHERE archived_at IS NULL OR archived_at >= TIMESTAMP '{NOW}' - INTERVAL 60 DAY) AS texts FROM offers GROUP BY 1")
 def purge_texts(spark, sf):
     p = sinks.purge_texts(offers(spark, sf), ntz(NOW))

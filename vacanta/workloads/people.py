@@ -107,15 +107,15 @@ def unscored_orders(spark, sf):
 _REUSE = "w AS (SELECT DISTINCT o_custkey AS user_id, o_orderpriority AS judge_key FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01'), s AS (SELECT o_custkey AS user_id, o_orderpriority AS judge_key, o_orderkey, year(o_orderdate) * 1000000 + o_orderkey AS v FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01')"
 
 
-@query("reuse_verdicts", f"WITH {_REUSE} SELECT w.user_id, w.judge_key, max(s.v) AS version FROM w JOIN s USING (user_id, judge_key) GROUP BY ALL UNION ALL SELECT w.user_id, w.judge_key, NULL FROM w WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = w.user_id AND s.judge_key = w.judge_key)")
+@query("reuse_verdicts", f"WITH {_REUSE} SELECT w.user_id, w.judge_key, 9999000000 AS version, w.user_id % 2 = 0 AS out_of_zone, max(s.v) AS judged FROM w JOIN s USING (user_id, judge_key) GROUP BY ALL UNION ALL SELECT w.user_id, w.judge_key, NULL, NULL, NULL FROM w WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = w.user_id AND s.judge_key = w.judge_key)")
 def reuse_verdicts(spark, sf):
     o = table(spark, sf, "orders")
     late = F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz")
     keys = [F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("judge_key")]
-    wanted = o.filter(late).select(*keys).distinct().withColumn("criteria_version", F.lit(9_999_000_000).cast("bigint"))
-    earlier = o.filter(~late).select(*keys, (F.year("o_orderdate") * 1_000_000 + F.col("o_orderkey")).alias("criteria_version"))
+    wanted = o.filter(late).select(*keys).distinct().withColumns({"criteria_version": F.lit(9_999_000_000).cast("bigint"), "out_of_zone": F.col("user_id") % 2 == 0})
+    earlier = o.filter(~late).select(*keys, (F.year("o_orderdate") * 1_000_000 + F.col("o_orderkey")).alias("criteria_version")).withColumns({"judged": F.col("criteria_version"), "out_of_zone": F.lit(True)})
     reused, left = G.reuse_verdicts(wanted, earlier, ["user_id", "judge_key"])
-    return reused.select("user_id", "judge_key", F.col("criteria_version").alias("version")).union(left.select("user_id", "judge_key", F.lit(None).cast("bigint")))
+    return reused.select("user_id", "judge_key", F.col("criteria_version").alias("version"), "out_of_zone", "judged").union(left.select("user_id", "judge_key", F.lit(None).cast("bigint"), F.lit(None).cast("boolean"), F.lit(None).cast("bigint")))
 
 
 @query("exceptional_scores", f"SELECT o_orderkey AS offer_id FROM orders WHERE {LEVEL} = 'coeur' AND {INTEREST} >= 60 AND o_custkey % 100 >= 70")
@@ -428,7 +428,7 @@ def sample_checks(spark, sf):
     return FD.sample_checks(scores(spark, sf), done, seed=7, k=20).select("offer_id", "level")
 
 
-@query("cv_targets", f"WITH s AS (SELECT o_orderkey AS offer_id, o_custkey AS user_id, row_number() OVER (PARTITION BY o_custkey ORDER BY {INTEREST} DESC, o_orderkey) AS r FROM orders WHERE {LEVEL} <> 'ecartee'), j AS (SELECT *, offer_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') AS tracked FROM s WHERE r <= 400) SELECT offer_id, tracked, row_number() OVER (PARTITION BY user_id ORDER BY tracked DESC, r) AS place FROM j")
+@query("cv_targets", f"WITH s AS (SELECT o_orderkey AS offer_id, o_custkey AS user_id, row_number() OVER (PARTITION BY o_custkey ORDER BY {INTEREST} DESC, o_orderkey) AS r FROM orders WHERE {LEVEL} <> 'ecartee'), j AS (SELECT *, offer_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') AS tracked FROM s) SELECT offer_id, tracked, row_number() OVER (PARTITION BY user_id ORDER BY tracked DESC, r) AS place FROM j")
 def cv_targets(spark, sf):
     return FD.cv_targets(scores(spark, sf), applications(spark, sf).filter("stage = 'postule'")).select("offer_id", "tracked", "place")
 

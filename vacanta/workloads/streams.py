@@ -31,7 +31,7 @@ def stream_upsert(spark, sf):
     first = state.select("dedup_key", "title", "text", F.get("sources", F.lit(0)).alias("source_key"), F.get("urls", F.lit(0))["url"].alias("source_url"), "apply_url", "published_at")
     landing, root = I.scratch(spark, "landing"), I.scratch(spark, "offers")
     for n, df in enumerate((first, batch)):
-        df.withColumn("ordinal", F.xxhash64("source_url")).write.mode("append").parquet(f"{landing}/batch={n}")
+        df.withColumn("ordinal", F.monotonically_increasing_id()).write.mode("append").parquet(f"{landing}/batch={n}")
         schema = spark.read.parquet(f"{landing}/batch={n}").schema
         I.upsert_stream(I.file_stream(spark, f"{landing}/batch={n}", schema, "*.parquet"), root, ntz(NOW), I.scratch(spark, "upsert-ck"))
     return sinks.read_table(spark, root).select("dedup_key", F.size("urls").alias("urls"), F.array_join("sources", ",").alias("sources"))
@@ -95,13 +95,13 @@ def stream_reposts(spark, sf):
     return sinks.read_table(spark, root).select("offer_id", "reposts")
 
 
-@query("stream_messages", f"SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' AND date_trunc('hour', ts) >= TIMESTAMP '{EVENTS_NOW}' - INTERVAL 1 DAY GROUP BY 1")
+@query("stream_messages", f"SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' AND ts > TIMESTAMP '{EVENTS_NOW}' - INTERVAL 1 DAY GROUP BY 1")
 def stream_messages(spark, sf):
-    """First messages: everything new in the day before, counted per person and hour before it meets the state."""
+    """First messages: everything new in the day before."""
     root, now = I.scratch(spark, "messages"), F.lit(EVENTS_NOW).cast("timestamp")
 
     def work(batch, n):
-        views = batch.filter("event_type = 'view'").select("user_id", "ts").filter(F.date_trunc("hour", "ts") >= now - F.expr("INTERVAL 1 DAY"))
+        views = batch.filter("event_type = 'view'").select("user_id", "ts")
         messages, _state = I.send_messages(views, None, now)
         sinks.write_version(messages, root)
 
