@@ -72,25 +72,26 @@ def longest_phrase(forms: DataFrame, form: str = "form") -> int:
     return int(row["n"] or 1)
 
 
-def citing(texts: DataFrame, forms: DataFrame, id: str, text: str = "text", keyed: bool = False, max_words: int | None = None, max_rows: int = PHRASE_ROWS, salts: int = 16) -> DataFrame:
-    """(id, key) once for every skill a text holds as whole words.
+def citing(texts: DataFrame, forms: DataFrame, id: str, text: str = "text", keyed: bool = False, max_words: int | None = None, max_rows: int = PHRASE_ROWS, salts: int = 16, distinct: bool = True) -> DataFrame:
+    """(id, key) once for every skill a text holds as whole words; with `distinct` off, once per spelling found.
 
     Texts become their distinct phrases, matched by equality. A vocabulary of proven size is sent to the
     executors and the phrases never move; beyond that size both sides are shuffled, the vocabulary
-    repeated over `salts` copies because common phrases are hot keys.
+    repeated over `salts` copies because common phrases are hot keys. (A join on the first word alone, with
+    the rest compared after it, was slower: common first words open many phrases.)
     """
     longest = max_words or longest_phrase(forms)
     words = F.col(text) if keyed else skill_key(F.col(text))
-    grams = texts.select(*([id] if isinstance(id, str) else id), F.explode_outer(K.phrases(words, longest)).alias("form"))
-    side, small = broadcast_if_small(forms.select("form", "key"), max_rows)
     ids = [id] if isinstance(id, str) else list(id)
+    grams = texts.select(*ids, F.explode_outer(K.phrases(words, longest)).alias("form"))
+    side, small = broadcast_if_small(forms.select("form", "key"), max_rows)
     if small:
         found = grams.join(side, "form")
     else:
-        spread = grams.withColumn("_salt", F.pmod(F.xxhash64(*ids), F.lit(salts)).cast("int"))
-        copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        found = spread.join(copies, ["form", "_salt"])
-    return found.select(*ids, "key").distinct()
+        salted = grams.withColumn("_salt", F.pmod(F.xxhash64(*ids), F.lit(salts)).cast("int"))
+        found = salted.join(side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["form", "_salt"])
+    found = found.select(*ids, "key")
+    return found.distinct() if distinct else found
 
 
 def forms_of(groups: DataFrame) -> DataFrame:
@@ -115,7 +116,7 @@ def skill_demand(texts: DataFrame, groups: DataFrame, id: str = "offer_id", text
     longest = longest_phrase(forms)
     parts = [("full", text)] + ([("required", required), ("bonus", bonus)] if required and bonus else [])
     stacked = texts.select(*ids, F.explode_outer(F.array(*[F.struct(F.lit(n).alias("part"), skill_key(F.col(c)).alias("words")) for n, c in parts])).alias("p")).select(*ids, "p.part", "p.words")
-    hits = citing(stacked, forms, [*ids, "part"], "words", keyed=True, max_words=longest)
+    hits = citing(stacked, forms, [*ids, "part"], "words", keyed=True, max_words=longest, distinct=False)
     per_text = hits.groupBy(*ids, "key").agg(*[F.max((F.col("part") == n).cast("int")).alias(n) for n in ("full", "required", "bonus")])
     by = ["key"] if market is None else [market, "key"]
     counted = per_text.filter("full = 1").groupBy(*by).agg(F.count("*").alias("count"), F.sum(F.col("bonus") * (1 - F.col("required"))).alias("bonus"))

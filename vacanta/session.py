@@ -41,15 +41,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over the cores when the files are too few to keep them busy; untouched otherwise.
-
-    Text rules cost far more than moving the text once; a large table has more files than cores already.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def settle(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Compute once into a table of the shared checkpoint folder and read it back.
 
