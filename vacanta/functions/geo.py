@@ -26,7 +26,7 @@ def flat(c: Column) -> Column:
 def _city_rows() -> list[tuple[str, str | None, str]]:
     rows, seen = [], set()
     for country, region, names in R.CITIES:
-        for name in names.split(", "):
+        for name in names:
             if name not in seen:
                 seen.add(name)
                 rows.append((country, region, name))
@@ -34,7 +34,7 @@ def _city_rows() -> list[tuple[str, str | None, str]]:
 
 
 def _country_rows() -> list[tuple[str, str]]:
-    return [(code, name) for code, names in R.COUNTRY_NAMES for name in names.split(", ")]
+    return [(code, name) for code, names in R.COUNTRY_NAMES for name in names]
 
 
 def _alternatives(names: list[str]) -> str:
@@ -85,7 +85,7 @@ def _stated_country(segment: Column, flat_text: Column, normed: Column) -> Colum
 
 
 def _department(segment: Column) -> Column:
-    codes = {n: region for region, numbers in R.DEPARTMENTS.items() for n in numbers.split(" ")}
+    codes = {n: region for region, numbers in R.DEPARTMENTS.items() for n in numbers}
     return F.try_element_at(fixed_map(codes), F.substring(group(segment, r"\b(\d{5})\b"), 1, 2))
 
 
