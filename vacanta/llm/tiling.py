@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from vacanta.llm.words import PUNCTUATION, windows, words_of
+from vacanta.llm.worker import release
 from vacanta.session import settle
 
 MATCH = 4
@@ -103,6 +104,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, cove
     shared = spark.sparkContext.broadcast(table.view(np.uint64))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         known = shared.value
         for batch in batches:
             for first, row, position, prints, _ in seeds_of(batch.column(2), match):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,15 +10,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from vacanta.llm.pretokens import Library, PieceCoder, frequent_pieces
 from vacanta.llm.sampling import bounded_sample
+from vacanta.llm.worker import held
 
 # The frequent tier is learnt from about this many documents of at most this many bytes; it decides speed, never a count.
 SAMPLE_DOCS, SAMPLE_BYTES = 1_000, 65_536
 # Entries of the broadcast tier (about 1 MB).
 FREQUENT = 16_384
 
-_coders: dict[tuple, object] = {}
-
-
 def counter(path: str, frequent: dict[str, int] | None = None):
     """A function text -> number of tokens, as the library for `path` gives them."""
     library = Library(path)
@@ -40,12 +39,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     count = counter(path)
     tier = spark.sparkContext.broadcast({p: count(" " + p) for p in pieces})
 
+    mark = uuid.uuid4().hex
+
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (path, tier.id if hasattr(tier, "id") else id(tier))
-        if key not in _coders:
-            _coders.clear()
-            _coders[key] = counter(path, tier.value)
-        of = _coders[key]
+        of = held(("lengths", path, mark), lambda: counter(path, tier.value))
         for batch in batches:
             counts = pa.array([of(t) for t in _texts(batch.column(1))], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), counts], names=["doc_id", "n_bytes", "n_tokens"])

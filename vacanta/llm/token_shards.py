@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vacanta.llm.files import open_file, shared_folder
 from vacanta.llm.pretokens import Library, PieceCoder
+from vacanta.llm.worker import held
 from vacanta.session import settle
 
 NO_ID = -(2**63)
@@ -32,23 +33,17 @@ ROUNDS = 6
 # Tasks that read shards back, at most.
 READERS = 4_096
 
-_coders: dict[tuple, tuple] = {}
-
-
 def _coder(path: str, width: str) -> tuple:
-    if (path, width) not in _coders:
-        library = Library(path)
-        kind = np.dtype(width)
+    library, kind = Library(path), np.dtype(width)
 
-        def packed(ids) -> bytes:
-            return np.array(ids, kind).tobytes()
+    def packed(ids) -> bytes:
+        return np.array(ids, kind).tobytes()
 
-        def whole(text):
-            return packed(library.ids(text or ""))
+    def whole(text):
+        return packed(library.ids(text or ""))
 
-        of = PieceCoder(lambda part: packed([t.id for t in library.part(part)]), whole, b"".join, None, library.specials).of if library.plain else whole
-        _coders[(path, width)] = (of, kind)
-    return _coders[(path, width)]
+    of = PieceCoder(lambda part: packed([t.id for t in library.part(part)]), whole, b"".join, None, library.specials).of if library.plain else whole
+    return of, kind
 
 
 def _mixed(x: np.ndarray, key: np.uint64) -> np.ndarray:
@@ -80,7 +75,7 @@ def token_sequences(docs: DataFrame, path: str, length: int, end: int, width: st
     """`(doc_id, part, n, ids)`: sequences of at most `length` ids; the last one of a text ends with `end`."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, kind = _coder(path, width)
+        of, kind = held(("ids", path, width), lambda: _coder(path, width))
         stop, stride = np.array([end], kind).tobytes(), length * kind.itemsize
         for batch in batches:
             for start in range(0, batch.num_rows, 256):

@@ -23,6 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from vacanta.llm.sampling import bounded_sample
+from vacanta.llm.worker import held
 
 # Labelled texts (about so many, of at most so many bytes) that the model is fitted on.
 TOXIC_TEXTS, ORDINARY_TEXTS, TEXT_BYTES = 1_800, 9_000, 65_536
@@ -37,9 +38,6 @@ _EDGES = b".,;:!?'\"()[]"
 _CACHE = 300_000
 _LEVELS = 24
 
-_ready: dict[int, tuple] = {}
-
-
 @dataclass
 class Model:
     ordinary: bytes
@@ -95,10 +93,11 @@ def largest_distances(texts: list[str | None], distances: Distances) -> list[int
     return out[: len(texts)]
 
 
-def recurring(toxic: list[list[bytes]], known: set[bytes]) -> bytes:
+def recurring(toxic: list[str | None], known: set[bytes]) -> bytes:
     """Words of toxic texts that no ordinary one holds, in contexts enough; the most frequent last."""
     contexts, counts = defaultdict(set), Counter()
-    for words in toxic:
+    for text in toxic:
+        words = windows(text)
         for before, word in zip([b"", *words], words, strict=False):
             if word not in known:
                 contexts[word].add(before)
@@ -128,14 +127,17 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
         at = np.flatnonzero(labels == label)
         place[at] = np.arange(len(at))
     fitted = place % 3 != 2
-    words = {label: [windows(texts[i]) for i in np.flatnonzero(fitted & (labels == label))] for label in (0, 1)}
-    known = set().union(*words[0]) if words[0] else set()
-    samples = [b" ".join(w[i : i + 100]) for w in words[0] for i in range(0, len(w), 100)]
+    known, samples = set(), []
+    for i in np.flatnonzero(fitted & (labels == 0)):
+        words = windows(texts[i])
+        known.update(words)
+        samples += [b" ".join(words[k : k + 100]) for k in range(0, len(words), 100)]
     try:
         ordinary = zstandard.train_dictionary(ORDINARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too little to learn from
         ordinary = b" ".join(samples)[-ORDINARY_BYTES:]
-    model = Model(ordinary, ordinary + b" " + recurring(words[1], known), [0.0] * _LEVELS)
+    model = Model(ordinary, ordinary + b" " + recurring([texts[i] for i in np.flatnonzero(fitted & (labels == 1))], known), [0.0] * _LEVELS)
+    del known, samples
     kept = np.flatnonzero(~fitted)
     levels = np.clip(largest_distances([texts[i] for i in kept], Distances(model)), 0, _LEVELS - 1) if len(kept) else np.zeros(0, np.int64)
     model.shares = pooled(np.asarray(levels), labels[kept])
@@ -173,14 +175,11 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        key = hash((model.toxic, *model.shares))
-        if key not in _ready:
-            _ready.clear()
-            _ready[key] = Distances(model)
+        distances = held(("distances", hash((model.toxic, *model.shares))), lambda: Distances(model))
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 rows = batch.slice(start, 256)
-                found = largest_distances(rows.column(1).to_pylist(), _ready[key])
+                found = largest_distances(rows.column(1).to_pylist(), distances)
                 scores = [model.shares[min(max(d, 0), _LEVELS - 1)] for d in found]
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found, pa.int32()), pa.array(scores, pa.float64())], names=["doc_id", "distance", "score"])
 
