@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vacanta.llm.components import components
 from vacanta.llm.words import Words, mix, windows, words_of
+from vacanta.llm.worker import release
 from vacanta.session import settle
 
 SHINGLE = 5
@@ -115,6 +116,7 @@ def _lists(values: np.ndarray, filled: np.ndarray, n: int) -> pa.Array:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         for words in words_of(batch.column(1)):
             sets, first = shingle_sets(words)
@@ -182,11 +184,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     alone = firsts.select(*key, F.col("id").alias("doc_id"))
     # One row per print: the representative's own signature.
     heads = usable.join(alone, [*key, "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "packed", "bands")
-    members = settle(heads.select("id", F.explode("bands").alias("band")))
-    heads = settle(heads.select("id", "packed").distinct())
-    buckets = members.groupBy("band").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    heads = settle(heads.distinct())
+    every_member = heads.select("id", F.posexplode("bands").alias("k", "band"))
+    buckets = every_member.groupBy("band").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    # Most buckets hold one text; what follows reads the others only.
+    members = settle(every_member.join(buckets.select("band", "head"), "band"))
     packed = heads.select("id", "packed")
-    star = members.join(buckets, "band").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    star = members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     similar = estimated(F.col("pa"), F.col("pb")) >= least_estimate(MINIMA, BITS)
     star = settle(
         star.join(packed.select(F.col("id").alias("a"), F.col("packed").alias("pa")), "a").join(packed.select(F.col("id").alias("b"), F.col("packed").alias("pb")), "b").where(similar).select("a", "b").distinct()
@@ -195,20 +199,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = components(links)
 
     # Buckets that hold more than one component: members of different components meet, block by block.
-    placed = members.join(labels, "id", "left").select("id", "band", F.coalesce("label", "id").alias("label"))
+    placed = members.join(labels, "id", "left").select("id", "band", "k", F.coalesce("label", "id").alias("label"))
     mixed = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
     open_members = settle(placed.join(mixed.select("band", "size"), "band"))
     fine = settle(docs.join(open_members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_fine, "id long, n long, fine array<long>").where("n > 0").distinct())
     # Sets of too different a size cannot be similar enough.
     alike = (100 * F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb")) & (estimated(F.col("pa"), F.col("pb"), FINE_MINIMA, FINE_BITS) >= least_estimate(FINE_MINIMA, FINE_BITS))
+    # A pair is taken in the first band it shares, once.
+    alike = alike & ~F.arrays_overlap(F.slice("ba", F.lit(1), F.col("k")), F.slice("bb", F.lit(1), F.col("k")))
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    dealt = open_members.join(fine, "id").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = open_members.join(fine, "id").join(heads.select("id", "bands"), "id").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    left = dealt.select("band", F.col("own").alias("i"), F.explode(every).alias("j"), F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("fine").alias("pa"))
-    right = dealt.select("band", F.col("own").alias("j"), F.explode(every).alias("i"), F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("fine").alias("pb"))
+    left = dealt.select("band", "k", F.col("bands").alias("ba"), F.col("own").alias("i"), F.explode(every).alias("j"), F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("fine").alias("pa"))
+    right = dealt.select("band", F.col("bands").alias("bb"), F.col("own").alias("j"), F.explode(every).alias("i"), F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("fine").alias("pb"))
     across = left.join(right, ["band", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & alike).select("a", "b").distinct()
     # Every link between representatives stays in one table; both kinds of link meet in the final components.
-    more = _confirmed(settle(across.join(star.select("a", "b"), ["a", "b"], "left_anti")), docs)
+    more = _confirmed(settle(settle(across).join(star.select("a", "b"), ["a", "b"], "left_anti")), docs)
     # Labels of the first round stand for its links.
     final = settle(components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(more)))
 
