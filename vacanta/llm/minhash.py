@@ -7,7 +7,7 @@ r"""Near-duplicates by b-bit MinHash, links confirmed on full shingle sets.
    collision-corrected estimate (bit counts of packed signatures) is far below the threshold go; the rest is
    confirmed by intersecting the full sets.
 4. Buckets that still hold several components compare their members across components by the bit counts of
-   longer signatures, inside an equality join; large buckets are cut into blocks of bounded size, so no task
+   longer signatures (texts of `SMALL` shingles or fewer by size alone), inside an equality join; large buckets are cut into blocks of bounded size, so no task
    holds a bucket. Pairs that may be similar are confirmed on full sets, too.
 
 A link at the threshold itself is missed with a probability below 1 in 10,000 (no common band: 3.4e-5; an estimate
@@ -38,6 +38,8 @@ SIMILAR = 75
 FINE_MINIMA, FINE_BITS = 1024, 2
 # Standard deviations below the threshold at which an estimate gives a pair up: 3 links in 100,000 at the threshold itself.
 SURE = 4
+# Pairs of sets of at most so many shingles are not estimated: they go to the full sets at once.
+SMALL = 10
 # Members of a bucket that are compared in one block.
 BLOCK = 256
 
@@ -89,9 +91,12 @@ def signatures(sets: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _packed(minima: np.ndarray, bits: int) -> np.ndarray:
-    """Low bits of minima (one row per hash function), packed in longs (one row per text)."""
+    """Low bits of mixed minima (one row per hash function), packed in longs (one row per text).
+
+    Unmixed, the low bits of x * factor depend on the low bits of x alone: two shingles would collide under all functions or none.
+    """
     per_long = 64 // bits
-    low = (minima & np.uint64(2**bits - 1)).reshape(len(minima) // per_long, per_long, minima.shape[1])
+    low = (mix(minima) & np.uint64(2**bits - 1)).reshape(len(minima) // per_long, per_long, minima.shape[1])
     return reduce(np.bitwise_or, [low[:, i] << np.uint64(bits * i) for i in range(per_long)]).T
 
 
@@ -183,17 +188,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     firsts = settle(usable.groupBy(*key).agg(F.min("doc_id").alias("id")))
     alone = firsts.select(*key, F.col("id").alias("doc_id"))
     # One row per print: the representative's own signature.
-    heads = usable.join(alone, [*key, "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "packed", "bands")
+    heads = usable.join(alone, [*key, "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "packed", "bands")
     heads = settle(heads.distinct())
     every_member = heads.select("id", F.posexplode("bands").alias("k", "band"))
     buckets = every_member.groupBy("band").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
     # Most buckets hold one text; what follows reads the others only.
     members = settle(every_member.join(buckets.select("band", "head"), "band"))
-    packed = heads.select("id", "packed")
+    packed = heads.select("id", "n", "packed")
     star = members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    similar = estimated(F.col("pa"), F.col("pb")) >= least_estimate(MINIMA, BITS)
+    small = F.greatest("na", "nb") <= SMALL
+    similar = small | (estimated(F.col("pa"), F.col("pb")) >= least_estimate(MINIMA, BITS))
     star = settle(
-        star.join(packed.select(F.col("id").alias("a"), F.col("packed").alias("pa")), "a").join(packed.select(F.col("id").alias("b"), F.col("packed").alias("pb")), "b").where(similar).select("a", "b").distinct()
+        star.join(packed.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("packed").alias("pa")), "a").join(packed.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("packed").alias("pb")), "b").where(similar).select("a", "b").distinct()
     )
     links = _confirmed(star, docs)
     labels = components(links)
@@ -204,7 +210,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     open_members = settle(placed.join(mixed.select("band", "size"), "band"))
     fine = settle(docs.join(open_members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_fine, "id long, n long, fine array<long>").where("n > 0").distinct())
     # Sets of too different a size cannot be similar enough.
-    alike = (100 * F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb")) & (estimated(F.col("pa"), F.col("pb"), FINE_MINIMA, FINE_BITS) >= least_estimate(FINE_MINIMA, FINE_BITS))
+    alike = (100 * F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb")) & (small | (estimated(F.col("pa"), F.col("pb"), FINE_MINIMA, FINE_BITS) >= least_estimate(FINE_MINIMA, FINE_BITS)))
     # A pair is taken in the first band it shares, once.
     alike = alike & ~F.arrays_overlap(F.slice("ba", F.lit(1), F.col("k")), F.slice("bb", F.lit(1), F.col("k")))
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
