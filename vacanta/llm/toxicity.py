@@ -1,13 +1,16 @@
 """Toxicity by compression distance: which of two Zstandard dictionaries makes the windows of a text shorter.
 
-Ordinary dictionary: trained by the library on a bounded sample of ordinary labelled texts. Toxic dictionary:
-the same content followed by what the toxic sample says again and again and the ordinary sample never: words
-in several contexts, the most frequent last, where matches are cheapest. (The library's trainer alone fills
-the toxic dictionary with the ordinary language that toxic texts consist of, and the two lengths then differ by chance.)
-
-A window is one word between two fixed strings that both dictionaries hold: the compressor does not look for
-matches in the last bytes of its input, so without them a short word would never be found. Its distance is
-the length with the ordinary dictionary less that with the toxic one. The score of a text is the share of
+Toxic terms are words, and phrases of up to `PHRASE` words, that come in several toxic texts and contexts and whose smoothed
+document frequency in toxic texts is `RATIO` times that in ordinary ones or more: a mislabelled text or two do
+not bar a term. The ordinary dictionary is trained by the library on a bounded sample of ordinary labelled
+texts without those terms; the toxic one is the same content followed by the terms, the highest ratio last,
+where matches are cheapest. (The library's trainer alone fills the toxic dictionary with the ordinary language
+that toxic texts consist of, and the two lengths then differ by chance.)
+
+A window is one word, or a toxic phrase the text holds, between two fixed strings that both dictionaries hold:
+the compressor does not look for matches in the last bytes of its input, so without them a short word would
+never be found. Other runs of words are not windows: what sets the two dictionaries apart is the terms alone.
+A window's distance is the length with the ordinary dictionary less that with the toxic one. The score of a text is the share of
 toxic texts, in a sample kept for calibration, at the largest distance of its windows (pooled so that it never falls).
 """
 
@@ -31,6 +34,8 @@ TOXIC_TEXTS, ORDINARY_TEXTS, TEXT_BYTES = 1_800, 9_000, 65_536
 ORDINARY_BYTES = 400_000
 LEVEL = 13
 PREDICTED = 0.3
+# Words of the longest term, toxic texts and contexts it must come in, and its least smoothed ratio.
+PHRASE, LEAST, RATIO = 3, 3, 20.0
 # Bytes of the longest window; longer words are cut, with an overlap.
 WINDOW, OVERLAP = 48, 12
 _FRAME = bytes(range(0x80, 0x98))
@@ -43,6 +48,7 @@ class Model:
     ordinary: bytes
     toxic: bytes
     shares: list[float]
+    phrases: frozenset[bytes] = frozenset()
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -64,8 +70,16 @@ class Distances(dict):
 
     def __init__(self, model: Model):
         super().__init__()
+        self.phrases, self.opening = model.phrases, {p.split(b" ")[0] for p in model.phrases}
         self.compressors = [_compressor(model.ordinary), _compressor(model.toxic)]
 
+    def windows(self, text: str | None) -> list[bytes]:
+        """The words of a text and the toxic phrases it holds."""
+        words = windows(text)
+        if not self.opening.isdisjoint(words):
+            words += [p for n in range(2, PHRASE + 1) for p in self.phrases.intersection(terms(words, n))]
+        return words
+
     def meet(self, words: set[bytes]) -> None:
         """Makes sure that the windows of a group of texts are there."""
         new = words - self.keys()
@@ -84,7 +98,7 @@ def largest_distances(texts: list[str | None], distances: Distances) -> list[int
     """Largest window distance of each text, in groups that bound what is held."""
     out, group, size = [], [], 0
     for text in [*texts, None]:
-        group.append(windows(text))
+        group.append(distances.windows(text))
         size += len(group[-1])
         if size > 100_000 or len(out) + len(group) > len(texts):
             distances.meet(set().union(*group))
@@ -93,17 +107,46 @@ def largest_distances(texts: list[str | None], distances: Distances) -> list[int
     return out[: len(texts)]
 
 
-def recurring(toxic: list[str | None], known: set[bytes]) -> bytes:
-    """Words of toxic texts that no ordinary one holds, in contexts enough; the most frequent last."""
-    contexts, counts = defaultdict(set), Counter()
-    for text in toxic:
-        words = windows(text)
-        for before, word in zip([b"", *words], words, strict=False):
-            if word not in known:
-                contexts[word].add(before)
-                counts[word] += 1
-    enough = max(3, len(toxic) // 150)
-    return b" ".join(sorted((w for w, c in contexts.items() if len(c) >= enough), key=lambda w: (counts[w], w))) + b" "
+def terms(words: list[bytes], n: int) -> list[bytes]:
+    """Runs of `n` words."""
+    return words if n == 1 else [b" ".join(x) for x in zip(*(words[k:] for k in range(n)), strict=False)]
+
+
+def toxic_terms(toxic: list[str | None], ordinary: list[str | None]) -> dict[bytes, float]:
+    """Terms of toxic texts and their smoothed ratios of toxic to ordinary document frequency; a phrase that holds a shorter term is left to it."""
+    found: dict[bytes, float] = {}
+    often: set[bytes] = set()
+    for n in range(1, PHRASE + 1):
+        # A phrase can only be frequent if its shorter ones are.
+        open_terms = lambda words: [x for x, a, b in zip(terms(words, n), *[terms(words, n - 1)[k:] for k in (0, 1)], strict=False) if a in often and b in often] if n > 1 else words  # noqa: B023, E731
+        counts = Counter(x for text in toxic for x in set(open_terms(windows(text))))
+        often = {x for x, c in counts.items() if c >= LEAST and x}
+        contexts, known = defaultdict(set), Counter()
+        for text in toxic:
+            words = windows(text)
+            for before, x in zip([b"", *words], terms(words, n), strict=False):
+                if x in often:
+                    contexts[x].add(before)
+        for text in ordinary:
+            known.update(often.intersection(terms(windows(text), n)))
+        for x in often:
+            ratio = (counts[x] + 0.5) / (len(toxic) + 1) / ((known[x] + 0.5) / (len(ordinary) + 1))
+            parts = x.split(b" ")
+            if ratio >= RATIO and len(contexts[x]) >= LEAST and not any(y in found for k in range(1, n) for y in terms(parts, k)):
+                found[x] = ratio
+    return found
+
+
+def without(piece: list[bytes], found: dict[bytes, float]) -> bytes:
+    """A piece of an ordinary text without toxic terms."""
+    kept: list[bytes] = []
+    for word in piece:
+        kept.append(word)
+        for n in range(1, PHRASE + 1):
+            if b" ".join(kept[-n:]) in found:
+                del kept[-n:]
+                break
+    return b" ".join(kept)
 
 
 def pooled(levels: np.ndarray, toxic: np.ndarray) -> list[float]:
@@ -127,17 +170,19 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
         at = np.flatnonzero(labels == label)
         place[at] = np.arange(len(at))
     fitted = place % 3 != 2
-    known, samples = set(), []
-    for i in np.flatnonzero(fitted & (labels == 0)):
-        words = windows(texts[i])
-        known.update(words)
-        samples += [b" ".join(words[k : k + 100]) for k in range(0, len(words), 100)]
+    pick = lambda label: [texts[i] for i in np.flatnonzero(fitted & (labels == label))]
+    found = toxic_terms(pick(1), pick(0))
+    samples = []
+    for text in pick(0):
+        words = windows(text)
+        samples += [without(words[k : k + 100], found) for k in range(0, len(words), 100)]
     try:
         ordinary = zstandard.train_dictionary(ORDINARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too little to learn from
         ordinary = b" ".join(samples)[-ORDINARY_BYTES:]
-    model = Model(ordinary, ordinary + b" " + recurring([texts[i] for i in np.flatnonzero(fitted & (labels == 1))], known), [0.0] * _LEVELS)
-    del known, samples
+    ranked = sorted(found, key=lambda x: (found[x], x))
+    model = Model(ordinary, ordinary + b" " + b" ".join(ranked) + b" ", [0.0] * _LEVELS, frozenset(x for x in ranked if b" " in x))
+    del samples
     kept = np.flatnonzero(~fitted)
     levels = np.clip(largest_distances([texts[i] for i in kept], Distances(model)), 0, _LEVELS - 1) if len(kept) else np.zeros(0, np.int64)
     model.shares = pooled(np.asarray(levels), labels[kept])
