@@ -7,7 +7,8 @@ r"""Hidden Markov language model over words, trained by Baum-Welch counts that S
 3. Baum-Welch: each task runs scaled forward-backward over the segments of its texts and adds up expected
    counts of states, transitions and emissions; Spark sums the tasks' counts by class, and the driver only ever
    sees one row per class. All training texts take part in every round, cut into segments of `SEGMENT` tokens.
-   Starting parameters come from rounds over the segments of a bounded number of texts.
+   The first parameters are fixed random ones, so they depend neither on a sample nor on the layout of the
+   table; rounds go on until the summed likelihood settles.
 4. The score of a text is the exact likelihood of its whole sequence by the scaled forward recursion, plus the
    shares of its words inside `rest`. Summed over all sequences up to an end, the model is a distribution.
 """
@@ -20,19 +21,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vacanta.llm.sampling import bounded_sample
 from vacanta.llm.words import words_of
 from vacanta.session import settle
 
 STATES, WORDS, LOOKUP = 8, 8_192, 131_072
-ROUNDS, SEGMENT = 3, 64
-# Texts (of at most this many bytes of classes) and rounds the starting parameters are found with.
-START_TEXTS, START_BYTES, START_ROUNDS, STARTS = 400, 20_000, 25, 3
+SEGMENT = 64
+# The likelihood has settled when a round adds less than this share of it.
+SETTLED = 1e-4
 # Weight, in tokens, of the overall distribution in each state's emissions.
 PRIOR = 100.0
 END_HASH = 0x7E57_0E4D
 _CHUNK_SEGMENTS = 4_096
-_COUNTS = [f"s{j}" for j in range(STATES)]
 # Row numbers of counts that are not emissions: transitions from state i are -1 - i.
 _FIRST, _LIKELIHOOD = -100, -200
 
@@ -104,22 +103,12 @@ def updated(counts: dict[str, np.ndarray], overall: np.ndarray) -> dict:
     return {"emit": emit / emit.sum(axis=0), "move": move / move.sum(axis=1, keepdims=True), "first": start / start.sum(), "usual": usual / usual.sum()}
 
 
-def starting_model(texts: list[np.ndarray], overall: np.ndarray, states: int, seed: int = 8) -> dict:
-    """The likeliest of `STARTS` models, each begun by dealing the texts to states at random."""
-    best, highest = None, -np.inf
-    ids = np.concatenate(texts) if texts else np.zeros(0, np.uint16)
-    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    for start in range(STARTS):
-        random = np.random.RandomState(seed + start)
-        emit = np.zeros((len(overall), states))
-        for text in texts:
-            emit[:, random.randint(states)] += np.bincount(text, minlength=len(overall))
-        counts = {"emit": emit, "move": np.eye(states) * 50.0 + 1, "first": np.ones(states)}
-        for _ in range(START_ROUNDS):
-            counts = expected_counts(ids, first, updated(counts, overall))
-        if best is None or counts["likelihood"] > highest:
-            best, highest = updated(counts, overall), counts["likelihood"]
-    return best
+def starting_model(overall: np.ndarray, states: int, seed: int = 8) -> dict:
+    """Fixed random parameters: every state has the overall emissions, each class stretched at random, and tends to stay."""
+    emit = overall[:, None] * np.random.RandomState(seed).exponential(size=(len(overall), states))
+    move = np.eye(states) * 50.0 + 1
+    even = np.full(states, 1.0 / states)
+    return {"emit": emit / emit.sum(axis=0), "move": move / move.sum(axis=1, keepdims=True), "first": even, "usual": even}
 
 
 def forward(ids: np.ndarray, first: np.ndarray, model: dict) -> np.ndarray:
@@ -153,7 +142,7 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data.view(np.uint16), (offsets - offsets[0]) // 2
 
 
-def language_model_scores(docs: DataFrame, held_out, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+def language_model_scores(docs: DataFrame, held_out, states: int = STATES, settled: float = SETTLED) -> DataFrame:
     """`(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)` per row of `docs(doc_id, text, ...)`.
 
     `held_out` is a boolean column; rows where it is null or false train the model. A null or empty text is the
@@ -202,11 +191,7 @@ def language_model_scores(docs: DataFrame, held_out, states: int = STATES, round
     coded = settle(rows.select("doc_id", "held_out", "text").mapInArrow(encode, schema).withColumn("row", F.monotonically_increasing_id()), compression="zstd")
     training = coded.where("NOT held_out").select("classes")
 
-    chosen = bounded_sample(coded.where(~F.col("held_out")), F.col("row"), START_TEXTS).where(F.octet_length("classes") <= START_BYTES).orderBy("row").select("classes").collect()
-    model = starting_model([np.frombuffer(bytes(r.classes), np.uint16) for r in chosen], overall, states)
-    names = _COUNTS[:states] if states <= STATES else [f"s{j}" for j in range(states)]
-    for _ in range(rounds):
-        model = updated(_round(training, model, names), overall)
+    model = trained(training, starting_model(overall, states), overall, states, settled)
 
     shared = spark.sparkContext.broadcast(model)
 
@@ -227,6 +212,18 @@ def language_model_scores(docs: DataFrame, held_out, states: int = STATES, round
     return joined.select("doc_id", "held_out", "n_tokens", (F.col("found") + zero("rare_found") + (1 if ends else 0)).cast("long").alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), full.alias("score"))
 
 
+def trained(training: DataFrame, model: dict, overall: np.ndarray, states: int, settled: float) -> dict:
+    """Baum-Welch rounds over all of `training(classes)` until a round adds less than the share `settled` to the likelihood."""
+    names, before = [f"s{j}" for j in range(states)], -np.inf
+    while True:
+        counts = _round(training, model, names)
+        model = updated(counts, overall)
+        # An empty table adds nothing.
+        if counts["likelihood"] - before <= settled * abs(counts["likelihood"]):
+            return model
+        before = counts["likelihood"]
+
+
 def _round(training: DataFrame, model: dict, names: list[str]) -> dict[str, np.ndarray]:
     """Expected counts of all training texts, added up by Spark."""
     spark, states, kinds = training.sparkSession, len(names), len(model["emit"])
