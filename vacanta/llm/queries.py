@@ -154,3 +154,59 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     scored = toxicity_scores(docs, learn(docs, table(spark, sf, "labels").where(~held_out)))
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query(
+    "op11_collocations",
+    r"""
+    WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    numbered AS (SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    words AS (SELECT lang, p, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM numbered),
+    runs AS (SELECT lang, w AS w1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4 FROM words WINDOW o AS (PARTITION BY p ORDER BY i)),
+    grams AS (SELECT lang, 1 AS k, w1 AS phrase FROM runs UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM runs WHERE w2 IS NOT NULL
+              UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM runs WHERE w3 IS NOT NULL UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM runs WHERE w4 IS NOT NULL),
+    f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL),
+    n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+    candidates AS (SELECT * FROM f WHERE k > 1 AND a >= 30),
+    inner_ones AS (SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + m - 1], ' ') AS phrase, a FROM candidates, range(1, 4) AS s(i), range(2, 4) AS t(m) WHERE m < k AND i + m - 1 <= k),
+    longer AS (SELECT lang, phrase, max(a) AS f FROM inner_ones GROUP BY ALL),
+    kept AS (SELECT c.* FROM candidates c LEFT JOIN longer g USING (lang, phrase) WHERE g.f IS NULL OR 100 * g.f < 80 * c.a),
+    cuts AS (SELECT *, array_to_string(string_split(phrase, ' ')[1:c], ' ') AS one, array_to_string(string_split(phrase, ' ')[c + 1:k], ' ') AS two FROM kept, range(1, 4) AS t(c) WHERE c < k),
+    scored AS (SELECT cuts.lang, cuts.phrase, cuts.a, x.a AS l, y.a AS r, c, CAST((CAST(2000000 AS HUGEINT) * cuts.a) // (x.a + y.a) AS BIGINT) AS score
+               FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = one JOIN f y ON y.lang = cuts.lang AND y.phrase = two
+               QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY score, c) = 1)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+    FROM scored JOIN n USING (lang) QUALIFY rank <= 2000
+    """,
+)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    from vacanta.llm.collocations import collocations
+
+    return collocations(table(spark, sf, "documents"))
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    from vacanta.llm.whitening import whiten
+
+    return whiten(table(spark, sf, "embeddings"))
+
+
+@query(
+    "op13_ngram_join",
+    r"""
+    WITH RECURSIVE lists AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    words AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM lists),
+    runs AS (SELECT doc_id, i, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) AS s, lead(w, 4) OVER o IS NOT NULL AS whole FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    s AS (SELECT DISTINCT doc_id, md5(s) AS s FROM runs WHERE whole OR i = 1),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 80 * (na.n + nb.n - common)),
+    reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, b FROM reached r JOIN links ON a = r.other)
+    SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id FROM reached LEFT JOIN n USING (doc_id) GROUP BY doc_id
+    """,
+)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    from vacanta.llm.ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf, "documents"))

@@ -80,32 +80,51 @@ def words_of(column: pa.Array, chunk: int = CHUNK, apart: np.ndarray = _SPACE) -
 
     `apart` marks the bytes that stand between words.
     """
-    values = np.where(apart, np.uint64(0), _BYTE)
+    values = weights(apart)
+    for row, limits, text in lowered(column, chunk):
+        yield Words(row, len(limits) - 1, *_hash(text, limits, apart, values))
+
+
+def weights(apart: np.ndarray) -> np.ndarray:
+    """Weight of every byte in a word's hash: none for those between words."""
+    return np.where(apart, np.uint64(0), _BYTE)
+
+
+def lowered(column: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row of a chunk, the limits of its texts, and their bytes with A-Z lower-cased. Null texts are empty."""
     offsets, data = _buffer(column)
     row, rows = 0, len(column)
     while row < rows:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + chunk, side="right")) - 1)
         end = min(end, rows)
-        limits = offsets[row : end + 1] - offsets[row]
-        yield Words(row, end - row, *_hash(_LOWER[data[offsets[row] : offsets[end]]], limits, apart, values))
+        yield row, offsets[row : end + 1] - offsets[row], _LOWER[data[offsets[row] : offsets[end]]]
         row = end
 
 
-def _hash(text: np.ndarray, limits: np.ndarray, apart: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = len(text)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(limits), np.int64)
+def located(text: np.ndarray, limits: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start of every word of texts that lie one after the other, and for each text the index of its first word."""
     space = apart[text]
-    opens = np.ones(n, bool)
+    opens = np.ones(len(text), bool)
     opens[1:] = space[:-1]
-    opens[limits[:-1][limits[:-1] < n]] = True
+    opens[limits[:-1][limits[:-1] < len(text)]] = True
     starts = np.flatnonzero(opens & ~space)
-    first = np.searchsorted(starts, limits)
+    return starts, np.searchsorted(starts, limits)
+
+
+def hashed(text: np.ndarray, starts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Hashes of the words; `values` are the weights of the bytes, 0 for those between words."""
     if not len(starts):
-        return np.zeros(0, np.uint64), first
+        return np.zeros(0, np.uint64)
     # A word's bytes run from its start to the next start; what stands between weighs nothing.
-    sums = np.add.reduceat(values[text] * _power("down", n), starts)
-    return mix(sums * _power("up", n)[starts]), first
+    sums = np.add.reduceat(values[text] * _power("down", len(text)), starts)
+    return mix(sums * _power("up", len(text))[starts])
+
+
+def _hash(text: np.ndarray, limits: np.ndarray, apart: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(text):
+        return np.zeros(0, np.uint64), np.zeros(len(limits), np.int64)
+    starts, first = located(text, limits, apart)
+    return hashed(text, starts, values), first
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
