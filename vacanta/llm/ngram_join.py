@@ -3,8 +3,8 @@ r"""Exact Jaccard join of word n-gram sets: size-banded tiles, hashed bitmaps, s
 1. Sizes are cut into bands so that sets similar enough are in one band or in two that follow each other. A set of `n`
    n-grams shares one of its `n - ceil(t * n) + 1` first ones with every partner, in any order common to all sets. The order
    puts n-grams that many texts hold last; a bounded list of them comes from one pass, and only the work depends on it.
-2. A tile is one of those n-grams and one band: sets of the band, and sets of the band below beside them. N-grams that
-   only one set holds never leave the counting: a bit map of fixed size keeps their rows out of the shuffle.
+2. A tile is one of those n-grams and one band: sets of the band, and sets of the band below beside them. First n-grams are
+   shuffled once, as `(n-gram, doc_id, band)`; those that only one set holds end there.
 3. Sets with one 128-bit print are copies; the smallest doc_id of a print stands for all.
 4. Bitmaps of hashed n-grams, as wide as the band needs, bound the overlap from above:
    `|a and b| <= |a| - bits(a and not b)`. Pairs that the bound leaves are intersected on their full sorted arrays.
@@ -29,14 +29,20 @@ from vacanta.llm.marks import bit_map, marked
 from vacanta.llm.minhash import shingle_sets
 from vacanta.llm.words import mix, words_of
 from vacanta.llm.worker import release
-from vacanta.session import settle, skew_join
+from vacanta.session import settle
 
 SIMILAR = 80
 NGRAM = 5
-# An n-gram is ordered by its count if it makes up at least 1 of so many of all n-grams: so many can be listed at most (8 MB).
-COMMON = 2**20
+# Common n-grams that are listed in the order of their counts (24 MB); all others come before them, by their hash.
+COMMON = 2**21
+# Counts above this one are alike when the shortest count that fits the list is looked for.
+_TALL = 10_000
+# First n-grams dealt to one task.
+TASK_ROWS = 1_000_000
 # Sets of one tile that are compared in one block.
 BLOCK = 256
+# A key with more than one in HOT of the rows is dealt over SALTS tasks.
+HOT, SALTS = 10_000, 32
 
 
 def size_bands(similar: int = SIMILAR) -> np.ndarray:
@@ -48,8 +54,8 @@ def size_bands(similar: int = SIMILAR) -> np.ndarray:
 
 
 def width(start: int) -> int:
-    """Longs of a bitmap in a tile whose band begins at `start`: two bits and more an n-gram, a power of two."""
-    return max(4, 1 << (-(-start // 32) - 1).bit_length())
+    """Longs of a bitmap in a tile whose band begins at `start`: one to two bits an n-gram, a power of two."""
+    return max(4, 1 << (-(-start // 64) - 1).bit_length())
 
 
 def _sets(column: pa.Array, ngram: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -75,7 +81,14 @@ def common_ngrams(docs: DataFrame, ngram: int) -> np.ndarray:
 
     seen = settle(docs.select("text").mapInArrow(count, "gram long, times long, all long").groupBy("gram").agg(F.sum("times").alias("times"), F.sum("all").alias("all")))
     whole = seen.agg(F.sum("all")).first()[0] or 0
-    rows = seen.where(F.col("times") >= max(2, -(-whole // COMMON))).select("gram", "times").toArrow()
+    # So many at least, the list cannot be longer than COMMON; a smaller count serves if the histogram shows that it fits.
+    least, listed = max(2, -(-whole // COMMON)), 0
+    for times, grams in sorted(((r["t"], r["count"]) for r in seen.where("times > 1").groupBy(F.least("times", F.lit(_TALL)).alias("t")).count().collect()), reverse=True):
+        listed += grams
+        if listed > COMMON:
+            break
+        least = min(least, times)
+    rows = seen.where(F.col("times") >= least).select("gram", "times").toArrow()
     grams, times = rows.column("gram").to_numpy().view(np.uint64), rows.column("times").to_numpy()
     return grams[np.lexsort((grams, times))]
 
@@ -113,17 +126,11 @@ def _list(values: np.ndarray, limits: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(limits.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _signed(docs: DataFrame, ngram: int, similar: int) -> DataFrame:
-    """Size, print, band, first n-grams and bitmap of every row."""
-    common = common_ngrams(docs, ngram)
-    order = np.argsort(common)
-    shared = docs.sparkSession.sparkContext.broadcast((common[order], order))
-    starts = size_bands(similar)
-    widths = np.array([width(int(s)) for s in starts])
+def _prints(docs: DataFrame, ngram: int) -> DataFrame:
+    """Size and 128-bit print of every row's set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        listed, place = shared.value
         for batch in batches:
             for row, rows, sets, limits in _sets(batch.column(1), ngram):
                 n = np.diff(limits)
@@ -132,31 +139,79 @@ def _signed(docs: DataFrame, ngram: int, similar: int) -> DataFrame:
                 if len(filled):
                     for k, salt in enumerate((0x6A09E667F3BCC909, 0xBB67AE8584CAA73B)):
                         prints[k, filled] = np.add.reduceat(mix(sets ^ np.uint64(salt)), limits[filled])
-                band = np.searchsorted(starts, np.maximum(n, 1), side="right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, rows), pa.array(n), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), pa.array(band.astype(np.int32)),
-                     _list(*first_ngrams(sets, limits, listed, place, similar)), _list(*bitmaps(sets, limits, widths[band + 1]))],
-                    names=["doc_id", "n", "print_a", "print_b", "band", "firsts", "bits"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, rows), pa.array(n), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64))], names=["doc_id", "n", "print_a", "print_b"])
+
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, print_a long, print_b long")
+
+
+class _Chosen:
+    """Rows of `docs(doc_id, text, h)` whose id is in a table of ids (and few others), by a bit map of fixed size."""
+
+    def __init__(self, docs: DataFrame, ids: DataFrame, ngram: int):
+        self.docs, self.ngram = docs, ngram
+        self.shared = docs.sparkSession.sparkContext.broadcast(bit_map(ids, F.xxhash64("id")))
 
-    return docs.mapInArrow(sign, "doc_id long, n long, print_a long, print_b long, band int, firsts array<long>, bits array<long>")
+    def read(self, make, schema: str) -> DataFrame:
+        """What `make(ids, sets, limits)` gives for the chosen rows of each chunk, a column per field of the schema."""
+        shared, ngram, names = self.shared, self.ngram, [f.split(" ")[0] for f in schema.split(", ")]
 
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
+            for batch in batches:
+                batch = batch.filter(pa.array(marked(shared.value, batch.column(2).to_numpy())))
+                for row, rows, sets, limits in _sets(batch.column(1), ngram):
+                    yield pa.RecordBatch.from_arrays(make(batch.column(0).slice(row, rows), sets, limits), names=names)
 
-def _repeated(heads: DataFrame) -> DataFrame:
-    """`(gram, id, band)`: the first n-grams of each set that other sets may hold among theirs, too."""
-    grams = heads.select(F.explode("firsts").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    shared = heads.sparkSession.sparkContext.broadcast(bit_map(settle(grams.select("gram")), F.col("gram")))
+        return self.docs.mapInArrow(step, schema)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+
+def _entries(docs: DataFrame, heads: DataFrame, ngram: int, similar: int) -> DataFrame:
+    """`(gram, id, band)`: the first n-grams of the heads, without those that one text alone holds."""
+    common = common_ngrams(docs, ngram)
+    order = np.argsort(common)
+    shared = docs.sparkSession.sparkContext.broadcast((common[order], order.astype(np.int32)))
+    starts = size_bands(similar)
+
+    def firsts(ids: pa.Array, sets: np.ndarray, limits: np.ndarray) -> list[pa.Array]:
+        grams, ends = first_ngrams(sets, limits, *shared.value, similar)
+        owner = np.repeat(np.arange(len(ids)), np.diff(ends))
+        band = np.searchsorted(starts, np.maximum(np.diff(limits), 1), side="right") - 1
+        return [pa.array(grams.view(np.int64)), ids.take(pa.array(owner)), pa.array(band.astype(np.int32)[owner])]
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come sorted by n-gram; the last one of a batch waits for the next.
+        held, last_grouped = None, False
         for batch in batches:
-            lists = batch.column(2)
-            values, owner = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
-            there = np.flatnonzero(marked(table, values))
-            rows = pa.array(owner[there])
-            yield pa.RecordBatch.from_arrays([pa.array(values[there]), batch.column(0).take(rows), batch.column(1).take(rows)], names=["gram", "id", "band"])
+            if not batch.num_rows:
+                continue
+            grams = batch.column(0).to_numpy()
+            before = np.concatenate([[held is not None and held.column(0)[0].as_py() == grams[0]], grams[1:] == grams[:-1]])
+            if held is not None and (last_grouped or before[0]):
+                yield held
+            grouped = before.copy()
+            grouped[:-1] |= before[1:]
+            yield batch.slice(0, batch.num_rows - 1).filter(pa.array(grouped[:-1]))
+            held, last_grouped = batch.slice(batch.num_rows - 1), bool(before[-1])
+        if held is not None and last_grouped:
+            yield held
+
+    schema = "gram long, id long, band int"
+    rows = heads.agg(F.sum("n")).first()[0] or 0
+    tasks = max(8, -(-rows * (100 - similar) // 100 // TASK_ROWS))
+    dealt = _Chosen(docs, heads.select("id"), ngram).read(firsts, schema).repartition(tasks, "gram").sortWithinPartitions("gram", "id")
+    return dealt.mapInArrow(repeated, schema)
+
+
+def _bitmaps(docs: DataFrame, ids: DataFrame, ngram: int, similar: int) -> DataFrame:
+    """`(id, n, bits)` of the texts with these ids; the bitmap is as wide as the tiles above the text's band need."""
+    starts = size_bands(similar)
+    widths = np.array([width(int(s)) for s in starts])
+
+    def make(names: pa.Array, sets: np.ndarray, limits: np.ndarray) -> list[pa.Array]:
+        band = np.searchsorted(starts, np.maximum(np.diff(limits), 1), side="right") - 1
+        return [names, pa.array(np.diff(limits)), _list(*bitmaps(sets, limits, widths[band + 1]))]
 
-    return heads.select("id", "band", "firsts").mapInArrow(keep, "gram long, id long, band int")
+    return settle(_Chosen(docs, ids, ngram).read(make, "id long, n long, bits array<long>").where("n > 0").join(ids, "id", "left_semi"))
 
 
 def _narrowed(bits: Column, longs: Column) -> Column:
@@ -175,17 +230,36 @@ def may_link(na: Column, a: Column, nb: Column, b: Column, similar: int) -> Colu
     return sized & ((100 + similar) * F.least(na - _only(a, b), nb - _only(b, a)) >= similar * (na + nb))
 
 
+def _hot(rows: DataFrame, key: list[str], counted: DataFrame | None = None) -> DataFrame:
+    """Keys that hold more than 1 in `HOT` of the rows: fewer than `HOT` keys, whatever the table."""
+    counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")) if counted is None else counted
+    whole = counted.agg(F.sum("rows")).first()[0] or 0
+    return counted.where(F.col("rows") > max(BLOCK, whole // HOT)).select(*key)
+
+
+def _spread_join(big: DataFrame, small: DataFrame, key: list[str], hot: DataFrame) -> DataFrame:
+    """Inner join with a side that is unique or nearly so on `key`; rows of hot keys are dealt over `SALTS` copies of it."""
+    marks = F.broadcast(hot.withColumn("hot", F.lit(1)))
+    big = big.join(marks, key, "left").withColumn("salt", F.when(F.col("hot") == 1, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("hot")
+    last = F.when(F.col("hot") == 1, SALTS - 1).otherwise(0)
+    small = small.join(marks, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop("hot")
+    return big.join(small, [*key, "salt"]).drop("salt")
+
+
+def _both_ends(pairs: DataFrame, texts: DataFrame, names: list[str]) -> DataFrame:
+    """Pairs `(a, b)` with the columns `names` of both texts, as `na`, `nb` and so on. An `a` may be in many pairs."""
+
+    def side(letter: str, key: str) -> list[Column]:
+        return [F.col("id").alias(key), *[F.col(c).alias(f"{c}_{letter}") for c in names]]
+
+    one = pairs.join(texts.select(*side("b", "b")), "b").withColumnRenamed("b", "id")
+    hubs = texts.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select(*side("a", "a"))
+    return _spread_join(one, hubs, ["a"], settle(_hot(pairs, ["a"]))).withColumnRenamed("id", "b")
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, ngram: int, similar: int) -> DataFrame:
     """The pairs `(a, b)` that are similar enough: sorted arrays of both texts, intersected."""
     ids = settle(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    shared = docs.sparkSession.sparkContext.broadcast(bit_map(ids, F.xxhash64("id")))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        for batch in batches:
-            batch = batch.filter(pa.array(marked(shared.value, batch.column(2).to_numpy())))
-            for row, rows, sets, limits in _sets(batch.column(1), ngram):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, rows), _list(sets, limits)], names=["id", "grams"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,11 +272,10 @@ def _linked(pairs: DataFrame, docs: DataFrame, ngram: int, similar: int) -> Data
                 kept[k] = 100 * both >= similar * (len(x) + len(y) - both)
             yield batch.select([0, 1]).filter(pa.array(kept))
 
-    sets = settle(docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(read, "id long, grams array<long>").where(F.size("grams") > 0))
-    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
-    hubs = sets.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
-    both = skew_join(with_b, hubs.select(F.col("id").alias("a"), F.col("grams").alias("ga")), ["a"], "inner")
-    return settle(both.select("a", "b", "ga", "gb").mapInArrow(meet, "a long, b long").distinct())
+    read = _Chosen(docs, ids, ngram).read(lambda names, sets, limits: [names, _list(sets, limits)], "id long, grams array<long>")
+    sets = settle(read.where(F.size("grams") > 0).join(ids, "id", "left_semi"))
+    met = _both_ends(pairs, sets, ["grams"]).select("a", "b", "grams_a", "grams_b")
+    return settle(met.mapInArrow(meet, "a long, b long").distinct())
 
 
 def ngram_join(docs: DataFrame, ngram: int = NGRAM, similar: int = SIMILAR) -> DataFrame:
@@ -213,34 +286,34 @@ def ngram_join(docs: DataFrame, ngram: int = NGRAM, similar: int = SIMILAR) -> D
     gets a null component. Rows that share a doc_id are one document: links of any of them count for all. Other
     columns are ignored. An empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = settle(_signed(docs, ngram, similar))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
+    signed = settle(_prints(docs, ngram))
     key = ["print_a", "print_b", "n"]
     usable = signed.where("doc_id IS NOT NULL AND n > 0")
-    heads = settle(usable.groupBy(*key).agg(F.min("doc_id").alias("id"), F.min_by(F.struct("band", "firsts", "bits"), "doc_id").alias("s")).select(*key, "id", "s.*"))
-    sized = heads.select("id", "n", "band", "bits")
+    heads = settle(usable.groupBy(*key).agg(F.min("doc_id").alias("id")))
+    named = docs.where("doc_id IS NOT NULL")
 
     # Tiles: every set is in that of its own band and, for larger partners, in that of the next.
-    entries = settle(_repeated(heads))
+    entries = settle(_entries(named, heads, ngram, similar))
     placed = entries.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).select("gram", (F.col("band") + F.col("up")).alias("tile"), "id", "up")
-    tiles = placed.groupBy("gram", "tile").agg(F.min(F.when(F.col("up") == 0, F.col("id"))).alias("head"), F.count(F.lit(1)).alias("sets")).where("sets > 1 AND head IS NOT NULL")
-    members = settle(skew_join(placed, settle(tiles), ["gram", "tile"], "inner"))
+    tiles = placed.groupBy("gram", "tile").agg(F.min(F.when(F.col("up") == 0, F.col("id"))).alias("head"), F.count(F.lit(1)).alias("rows")).where("rows > 1 AND head IS NOT NULL")
+    tiles = settle(tiles)
+    hot = settle(_hot(placed, ["gram", "tile"], tiles))
+    members = settle(_spread_join(placed, tiles, ["gram", "tile"], hot))
     star = settle(members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
-    hubs = sized.join(star.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
-    ends = star.join(sized.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("sb")), "b")
-    ends = skew_join(ends, hubs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("sa")), ["a"], "inner")
-    longs = F.least(F.size("sa"), F.size("sb"))
-    possible = ends.where(may_link(F.col("na"), _narrowed(F.col("sa"), longs), F.col("nb"), _narrowed(F.col("sb"), longs), similar))
-    links = _linked(settle(possible.select("a", "b").distinct()), docs, ngram, similar)
+    sized = _bitmaps(named, star.select(F.col("a").alias("id")).union(star.select("b")).distinct(), ngram, similar)
+    longs = F.least(F.size("bits_a"), F.size("bits_b"))
+    possible = _both_ends(star, sized, ["n", "bits"]).where(may_link(F.col("n_a"), _narrowed(F.col("bits_a"), longs), F.col("n_b"), _narrowed(F.col("bits_b"), longs), similar))
+    links = _linked(settle(possible.select("a", "b").distinct()), named, ngram, similar)
     labels = components(links)
 
     # Tiles that hold several components: sets of different ones meet, block by block, those of the band with each other and with the band below.
     labelled = members.select("gram", "tile", "id", "up").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = labelled.groupBy("gram", "tile").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("sets")).where("low < high")
-    dealt = skew_join(labelled, settle(mixed.select("gram", "tile", "sets")), ["gram", "tile"], "inner").join(sized.drop("band"), "id")
+    mixed = settle(labelled.groupBy("gram", "tile").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high").drop("low", "high"))
+    dealt = _spread_join(labelled, mixed, ["gram", "tile"], hot).join(sized, "id")
     widths = F.array(*[F.lit(width(int(s))) for s in size_bands(similar)])
-    dealt = dealt.withColumn("bits", _narrowed(F.col("bits"), F.get(widths, F.col("tile")))).withColumn("blocks", F.ceil(F.col("sets") / BLOCK).cast("long"))
-    dealt = settle(dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("sets"))
+    dealt = dealt.withColumn("bits", _narrowed(F.col("bits"), F.get(widths, F.col("tile")))).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("long"))
+    dealt = settle(dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("rows"))
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     left = dealt.where("up = 0").select("gram", "tile", F.col("own").alias("i"), F.explode(every).alias("j"), F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("bits").alias("sa"))
     right = dealt.select("gram", "tile", F.col("own").alias("j"), F.explode(every).alias("i"), F.col("id").alias("b"), F.col("up").alias("ub"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("bits").alias("sb"))
@@ -248,13 +321,13 @@ def ngram_join(docs: DataFrame, ngram: int = NGRAM, similar: int = SIMILAR) -> D
     meeting = (F.col("la") != F.col("lb")) & once & may_link(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"), similar)
     across = left.join(right, ["gram", "tile", "i", "j"]).where(meeting).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _linked(settle(settle(across).join(tried, ["a", "b"], "left_anti")), docs, ngram, similar)
+    more = _linked(settle(settle(across).join(tried, ["a", "b"], "left_anti")), named, ngram, similar)
     # Texts of one doc_id belong together.
     several = usable.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("low"), F.max(F.struct(*key)).alias("high")).where("low < high").select("doc_id")
     together = usable.join(several, "doc_id", "left_semi").join(heads.select(*key, "id"), key).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     final = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(more).union(together))
 
-    resolved = heads.select(*key, "id").join(final, "id", "left").select(*key, F.coalesce("label", "id").alias("component_id"))
-    out = signed.select("doc_id", *key).join(resolved, key, "left")
+    resolved = heads.join(final, "id", "left").select(*key, F.coalesce("label", "id").alias("component_id"))
+    out = signed.join(resolved, key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
