@@ -2,7 +2,8 @@ r"""Exact Jaccard join of word n-gram sets: size-banded tiles, hashed bitmaps, s
 
 1. Sizes are cut into bands so that sets similar enough are in one band or in two that follow each other. A set of `n`
    n-grams shares one of its `n - ceil(t * n) + 1` first ones with every partner, in any order common to all sets. The order
-   puts n-grams that many texts hold last; a bounded list of them comes from one pass, and only the work depends on it.
+   puts n-grams that many texts hold last; a bit map and a list of them, both of bounded size, come from one pass, and only
+   the work depends on them.
 2. A tile is one of those n-grams and one band: sets of the band, and sets of the band below beside them. First n-grams are
    shuffled once, as `(n-gram, doc_id, band)`; those that only one set holds end there.
 3. Sets with one 128-bit print are copies; the smallest doc_id of a print stands for all.
@@ -19,6 +20,7 @@ texts that the bound leaves.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,8 @@ from vacanta.session import settle
 
 SIMILAR = 80
 NGRAM = 5
-# Common n-grams that are listed in the order of their counts (24 MB); all others come before them, by their hash.
-COMMON = 2**21
+# N-grams that come last: at most COMMON in a bit map of 2^COMMON_BITS bits (16 MB), at most LISTED of them in the order of their counts (3 MB).
+COMMON, COMMON_BITS, LISTED = 2**23, 27, 2**18
 # Counts above this one are alike when the shortest count that fits the list is looked for.
 _TALL = 10_000
 # First n-grams dealt to one task.
@@ -54,8 +56,8 @@ def size_bands(similar: int = SIMILAR) -> np.ndarray:
 
 
 def width(start: int) -> int:
-    """Longs of a bitmap in a tile whose band begins at `start`: one to two bits an n-gram, a power of two."""
-    return max(4, 1 << (-(-start // 64) - 1).bit_length())
+    """Longs of a bitmap in a tile whose band begins at `start`: four to eight bits an n-gram, a power of two."""
+    return max(4, 1 << (-(-start // 16) - 1).bit_length())
 
 
 def _sets(column: pa.Array, ngram: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -64,8 +66,25 @@ def _sets(column: pa.Array, ngram: int) -> Iterator[tuple[int, int, np.ndarray,
         yield words.row, words.rows, *shingle_sets(words, ngram)
 
 
-def common_ngrams(docs: DataFrame, ngram: int) -> np.ndarray:
-    """Hashes of n-grams that many texts hold, the rarest first: `COMMON` at most.
+@dataclass
+class Order:
+    """Which n-grams come late: those in the bit map after all others, those listed after these, by their place."""
+
+    table: np.ndarray
+    listed: np.ndarray
+    place: np.ndarray
+
+    def late(self, sets: np.ndarray) -> np.ndarray:
+        late = marked(self.table, sets).astype(np.int64)
+        if len(self.listed):
+            there = np.flatnonzero(late)
+            at = np.minimum(np.searchsorted(self.listed, sets[there]), len(self.listed) - 1)
+            late[there] += np.where(self.listed[at] == sets[there], self.place[at] + 1, 0)
+        return late
+
+
+def common_ngrams(docs: DataFrame, ngram: int) -> Order:
+    """N-grams that many texts hold, found in one pass.
 
     N-grams seen once in a batch of rows are not counted, so the order is about right; it has to be the same everywhere, no more.
     """
@@ -81,27 +100,34 @@ def common_ngrams(docs: DataFrame, ngram: int) -> np.ndarray:
 
     seen = settle(docs.select("text").mapInArrow(count, "gram long, times long, all long").groupBy("gram").agg(F.sum("times").alias("times"), F.sum("all").alias("all")))
     whole = seen.agg(F.sum("all")).first()[0] or 0
-    # So many at least, the list cannot be longer than COMMON; a smaller count serves if the histogram shows that it fits.
-    least, listed = max(2, -(-whole // COMMON)), 0
-    for times, grams in sorted(((r["t"], r["count"]) for r in seen.where("times > 1").groupBy(F.least("times", F.lit(_TALL)).alias("t")).count().collect()), reverse=True):
-        listed += grams
-        if listed > COMMON:
-            break
-        least = min(least, times)
-    rows = seen.where(F.col("times") >= least).select("gram", "times").toArrow()
+    heights = [(r["t"], r["count"]) for r in seen.where("times > 1").groupBy(F.least("times", F.lit(_TALL)).alias("t")).count().collect()]
+
+    def least(room: int) -> int:
+        """The smallest count, two at least, that no more than `room` n-grams reach."""
+        # From this one on they cannot be more; a smaller one serves if the histogram shows that it fits.
+        found, above = max(2, -(-whole // room)), 0
+        for times, grams in sorted(heights, reverse=True):
+            above += grams
+            if above > room:
+                break
+            found = min(found, times)
+        return found
+
+    table = bit_map(seen.where(F.col("times") >= least(COMMON)).select("gram"), F.col("gram"), COMMON_BITS)
+    rows = seen.where(F.col("times") >= least(LISTED)).select("gram", "times").toArrow()
     grams, times = rows.column("gram").to_numpy().view(np.uint64), rows.column("times").to_numpy()
-    return grams[np.lexsort((grams, times))]
+    place = np.empty(len(grams), np.int32)
+    place[np.lexsort((grams, times))] = np.arange(len(grams))
+    order = np.argsort(grams)
+    return Order(table, grams[order], place[order])
 
 
-def first_ngrams(sets: np.ndarray, limits: np.ndarray, common: np.ndarray, place: np.ndarray, similar: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams every partner of a row must share one of, and their limits. `common` is sorted, `place` its order of use."""
+def first_ngrams(sets: np.ndarray, limits: np.ndarray, common: Order, similar: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams every partner of a row must share one of, and their limits."""
     n = np.diff(limits)
     wanted = np.where(n > 0, n - -(-n * similar // 100) + 1, 0)
     row = np.repeat(np.arange(len(n)), n)
-    late = np.zeros(len(sets), np.int64)
-    if len(common) and len(sets):
-        at = np.minimum(np.searchsorted(common, sets), len(common) - 1)
-        late = np.where(common[at] == sets, place[at] + 1, 0)
+    late = common.late(sets)
     early = late == 0
     before = np.concatenate([[0], np.cumsum(early)])
     taken = early & (before[:-1] - before[limits[:-1]][row] < wanted[row])
@@ -167,13 +193,11 @@ class _Chosen:
 
 def _entries(docs: DataFrame, heads: DataFrame, ngram: int, similar: int) -> DataFrame:
     """`(gram, id, band)`: the first n-grams of the heads, without those that one text alone holds."""
-    common = common_ngrams(docs, ngram)
-    order = np.argsort(common)
-    shared = docs.sparkSession.sparkContext.broadcast((common[order], order.astype(np.int32)))
+    shared = docs.sparkSession.sparkContext.broadcast(common_ngrams(docs, ngram))
     starts = size_bands(similar)
 
     def firsts(ids: pa.Array, sets: np.ndarray, limits: np.ndarray) -> list[pa.Array]:
-        grams, ends = first_ngrams(sets, limits, *shared.value, similar)
+        grams, ends = first_ngrams(sets, limits, shared.value, similar)
         owner = np.repeat(np.arange(len(ids)), np.diff(ends))
         band = np.searchsorted(starts, np.maximum(np.diff(limits), 1), side="right") - 1
         return [pa.array(grams.view(np.int64)), ids.take(pa.array(owner)), pa.array(band.astype(np.int32)[owner])]
@@ -304,21 +328,27 @@ def ngram_join(docs: DataFrame, ngram: int = NGRAM, similar: int = SIMILAR) -> D
     sized = _bitmaps(named, star.select(F.col("a").alias("id")).union(star.select("b")).distinct(), ngram, similar)
     longs = F.least(F.size("bits_a"), F.size("bits_b"))
     possible = _both_ends(star, sized, ["n", "bits"]).where(may_link(F.col("n_a"), _narrowed(F.col("bits_a"), longs), F.col("n_b"), _narrowed(F.col("bits_b"), longs), similar))
-    links = _linked(settle(possible.select("a", "b").distinct()), named, ngram, similar)
-    labels = components(links)
-
-    # Tiles that hold several components: sets of different ones meet, block by block, those of the band with each other and with the band below.
-    labelled = members.select("gram", "tile", "id", "up").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = settle(labelled.groupBy("gram", "tile").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high").drop("low", "high"))
-    dealt = _spread_join(labelled, mixed, ["gram", "tile"], hot).join(sized, "id")
+    labels = components(_linked(settle(possible.select("a", "b").distinct()), named, ngram, similar))
+
+    # Tiles that hold several components: sets outside the head's component meet all sets of other components, block by block.
+    labelled = settle(members.select("gram", "tile", "id", "up", "head").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    mixed = labelled.groupBy("gram", "tile").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("id") == F.col("head"), F.col("label"))).alias("major"), F.count(F.lit(1)).alias("rows"))
+    mixed = settle(mixed.where("low < high").drop("low", "high"))
+    dealt = settle(_spread_join(labelled.drop("head"), mixed, ["gram", "tile"], hot))
+    apart = dealt.where("label <> major").groupBy("gram", "tile").agg(F.count(F.lit(1)).alias("apart"))
+    dealt = _spread_join(dealt, apart, ["gram", "tile"], hot).join(sized, "id")
     widths = F.array(*[F.lit(width(int(s))) for s in size_bands(similar)])
-    dealt = dealt.withColumn("bits", _narrowed(F.col("bits"), F.get(widths, F.col("tile")))).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("long"))
-    dealt = settle(dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("rows"))
-    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    left = dealt.where("up = 0").select("gram", "tile", F.col("own").alias("i"), F.explode(every).alias("j"), F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("bits").alias("sa"))
-    right = dealt.select("gram", "tile", F.col("own").alias("j"), F.explode(every).alias("i"), F.col("id").alias("b"), F.col("up").alias("ub"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("bits").alias("sb"))
-    once = (F.col("ub") == 1) | (F.col("a") < F.col("b"))
-    meeting = (F.col("la") != F.col("lb")) & once & may_link(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"), similar)
+    dealt = settle(dealt.withColumn("bits", _narrowed(F.col("bits"), F.get(widths, F.col("tile")))))
+
+    def side(rows: DataFrame, letter: str, own: str, own_blocks: str, other: str, other_blocks: str) -> DataFrame:
+        each = F.sequence(F.lit(0).cast("long"), F.ceil(F.col(other_blocks) / BLOCK).cast("long") - 1)
+        block = F.pmod(F.xxhash64("id"), F.ceil(F.col(own_blocks) / BLOCK).cast("long"))
+        return rows.select("gram", "tile", block.alias(own), F.explode(each).alias(other), F.col("id").alias(letter), *[F.col(c).alias(f"{c}_{letter}") for c in ("up", "label", "n", "bits")], (F.col("label") != F.col("major")).alias(f"apart_{letter}"))
+
+    left, right = side(dealt.where("label <> major"), "a", "i", "apart", "j", "rows"), side(dealt, "b", "j", "rows", "i", "apart")
+    # Two sets of the band below meet in its own tile; two that are both apart meet twice here and count once.
+    once = ((F.col("up_a") == 0) | (F.col("up_b") == 0)) & (~F.col("apart_b") | (F.col("a") < F.col("b")))
+    meeting = (F.col("label_a") != F.col("label_b")) & once & may_link(F.col("n_a"), F.col("bits_a"), F.col("n_b"), F.col("bits_b"), similar)
     across = left.join(right, ["gram", "tile", "i", "j"]).where(meeting).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _linked(settle(settle(across).join(tried, ["a", "b"], "left_anti")), named, ngram, similar)
