@@ -1,7 +1,7 @@
 """Gates: hard constraints of a person on an offer, evaluated on (offer, profile) pairs.
 
-Pairs come from equality joins (`pairs_in_scope`), never from a product of both tables: an offer meets
-the profiles that look in one of its countries, plus the profiles that want to see everything.
+Decisions are counted on classes: offers that no gate tells apart meet, class by class, the people whose
+constraints are alike (`gate_counts`). Pairs are formed where someone reads them, for close titles and favourites.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from vacanta.functions.geo import norm, zone_keys, zone_verdict
 from vacanta.functions.signals import title_seniority
 from vacanta.rules import signals as S
 from vacanta.rules import views as V
-from vacanta.session import broadcast_if_small
+from vacanta.session import broadcast_if_small, settle
 
 RESULT = "struct<pass:boolean,reason:string,out_of_zone:boolean,experience_gap:double,notes:array<string>>"
 
@@ -114,6 +114,74 @@ def gate_matrix(offers: DataFrame, profiles: DataFrame) -> DataFrame:
     return gate(pairs_in_scope(offers, profiles.withColumn("zone_keys", zone_keys(F.col("zone_places")))))
 
 
+# What the gates look at in an offer and in a person; an avoided company is looked at apart, so that companies do not split classes.
+OFFER_CLASS = ["places", "remote", "remote_scope", "contract", "title_years", "experience_min_years", "experience_level"]
+PERSON_CLASS = ["zone_places", "remote_ok", "out_of_zone", "contracts", "experience_years"]
+
+
+def offer_classes(offers: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """Offers counted by what the gates see of them (and by `extra` columns)."""
+    return offers.withColumn("title_years", title_seniority(F.col("title"))).groupBy(*(extra or []), *OFFER_CLASS).agg(F.count("*").alias("offers"))
+
+
+def person_classes(profiles: DataFrame) -> DataFrame:
+    """`(profile_id, person_class)` and what the gates see of each person."""
+    return profiles.select("profile_id", F.md5(F.to_json(F.struct(*PERSON_CLASS))).alias("person_class"), *PERSON_CLASS)
+
+
+def shunned_companies(companies: DataFrame, profiles: DataFrame, seed: int = 4) -> DataFrame:
+    """`(profile_id, company_name)`: companies whose name holds one that a person avoids.
+
+    Names meet on equal runs of `seed` letters (shorter avoided names on the whole name), then the rest is compared.
+    """
+    names = companies.select("company_name").distinct().withColumn("_n", norm(F.col("company_name")))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(seed)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_n") - k + 1, F.lit(1))), lambda i: F.substring(F.col("_n"), i, k))))
+    seeded = names.filter(F.col("_n") != "").withColumn("_seed", F.explode(F.array_distinct(runs)))
+    avoided = profiles.select("profile_id", F.explode("companies_avoid").alias("_c")).select("profile_id", norm(F.col("_c")).alias("_a")).filter(F.col("_a") != "").distinct()
+    met = seeded.join(avoided.select("_a").distinct().withColumn("_seed", F.substring("_a", 1, seed)), "_seed").filter(F.contains("_n", "_a")).select("company_name", "_a").distinct()
+    return met.join(avoided, "_a").select("profile_id", "company_name").distinct()
+
+
+def _gate_classes(offers: DataFrame, persons: DataFrame) -> DataFrame:
+    """Gate of each class of offers with each class of people it meets; companies are left out."""
+    known = offers.withColumns({"offer_id": F.monotonically_increasing_id(), "company_name": F.lit("")})
+    return gate(pairs_in_scope(known, persons.withColumns({"companies_avoid": strings([]), "zone_keys": zone_keys(F.col("zone_places"))})))
+
+
+def gate_counts(offers: DataFrame, profiles: DataFrame) -> DataFrame:
+    """`(profile_id, reason, n)`: the decisions on all offers for every profile, a null reason for those that pass.
+
+    The counts of a profile add up to the number of offers. Offers are grouped before they meet anyone; those that
+    meet nobody are out of the zone of a person who never wants to see it.
+    """
+    people = settle(person_classes(profiles))
+    persons = people.drop("profile_id").dropDuplicates(["person_class"])
+    classes = settle(offer_classes(offers))
+    decided = settle(_gate_classes(classes, persons).groupBy("person_class", F.col("gate.reason").alias("reason")).agg(F.sum("offers").alias("n")))
+    whole = classes.agg(F.coalesce(F.sum("offers"), F.lit(0)).alias("whole"))
+    met = decided.groupBy("person_class").agg(F.sum("n").alias("met"))
+    rest = persons.select("person_class").join(met, "person_class", "left").join(F.broadcast(whole), F.lit(True)).select("person_class", F.lit(V.REASON_ZONE).alias("reason"), (F.col("whole") - F.coalesce("met", F.lit(0))).alias("n"))
+    by_class = decided.unionByName(rest)
+    counts = people.select("profile_id", "person_class").join(by_class, "person_class").select("profile_id", "reason", "n")
+
+    # Offers of avoided companies that passed the other gates change their reason.
+    shunned = settle(shunned_companies(offers, profiles.select("profile_id", "companies_avoid")).join(people.select("profile_id", "person_class"), "profile_id"))
+    theirs = offer_classes(offers.join(shunned.select("company_name").distinct(), "company_name", "left_semi"), ["company_name"]).withColumnRenamed("company_name", "_company")
+    passed = _gate_classes(theirs, persons).filter("gate.pass").groupBy(F.col("_company").alias("company_name"), "person_class").agg(F.sum("offers").alias("n"))
+    moved = shunned.join(passed, ["company_name", "person_class"])
+    avoided = moved.select("profile_id", F.concat("company_name", F.lit(" fait partie des entreprises que tu évites.")).alias("reason"), "n")
+    back = moved.select("profile_id", F.lit(None).cast("string").alias("reason"), (-F.col("n")).alias("n"))
+    return add_counts(counts, avoided, back)
+
+
+def add_counts(*parts: DataFrame) -> DataFrame:
+    """Counts `(profile_id, reason, n)` of several tables added up; what comes to zero is gone."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy("profile_id", "reason").agg(F.sum("n").cast("bigint").alias("n")).filter("n <> 0")
+
+
 def gate_histogram(gated: DataFrame) -> DataFrame:
     """Gate decisions counted, digits masked; passes whose title or place looks wrong are counted apart."""
     reason = F.when(F.col("gate.pass"), "pass").otherwise(F.regexp_replace("gate.reason", r"\d+", "N"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from vacanta.columns import half_up
 from vacanta.operators.filters import DAY, is_intermediary, seconds_between
 from vacanta.rules import views as V
+from vacanta.session import broadcast_if_small, settle, skew_join
 
 
 def _over(by: list[str]) -> list:
@@ -60,27 +61,45 @@ def three_plus_share(buckets: DataFrame, by: list[str] | None = None) -> DataFra
     return summed.withColumn("share", percent(F.col("three_plus"), F.col("stated")))
 
 
-def values_at(df: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None, least: int = 5, slices: int = 512) -> DataFrame:
+def ordered_bits(value: Column) -> Column:
+    """A long that orders as the double does; -0 equals 0, NaN comes last."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("bigint")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit(2**63 - 1))).otherwise(bits)
+
+
+def values_at(df: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None, least: int = 5, digit: int = 16) -> DataFrame:
     """Element at floor(p·(n−1)) of the sorted values, per group; groups under `least` values give nulls.
 
-    Exact without sorting a group in one task: equal values are counted first, the value range is cut in
-    slices, the slice that holds each rank is found on slice counts, and only inside a slice are the
-    distinct values ordered.
+    Radix selection: equal values are counted first, then each pass counts the rows by the next `digit` bits of the
+    value's ordered form and keeps the digit that holds the rank. Nothing is sorted and no task sees more than
+    2^`digit` counts of a group, however the values are spread.
     """
     by = by or []
     hist = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    span = hist.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
-    placed = hist.join(span, by) if by else hist.withColumns({c: span.select(c).scalar() for c in ("lo", "hi", "n")})
-    width = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (slices - 1))).otherwise(0)
-    placed = placed.withColumn("slice", width.cast("int"))
-    per_slice = placed.groupBy(*by, "slice").agg(F.sum("c").alias("sc"))
-    before = Window.partitionBy(*_over(by)).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_slice.withColumn("skipped", F.coalesce(F.sum("sc").over(before), F.lit(0))).drop("sc")
-    inside = Window.partitionBy(*by, "slice").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = placed.join(offsets, [*by, "slice"]).withColumn("upto", F.col("skipped") + F.sum("c").over(inside))
-    at = lambda p: F.floor(p * (F.col("n") - 1))
-    picks = [F.max(F.when((F.col("upto") - F.col("c") <= at(p)) & (at(p) < F.col("upto")), F.col("v"))).alias(name) for name, p in shares.items()]
-    out = ranked.groupBy(*by).agg(*picks, F.max("n").alias("n"))
+    hist = settle(hist.withColumn("bits", ordered_bits(F.col("v"))))
+    size = hist.groupBy(*by).agg(F.sum("c").alias("n"))
+    ranks = F.array(*[F.struct(F.lit(name).alias("rank"), F.floor(F.lit(p) * (F.col("n") - 1)).cast("bigint").alias("at")) for name, p in shares.items()])
+    state = size.withColumn("r", F.explode(ranks)).select(*by, "r.rank", "r.at")
+    shift, known = 64, None
+    while shift > 0:
+        shift = max(0, shift - digit)
+        head = F.shiftright("bits", shift)
+        if known is None:
+            counted = hist.groupBy(*by, head.alias("head")).agg(F.sum("c").alias("c"), F.max("v").alias("v"))
+            counted = counted.join(state, by) if by else counted.join(F.broadcast(state), F.lit(True))
+        else:
+            side, small = broadcast_if_small(state.withColumnRenamed("head", "known"))
+            headed = hist.withColumn("known", F.shiftright("bits", known))
+            met = headed.join(side, [*by, "known"]) if small else skew_join(headed, side, [*by, "known"], "inner")
+            counted = met.groupBy(*by, "rank", "at", head.alias("head")).agg(F.sum("c").alias("c"), F.max("v").alias("v"))
+        upto = F.sum("c").over(Window.partitionBy(*by, "rank").orderBy("head").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        held = counted.withColumn("upto", upto).filter((F.col("upto") - F.col("c") <= F.col("at")) & (F.col("at") < F.col("upto")))
+        # A few rows per group: the digit of each rank, and how many values of it come before.
+        state = held.select(*by, "rank", (F.col("at") - (F.col("upto") - F.col("c"))).alias("at"), "head", *([] if shift else ["v"]))
+        state, known = (settle(state) if shift else state), shift
+    picks = [F.max(F.when(F.col("rank") == name, F.col("v"))).alias(name) for name in shares]
+    found = state.groupBy(*by).agg(*picks)
+    out = found.join(size, by) if by else found.join(F.broadcast(size), F.lit(True))
     return out.select(*by, *[F.when(F.col("n") >= least, F.col(name)).alias(name) for name in shares], "n")
 
 

@@ -1,7 +1,8 @@
 """Writes: upserted offers, run reports, daily snapshots, frozen cards, purges, erasures.
 
-Plain Parquet has no merge, so each new version of a table goes to its own folder and readers take the
-latest one that was written in full; a failed job leaves the one before.
+Offers are kept in buckets of their key: a batch rewrites the buckets it touches and adds a manifest. Small results
+go whole into a new version's folder and readers take the latest one that was written in full; a failed job
+leaves the one before.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vacanta.operators.filters import DAY, seconds_between
 from vacanta.rules import signals as R
+from vacanta.sources.buckets import BUCKETS, BucketTable
 
 
 def current_version(spark: SparkSession, root: str) -> int | None:
@@ -25,8 +27,9 @@ def current_version(spark: SparkSession, root: str) -> int | None:
 
 
 def read_table(spark: SparkSession, root: str) -> DataFrame | None:
+    """The latest state of a table of either kind; None if nothing was written."""
     version = current_version(spark, root)
-    return None if version is None else spark.read.parquet(f"{root}/version={version}")
+    return BucketTable(spark, root, "dedup_key").read() if version is None else spark.read.parquet(f"{root}/version={version}")
 
 
 def write_version(df: DataFrame, root: str, partition_by: list[str] | None = None) -> int:
@@ -36,15 +39,27 @@ def write_version(df: DataFrame, root: str, partition_by: list[str] | None = Non
     return version
 
 
-def upsert_offers(batch: DataFrame, root: str, now: Column) -> int:
-    """Merge a batch into the offers table and write the next version."""
+def upsert_offers(batch: DataFrame, root: str, now: Column, stream: str = "batch", number: int | None = None, buckets: int = BUCKETS) -> int:
+    """Merge a batch into the offers table; only the buckets of its keys are read and written.
+
+    With a `number`, a batch of this `stream` that was merged before changes nothing. Returns the version.
+    """
     from vacanta.operators.dedup import dedup_batch, merge_offers
 
-    state = read_table(batch.sparkSession, root)
-    best = dedup_batch(batch)
-    if state is None:
-        state = first_state(best, now).limit(0)
-    return write_version(merge_offers(state, best, now), root)
+    def step(known: DataFrame | None, rows: DataFrame) -> DataFrame:
+        return merge_offers(first_state(rows, now).limit(0) if known is None else known, rows, now)
+
+    return BucketTable(batch.sparkSession, root, "dedup_key", buckets).merge(dedup_batch(batch), step, stream, number)
+
+
+def archive_keys(keys: DataFrame, root: str) -> int:
+    """Sets `archived_at` of the offers in `keys(dedup_key, archived_at)`; others of their buckets stay as they are."""
+
+    def step(known: DataFrame | None, rows: DataFrame) -> DataFrame:
+        gone = rows.select("dedup_key", F.col("archived_at").alias("_at"))
+        return known.join(gone, "dedup_key", "left").withColumn("archived_at", F.coalesce("_at", "archived_at")).select(*known.columns)
+
+    return BucketTable(keys.sparkSession, root, "dedup_key").merge(keys, step)
 
 
 def first_state(batch: DataFrame, now: Column) -> DataFrame:

@@ -70,9 +70,18 @@ def tracking_todo(spark, sf):
     return VW.tracking(applications(spark, sf), o, c, ORDERS_NOW)["todo"]
 
 
-@query("sort_offers")
-def sort_offers(spark, sf):
-    """Documents sorted for four people: gates, titles, excerpts, languages; each pair with its outcome."""
+_SORT = f"""WITH {OFFERS}, {_ROLE_SQL}, o AS (SELECT *, string_split_regex({Q.fold('title')}, '[^a-z0-9+#]+') AS w, CASE WHEN lang <> 'en' THEN floor(length(text) / 1000) END AS y, offer_id % 5 = 0 AS newer FROM offers WHERE archived_at IS NULL OR archived_at > TIMESTAMP '{NOW}'),
+    pairs AS (SELECT p.profile_id, o.*, EXISTS (SELECT 1 FROM r WHERE r.profile_id = p.profile_id AND list_contains(w, role)) AS named FROM o, (SELECT DISTINCT profile_id FROM r) p),
+    firsts AS (SELECT *, CASE WHEN lang = 'en' THEN 'Hors de ta zone de recherche.' WHEN lang = 'de' THEN 'CDD, un type de contrat que tu n''as pas retenu.'
+      WHEN y - 1 >= 4 THEN 'N ans d''expérience demandés, N de ton côté.' WHEN contains(company_id, 'src7') THEN company_id || ' fait partie des entreprises que tu évites.'
+      WHEN NOT named AND NOT (profile_id = 'p_fr' AND company_id = 'src9' AND length(text) > 200) THEN 'L''intitulé ne correspond à aucun de tes métiers ni de tes passerelles.' END AS reason FROM pairs),
+    seconds AS (SELECT *, CASE WHEN reason IS NOT NULL THEN reason WHEN profile_id = 'p_es' AND offer_id % 3 = 1 THEN 'done' WHEN newer AND offer_id % 2 = 0 THEN 'gone' WHEN newer THEN 'N ans d''expérience demandés, N de ton côté.'
+      WHEN engine_only AND length(text) < 1200 THEN 'Annonce incomplète : seul un extrait a pu être lu, et une offre n''est jamais jugée sans avoir été lue en entier.' ELSE 'candidate' END AS outcome FROM firsts)
+    SELECT profile_id, regexp_replace(CASE WHEN profile_id = 'p_es' AND offer_id % 3 = 1 THEN 'done' ELSE outcome END, '[0-9]+', 'N', 'g') AS outcome, count(*) AS n FROM seconds GROUP BY ALL"""
+
+
+def sort_tables(spark, sf):
+    """Documents as offers, four people, one favourite, verdicts of a third of one person's pairs, and postings read again."""
     o = market_offers(spark, sf)
     none = F.lit(None).cast("string")
     country = F.when(F.col("lang") == "en", "GB").otherwise("FR")
@@ -84,10 +93,21 @@ def sort_offers(spark, sf):
         "languages": F.array(F.lit("Français")), "criteria_version": F.lit(2), "judge_key": F.lit("k"),
     })
     fav = spark.createDataFrame([("p_fr", "src9")], "profile_id string, company_id string")
-    done = spark.createDataFrame([], "profile_id string, offer_id bigint, judge_key string, criteria_version int, level string")
-    out = SC.before_model(placed, p, fav, done)
-    kept = out["candidates"].select("profile_id", F.lit("candidate").alias("outcome"))
-    return out["excluded"].select("profile_id", F.regexp_replace("excluded_reason", r"\d+", "N").alias("outcome")).union(kept).groupBy("profile_id", "outcome").agg(F.count("*").alias("n"))
+    done = placed.filter("offer_id % 3 = 1").select(F.lit("p_es").alias("profile_id"), "offer_id", F.lit("k").alias("judge_key"), F.lit(2).alias("criteria_version"), F.lit("bonne").alias("level"))
+    # Every fifth posting was read again: gone, or asking for more experience.
+    again = placed.filter("offer_id % 5 = 0").select("offer_id", "text", F.lit(9).alias("experience_min_years"), F.when(F.col("offer_id") % 2 == 0, ntz(NOW)).alias("archived_at"))
+    return placed, p, fav, done, again
+
+
+@query("sort_offers", _SORT)
+def sort_offers(spark, sf):
+    """Documents sorted for four people: gates, titles, second gate, excerpts, languages; outcomes add up to all pairs."""
+    out = SC.before_model(*sort_tables(spark, sf))
+    masked = lambda c: F.regexp_replace(c, r"\d+", "N")
+    counted = out["counts"].select("profile_id", masked(F.col("reason")).alias("outcome"), "n")
+    for rows, outcome in ((out["excluded"], masked(F.col("excluded_reason"))), *((out[k], F.lit(k.removesuffix("s"))) for k in ("candidates", "done", "gone", "reused"))):
+        counted = counted.unionByName(rows.groupBy("profile_id", outcome.alias("outcome")).agg(F.count("*").alias("n")))
+    return counted.groupBy("profile_id", "outcome").agg(F.sum("n").cast("bigint").alias("n"))
 
 
 @query("cv_batch")

@@ -84,17 +84,20 @@ def merge_engine_copies(spark, sf):
 def state_and_batch(spark, sf):
     """Engine documents as the known table, the others as the new batch; one key per slugged title."""
     o = offers(spark, sf).withColumn("dedup_key", slug(F.col("title"))).withColumn("ordinal", F.col("offer_id"))
+    # One offer in three shows an image; the place is written as the language.
+    details = {"company": F.col("source"), "location_raw": F.col("lang"), "image_url": F.when(F.col("offer_id") % 3 == 0, F.concat(F.lit("https://"), "source", F.lit("/image")))}
+    o = o.withColumns(details)
     none = F.lit(None).cast("timestamp_ntz")
     url = F.concat(F.lit("https://"), "source", F.lit("/"), F.col("offer_id").cast("string"))
     state = D.dedup_batch(o.filter("engine_only")).select(
         "dedup_key", "title", "text", F.array(F.struct("source", url.alias("url"))).alias("urls"), F.array("source").alias("sources"), url.alias("apply_url"),
-        F.col("posted_at").alias("published_at"), "first_seen_at", F.col("posted_at").alias("last_seen_at"), "archived_at", F.lit(0).alias("repost_count"), none.alias("reposted_at"),
+        F.col("posted_at").alias("published_at"), "first_seen_at", F.col("posted_at").alias("last_seen_at"), "archived_at", F.lit(0).alias("repost_count"), none.alias("reposted_at"), *details,
     )
-    batch = D.dedup_batch(o.filter(~F.col("engine_only"))).select("dedup_key", "title", "text", F.col("source").alias("source_key"), url.alias("source_url"), url.alias("apply_url"), F.col("posted_at").alias("published_at"))
+    batch = D.dedup_batch(o.filter(~F.col("engine_only"))).select("dedup_key", "title", "text", F.col("source").alias("source_key"), url.alias("source_url"), url.alias("apply_url"), F.col("posted_at").alias("published_at"), *details)
     return state, batch
 
 
-_MERGED = f"""WITH {OFFERS}, keyed AS (SELECT *, {Q.slug('title')} AS dedup_key FROM offers),
+MERGED = f"""WITH {OFFERS}, keyed AS (SELECT *, {Q.slug('title')} AS dedup_key FROM offers),
 s AS (SELECT * FROM keyed WHERE engine_only QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY length(text) DESC, offer_id) = 1),
 b AS (SELECT * FROM keyed WHERE NOT engine_only QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY length(text) DESC, offer_id) = 1)
 SELECT coalesce(b.dedup_key, s.dedup_key) AS dedup_key,
@@ -103,15 +106,23 @@ SELECT coalesce(b.dedup_key, s.dedup_key) AS dedup_key,
   CASE WHEN s.dedup_key IS NULL THEN 0 ELSE 1 END + CASE WHEN b.dedup_key IS NULL THEN 0 ELSE 1 END AS urls,
   CASE WHEN b.dedup_key IS NULL THEN 'https://' || s.source || '/' || s.offer_id ELSE 'https://' || b.source || '/' || b.offer_id END AS apply_url,
   CASE WHEN b.dedup_key IS NULL THEN strftime(s.archived_at, '%Y-%m-%d') END AS archived,
-  CASE WHEN b.dedup_key IS NOT NULL AND TIMESTAMP '{NOW}' - s.archived_at > INTERVAL 2 DAY AND b.posted_at - s.posted_at > INTERVAL 2 DAY THEN 1 ELSE 0 END AS reposts
+  CASE WHEN b.dedup_key IS NOT NULL AND TIMESTAMP '{NOW}' - s.archived_at > INTERVAL 2 DAY AND b.posted_at - s.posted_at > INTERVAL 2 DAY THEN 1 ELSE 0 END AS reposts,
+  coalesce(b.source, s.source) AS company, CASE WHEN b.dedup_key IS NOT NULL THEN b.lang ELSE s.lang END AS place,
+  coalesce(CASE WHEN b.offer_id % 3 = 0 THEN 'https://' || b.source || '/image' END, CASE WHEN s.offer_id % 3 = 0 THEN 'https://' || s.source || '/image' END) AS image
 FROM s FULL OUTER JOIN b ON s.dedup_key = b.dedup_key"""
 
 
-@query("merge_offers", _MERGED)
+def merged_rows(offers):
+    return offers.select(
+        "dedup_key", F.md5("text").alias("print"), F.array_join("sources", ",").alias("sources"), F.size("urls").alias("urls"), "apply_url", F.date_format("archived_at", "yyyy-MM-dd").alias("archived"), F.col("repost_count").alias("reposts"),
+        "company", F.col("location_raw").alias("place"), F.col("image_url").alias("image"),
+    )
+
+
+@query("merge_offers", MERGED)
 def merge_offers(spark, sf):
     state, batch = state_and_batch(spark, sf)
-    m = D.merge_offers(state, batch, ntz(NOW))
-    return m.select("dedup_key", F.md5("text").alias("print"), F.array_join("sources", ",").alias("sources"), F.size("urls").alias("urls"), "apply_url", F.date_format("archived_at", "yyyy-MM-dd").alias("archived"), F.col("repost_count").alias("reposts"))
+    return merged_rows(D.merge_offers(state, batch, ntz(NOW)))
 
 
 @query(
