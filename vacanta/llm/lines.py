@@ -4,8 +4,8 @@ A run is a table bucketed and sorted by the 128-bit hash of a line's key; a row
 and the largest doc_id seen with the key. A batch of documents is reduced to such rows and merge-anti-joined
 with the runs, bucket by bucket: keys that no run holds become its own run of `fresh` keys, the others a run
 of later sightings. When a level holds `FANOUT` runs of a kind they are compacted into one of the next level,
-so a key is rewritten once per level. Batches go from the largest doc_id down: the batch in which a key is
-fresh has its last holder, later ones only add to its count.
+so a key is rewritten once per level. Batches are even parts of the documents by a hash of the doc_id, whatever
+the ids: all rows of one doc_id are in one batch, so counts of documents add up. The runs are dropped at the end.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ from vacanta.session import settle
 STRIPPED = " \t\n\x0b\x0c\r"
 # Code points of the shortest key that counts, and documents it must be found in for its lines to go.
 SHORTEST, DOCUMENTS = 40, 5
-FANOUT = 4
-BATCHES = 4
+# Runs of a level that are compacted into one, and documents of a batch: six batches at least, so that levels fill between batches.
+FANOUT = 3
+BATCH_ROWS, LEAST_BATCHES, MOST_BATCHES = 4_000_000, 6, 64
 # Rows of one bucket of a run, about.
 BUCKET_ROWS = 1_000_000
 _ASCII = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -51,7 +52,7 @@ def _summed(rows: DataFrame) -> DataFrame:
 
 
 class LineRuns:
-    """The runs of one corpus; `add` takes batches from the largest doc_id down."""
+    """The runs of one corpus; `add` takes its batches in any order, each document in one of them."""
 
     def __init__(self, spark: SparkSession, buckets: int):
         self.spark, self.buckets, self.folder = spark, buckets, shared_folder(spark, "runs")
@@ -74,6 +75,12 @@ class LineRuns:
         """Keys found in at least `documents` documents, with their last holder."""
         return _summed(self._union([*self.runs("fresh"), *self.runs("later")])).where(F.col("n_docs") >= documents).select("h1", "h2", "holder")
 
+    def close(self) -> None:
+        """Drops all runs."""
+        for name in [*self.runs("fresh"), *self.runs("later")]:
+            self._remove(name)
+        self.levels = {"fresh": [[]], "later": [[]]}
+
     def _union(self, names: list[str]) -> DataFrame:
         # Read as plain files: this Spark version loses rows of equal keys when it unites bucketed scans without an exchange.
         return self.spark.read.schema("h1 long, h2 long, n_docs long, holder long").parquet(*[f"{self.folder}/{name}" for name in names])
@@ -103,7 +110,7 @@ class LineRuns:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def dedup_lines(docs: DataFrame, shortest: int = SHORTEST, documents: int = DOCUMENTS, batches: int = BATCHES) -> DataFrame:
+def dedup_lines(docs: DataFrame, shortest: int = SHORTEST, documents: int = DOCUMENTS, batches: int | None = None) -> DataFrame:
     """`(doc_id, n_lines, n_dropped, kept_sha256, kept_text)` per row of `docs(doc_id, text, ...)`.
 
     Keys of at least `shortest` code points found in at least `documents` documents lose all their lines but
@@ -115,16 +122,21 @@ def dedup_lines(docs: DataFrame, shortest: int = SHORTEST, documents: int = DOCU
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     body = F.xxhash64("text")
     exploded = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", body.alias("body"), F.posexplode(line_key(split_lines(F.col("text")))).alias("pos", "key")).where(F.length("key") >= shortest)
-    low, high, rows = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // batches))
-    batch = F.floor((F.lit(high or 0) - F.col("doc_id")) / width).cast("int")
+    rows = docs.agg(F.count("doc_id")).first()[0] or 0
+    batches = batches or max(LEAST_BATCHES, min(MOST_BATCHES, -(-rows // BATCH_ROWS)))
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
     hashed = exploded.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "body", "pos", batch.alias("batch"))
-    lines = settle(hashed)
+    # Written once, a folder for each batch, so that a batch reads its own rows only.
+    folder = shared_folder(spark, "lines")
+    hashed.write.partitionBy("batch").parquet(folder)
+    lines = spark.read.schema(hashed.schema).parquet(folder)
 
-    runs = LineRuns(spark, max(8, min(8_192, -(-8 * (rows or 0) // BUCKET_ROWS))))
+    runs = LineRuns(spark, max(8, min(8_192, -(-8 * rows // BUCKET_ROWS))))
     for b in range(batches):
         runs.add(lines.where(F.col("batch") == b).select("h1", "h2", "doc_id"))
-    gone = lines.join(settle(runs.frequent(documents)), ["h1", "h2"]).where("doc_id <> holder").groupBy("doc_id", "body").agg(F.collect_set("pos").alias("gone"))
+    frequent = settle(runs.frequent(documents))
+    runs.close()
+    gone = lines.join(frequent, ["h1", "h2"]).where("doc_id <> holder").groupBy("doc_id", "body").agg(F.collect_set("pos").alias("gone"))
 
     joined = docs.withColumn("body", body).join(gone.hint("shuffle_hash"), ["doc_id", "body"], "left")
     parts = split_lines(F.col("text"))
