@@ -6,7 +6,10 @@ or count exactly afterwards. The map only keeps rows that cannot matter away fro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Bits per key, and limits of the map's size as powers of two (8 KB to 8 MB).
@@ -27,3 +30,14 @@ def marked(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which of the hashes (64 bits each) are in the map, and a few that are not."""
     at = hashes.view(np.uint64) >> np.uint64(64 - 6 - (len(table) - 1).bit_length())
     return ((table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def rows_of(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose `key` is in `ids(id)`, and a few others, without a shuffle of the rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(bit_map(ids, F.xxhash64("id")))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(marked(shared.value, batch.column(0).to_numpy()))).select(list(range(1, batch.num_columns)))
+
+    return rows.select(F.xxhash64(key).alias("_hash"), *rows.columns).mapInArrow(keep, rows.schema)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vacanta.llm.components import components
+from vacanta.llm.marks import bit_map, marked, rows_of
 from vacanta.llm.words import Words, mix, windows, words_of
 from vacanta.llm.worker import release
 from vacanta.session import settle
@@ -163,9 +164,9 @@ def least_estimate(minima: int, bits: int) -> float:
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs `(a, b)` whose full sets reach the threshold. Texts are read again for the ids in question only."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = settle(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"))
+    """Pairs `(a, b)` whose full sets reach the threshold. Texts are read again for the ids in question, and no text is shuffled."""
+    ids = settle(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    sets = settle(rows_of(docs, ids).mapInArrow(_sets, "id long, shingles array<long>").where(F.size("shingles") > 0))
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -174,6 +175,19 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
+def _repeated(heads: DataFrame, buckets: DataFrame) -> DataFrame:
+    """`(id, band, k)`: the bands of each text that another text may share."""
+    shared = heads.sparkSession.sparkContext.broadcast(bit_map(buckets, F.col("band")))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands = batch.column(1).flatten().to_numpy()
+            there = np.flatnonzero(marked(shared.value, bands))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(there // BANDS)), pa.array(bands[there]), pa.array((there % BANDS).astype(np.int32))], names=["id", "band", "k"])
+
+    return heads.select("id", "bands").mapInArrow(keep, "id long, band long, k int")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """`(doc_id, n_shingles, component_id, kept)` per row of `docs(doc_id, text, ...)`.
 
@@ -185,15 +199,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = settle(docs.mapInArrow(_sign, f"doc_id long, {_PRINT}, packed array<long>, bands array<long>"))
     usable = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     key = ["print_a", "print_b", "n_shingles"]
-    firsts = settle(usable.groupBy(*key).agg(F.min("doc_id").alias("id")))
-    alone = firsts.select(*key, F.col("id").alias("doc_id"))
-    # One row per print: the representative's own signature.
-    heads = usable.join(alone, [*key, "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "packed", "bands")
-    heads = settle(heads.distinct())
-    every_member = heads.select("id", F.posexplode("bands").alias("k", "band"))
-    buckets = every_member.groupBy("band").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    # One row per print: the smallest doc_id and its own signature.
+    heads = settle(usable.groupBy(*key).agg(F.min("doc_id").alias("id"), F.min_by(F.struct("packed", "bands"), "doc_id").alias("s")).select(*key, "id", F.col("n_shingles").alias("n"), "s.*"))
+    firsts = heads.select(*key, "id")
+    every_band = heads.select("id", F.explode("bands").alias("band"))
+    buckets = settle(every_band.groupBy("band").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1"))
     # Most buckets hold one text; what follows reads the others only.
-    members = settle(every_member.join(buckets.select("band", "head"), "band"))
+    members = settle(_repeated(heads, buckets).join(buckets.select("band", "head"), "band"))
     packed = heads.select("id", "n", "packed")
     star = members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     small = F.greatest("na", "nb") <= SMALL
@@ -208,7 +220,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = members.join(labels, "id", "left").select("id", "band", "k", F.coalesce("label", "id").alias("label"))
     mixed = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
     open_members = settle(placed.join(mixed.select("band", "size"), "band"))
-    fine = settle(docs.join(open_members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_fine, "id long, n long, fine array<long>").where("n > 0").distinct())
+    fine = settle(rows_of(docs, settle(open_members.select("id").distinct())).mapInArrow(_fine, "id long, n long, fine array<long>").where("n > 0").distinct())
     # Sets of too different a size cannot be similar enough.
     alike = (100 * F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb")) & (small | (estimated(F.col("pa"), F.col("pb"), FINE_MINIMA, FINE_BITS) >= least_estimate(FINE_MINIMA, FINE_BITS)))
     # A pair is taken in the first band it shares, once.
