@@ -320,8 +320,10 @@ def ngram_join(docs: DataFrame, ngram: int = NGRAM, similar: int = SIMILAR) -> D
     # Tiles: every set is in that of its own band and, for larger partners, in that of the next.
     entries = settle(_entries(named, heads, ngram, similar))
     placed = entries.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).select("gram", (F.col("band") + F.col("up")).alias("tile"), "id", "up")
-    tiles = placed.groupBy("gram", "tile").agg(F.min(F.when(F.col("up") == 0, F.col("id"))).alias("head"), F.count(F.lit(1)).alias("rows")).where("rows > 1 AND head IS NOT NULL")
-    tiles = settle(tiles)
+    # Copies share many n-grams: of tiles that hold the same sets, one stays (two sums of 40-bit hashes tell them apart).
+    held = [F.sum(F.shiftrightunsigned(F.xxhash64("id", "up", F.lit(k)), 24)).alias(f"held_{k}") for k in (0, 1)]
+    tiles = placed.groupBy("gram", "tile").agg(F.min(F.when(F.col("up") == 0, F.col("id"))).alias("head"), F.count(F.lit(1)).alias("rows"), *held).where("rows > 1 AND head IS NOT NULL")
+    tiles = settle(tiles.groupBy("tile", "head", "rows", "held_0", "held_1").agg(F.min("gram").alias("gram")).select("gram", "tile", "head", "rows"))
     hot = settle(_hot(placed, ["gram", "tile"], tiles))
     members = settle(_spread_join(placed, tiles, ["gram", "tile"], hot))
     star = settle(members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
@@ -333,7 +335,8 @@ def ngram_join(docs: DataFrame, ngram: int = NGRAM, similar: int = SIMILAR) -> D
     # Tiles that hold several components: sets outside the head's component meet all sets of other components, block by block.
     labelled = settle(members.select("gram", "tile", "id", "up", "head").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
     mixed = labelled.groupBy("gram", "tile").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("id") == F.col("head"), F.col("label"))).alias("major"), F.count(F.lit(1)).alias("rows"))
-    mixed = settle(mixed.where("low < high").drop("low", "high"))
+    # Two sets have met already: one of them is the head.
+    mixed = settle(mixed.where("low < high AND rows > 2").drop("low", "high"))
     dealt = settle(_spread_join(labelled.drop("head"), mixed, ["gram", "tile"], hot))
     apart = dealt.where("label <> major").groupBy("gram", "tile").agg(F.count(F.lit(1)).alias("apart"))
     dealt = _spread_join(dealt, apart, ["gram", "tile"], hot).join(sized, "id")
