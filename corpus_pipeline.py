@@ -2,7 +2,9 @@
 passages go, sources are mixed to target weights, and the token ids are written in training order.
 
 Every stage takes `(spark, docs, sf_dir)` and works on all that the stage before kept; what comes between two
-stages is a table in the shared folder.
+stages is a table in the shared folder. A document is a doc_id with its text: rows that share a doc_id are judged each
+by its own text, rows without one as well, and rows equal in both are one document. Empty tables give empty tables; further columns
+stay as they are, whatever their names. A null text is an empty one.
 """
 
 from __future__ import annotations
@@ -12,18 +14,33 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vacanta.llm import minhash, mixing, queries, tiling, token_shards, toxicity
 from vacanta.session import settle
 
+# A document's key beside its own columns.
+ROW = "corpus_pipeline_key"
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(ROW, F.xxhash64("doc_id", "text"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with the hash of doc_id and text in place of the doc_id, and the columns the operators read."""
+    return docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), *[c for c in ("text", "lang", "source") if c in docs.columns])
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score reaches the threshold go. The classifier learns from the labelled documents."""
     model = toxicity.learn(docs, queries.table(spark, sf_dir, "labels"))
-    rejected = toxicity.toxicity_scores(docs, model).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    rejected = toxicity.toxicity_scores(keyed(docs), model).where("predicted = 1").select(F.col("doc_id").alias(ROW)).distinct()
+    return with_key(docs).join(rejected, ROW, "left_anti").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest doc_id stays."""
-    copies = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates, the document with the smallest doc_id stays (one without a doc_id if there is no other)."""
+    groups = minhash.near_duplicates(keyed(docs)).select(F.col("doc_id").alias(ROW), "component_id").distinct()
+    own = with_key(docs.select("doc_id", "text")).select("doc_id", ROW).distinct()
+    first = own.join(groups, ROW).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first"))
+    kept = first.select(F.col(f"first.{ROW}").alias(ROW))
+    return with_key(docs).join(kept, ROW, "left_semi").dropDuplicates([ROW]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +53,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document is repeated as often as the mixture reads it: once at least, small sources up to twice."""
-    read = mixing.copies(mixing.mix(docs, repetition=2.0))
-    times = docs.join(read, "doc_id", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    return times.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    read = mixing.copies(mixing.mix(keyed(docs), repetition=2.0)).select(F.col("doc_id").alias(ROW), F.col("copies").alias(f"{ROW}_copies"))
+    times = with_key(docs).join(read, ROW, "left").withColumn(ROW, F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce(f"{ROW}_copies", F.lit(1)))))
+    return times.select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
