@@ -43,6 +43,8 @@ _TALL = 10_000
 TASK_ROWS = 1_000_000
 # Sets of one tile that are compared in one block.
 BLOCK = 256
+# Tiles of a set that its pairs look up to count once.
+EARLIER = 32
 # A key with more than one in HOT of the rows is dealt over SALTS tasks.
 HOT, SALTS = 10_000, 32
 
@@ -341,17 +343,23 @@ def ngram_join(docs: DataFrame, ngram: int = NGRAM, similar: int = SIMILAR) -> D
     apart = dealt.where("label <> major").groupBy("gram", "tile").agg(F.count(F.lit(1)).alias("apart"))
     dealt = _spread_join(dealt, apart, ["gram", "tile"], hot).join(sized, "id")
     widths = F.array(*[F.lit(width(int(s))) for s in size_bands(similar)])
-    dealt = settle(dealt.withColumn("bits", _narrowed(F.col("bits"), F.get(widths, F.col("tile")))))
+    dealt = settle(dealt.withColumn("bits", _narrowed(F.col("bits"), F.get(widths, F.col("tile")))).withColumn("tid", F.xxhash64("gram", "tile")))
+    # A pair counts in the first tile it meets in, as far as both sets list their first tiles. Two sets of the band below do not meet.
+    first_tiles = lambda c: F.slice(F.sort_array(F.collect_set(c)), 1, EARLIER)
+    lists = dealt.groupBy("id").agg(first_tiles(F.col("tid")).alias("all"), first_tiles(F.when(F.col("up") == 0, F.col("tid"))).alias("own"))
+    before = {c: F.filter(c, lambda t: t < F.col("tid")) for c in ("all", "own")}
+    dealt = settle(dealt.join(lists, "id").withColumns(before))
 
     def side(rows: DataFrame, letter: str, own: str, own_blocks: str, other: str, other_blocks: str) -> DataFrame:
         each = F.sequence(F.lit(0).cast("long"), F.ceil(F.col(other_blocks) / BLOCK).cast("long") - 1)
         block = F.pmod(F.xxhash64("id"), F.ceil(F.col(own_blocks) / BLOCK).cast("long"))
-        return rows.select("gram", "tile", block.alias(own), F.explode(each).alias(other), F.col("id").alias(letter), *[F.col(c).alias(f"{c}_{letter}") for c in ("up", "label", "n", "bits")], (F.col("label") != F.col("major")).alias(f"apart_{letter}"))
+        return rows.select("gram", "tile", block.alias(own), F.explode(each).alias(other), F.col("id").alias(letter), *[F.col(c).alias(f"{c}_{letter}") for c in ("up", "label", "n", "bits", "all", "own")], (F.col("label") != F.col("major")).alias(f"apart_{letter}"))
 
     left, right = side(dealt.where("label <> major"), "a", "i", "apart", "j", "rows"), side(dealt, "b", "j", "rows", "i", "apart")
     # Two sets of the band below meet in its own tile; two that are both apart meet twice here and count once.
     once = ((F.col("up_a") == 0) | (F.col("up_b") == 0)) & (~F.col("apart_b") | (F.col("a") < F.col("b")))
-    meeting = (F.col("label_a") != F.col("label_b")) & once & may_link(F.col("n_a"), F.col("bits_a"), F.col("n_b"), F.col("bits_b"), similar)
+    earlier = F.arrays_overlap("all_a", "own_b") | F.arrays_overlap("own_a", "all_b")
+    meeting = (F.col("label_a") != F.col("label_b")) & once & ~earlier & may_link(F.col("n_a"), F.col("bits_a"), F.col("n_b"), F.col("bits_b"), similar)
     across = left.join(right, ["gram", "tile", "i", "j"]).where(meeting).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _linked(settle(settle(across).join(tried, ["a", "b"], "left_anti")), named, ngram, similar)
