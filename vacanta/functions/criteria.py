@@ -31,7 +31,7 @@ def parse_criteria(json: Column) -> Column:
     out = F.coalesce(c["outOfZone"], F.lit("never"))
     openness = F.coalesce(c["openness"], F.lit(50.0))
     years = c["experienceYears"]
-    sound = c.isNotNull() & out.isin("never", "exceptional", "yes") & openness.between(0, 100) & (years.isNull() | years.between(0, 45))
+    sound = F.try_parse_json(json).isNotNull() & c.isNotNull() & out.isin("never", "exceptional", "yes") & openness.between(0, 100) & (years.isNull() | years.between(0, 45))
     value = F.struct(
         *[_items(c[k]).alias(v) for k, v in LISTS.items()],
         F.coalesce(c["otherSectors"]["open"], F.lit(True)).alias("open_sectors"), F.nullif(strip(c["otherSectors"]["condition"]), F.lit("")).alias("sector_condition"),
@@ -43,4 +43,4 @@ def parse_criteria(json: Column) -> Column:
 
 def parse_cv_summary(json: Column) -> Column:
     c = F.from_json(json, CV_SCHEMA)
-    return F.when(c.isNotNull(), F.struct(c["experienceYears"].alias("experience_years"), *[_items(c[k]).alias(k) for k in CV_LISTS]))
+    return F.when(F.try_parse_json(json).isNotNull() & c.isNotNull(), F.struct(c["experienceYears"].alias("experience_years"), *[_items(c[k]).alias(k) for k in CV_LISTS]))

@@ -9,23 +9,63 @@ from vacanta.functions.privacy import has_email, has_phone
 from vacanta.functions.relevance import shown_words
 from vacanta.functions.text import fold
 from vacanta.rules import privacy as R
+from vacanta.session import broadcast_if_small, skew_join
 
 KEYWORDS = 12
 
 
+# A word of a keyword that stands in a text, plural endings counted; the word itself is replaced by \u0001 first.
+_MARK = "\u0001"
+_STANDS = rf"(?:^|[^a-z0-9]){_MARK}(?:s|x|es|ing)?(?![a-z0-9])"
+ENDINGS = ["", "s", "x", "es", "ing"]
+
+
+def _joined_ab(folded: Column) -> Column:
+    return F.regexp_replace(folded, r"(?<![a-z0-9_])a\s*/\s*b(?![a-z0-9_])", "a/b")
+
+
+def keyword_options(keyword: Column) -> Column:
+    """Alternatives of a keyword, each the array of its words without plural ending; a slash means alternatives."""
+    k = _joined_ab(fold(keyword))
+    options = F.filter(F.when(F.contains(k, F.lit("a/b")), F.array(k)).otherwise(F.split(k, r"\s*/\s*", -1)), lambda a: a != "")
+    stem = lambda w: F.when(F.length(w) > 3, F.regexp_replace(w, "s$", "")).otherwise(w)
+    return F.filter(F.transform(options, lambda alt: F.transform(F.filter(F.split(alt, "[^a-z0-9+#/]+", -1), lambda w: F.length(w) >= 2), stem)), lambda words: F.size(words) > 0)
+
+
+def stands(text: Column, word: Column) -> Column:
+    """Whether a word (without plural ending) stands in a folded text as a whole word; one pattern for all words."""
+    return F.rlike(F.replace(text, word, F.lit(_MARK)), F.lit(_STANDS))
+
+
 def has_keyword(folded_cv: Column, keyword: Column) -> Column:
     """Each word of the keyword as a whole word, plurals counted; a slash means alternatives."""
-    text = F.regexp_replace(folded_cv, r"(?<![a-z0-9_])a\s*/\s*b(?![a-z0-9_])", "a/b")
-    k = F.regexp_replace(fold(keyword), r"(?<![a-z0-9_])a\s*/\s*b(?![a-z0-9_])", "a/b")
-    options = F.filter(F.when(F.contains(k, F.lit("a/b")), F.array(k)).otherwise(F.split(k, r"\s*/\s*", -1)), lambda a: a != "")
+    return let(_joined_ab(folded_cv), lambda cv: F.exists(keyword_options(keyword), lambda words: F.forall(words, lambda w: stands(cv, w))))
+
 
-    def found(cv: Column, alt: Column) -> Column:
-        words = F.filter(F.split(alt, "[^a-z0-9+#/]+", -1), lambda w: F.length(w) >= 2)
-        stem = lambda w: F.when(F.length(w) > 3, F.regexp_replace(w, "s$", "")).otherwise(w)
-        pattern = lambda w: F.concat(F.lit("(?:^|[^a-z0-9])"), F.regexp_replace(stem(w), r"([+])", r"\\$1"), F.lit("(?:s|x|es|ing)?(?![a-z0-9])"))
-        return (F.size(words) > 0) & F.forall(words, lambda w: F.rlike(cv, pattern(w)))
+def keyword_forms(keywords: DataFrame, key: str = "key") -> DataFrame:
+    """Every form of every word of the keywords as a table: key, alt, words (of the alternative), word, form, exact.
 
-    return let(text, lambda cv: F.exists(options, lambda alt: found(cv, alt)))
+    A word of letters and digits has five forms, one of which a text's word must equal. A word with other signs is
+    looked up by its first run of letters and digits (none: by the empty word) and compared afterwards.
+    """
+    words = keywords.select(key).distinct().select(key, F.posexplode(keyword_options(F.col(key))).alias("alt", "w"))
+    each = words.select(key, "alt", F.size(F.array_distinct("w")).alias("words"), F.explode(F.array_distinct("w")).alias("word"))
+    plain = F.col("word").rlike("^[a-z0-9]+$")
+    forms = F.when(plain, F.array(*[F.concat("word", F.lit(e)) for e in ENDINGS])).otherwise(F.array(F.regexp_extract("word", "[a-z0-9]+", 0)))
+    return each.select(key, "alt", "words", "word", plain.alias("exact"), F.explode(forms).alias("form"))
+
+
+def keywords_found(texts: DataFrame, keywords: DataFrame, id: str = "cv_id", text: str = "text", key: str = "key") -> DataFrame:
+    """(id, key) of the keywords that texts hold: what `has_keyword` says, by equality of words with `keyword_forms`."""
+    read = texts.select(id, _joined_ab(fold(F.col(text))).alias("n"))
+    forms, small = broadcast_if_small(keyword_forms(keywords, key))
+    # The last letters of a text's run may be the ending of a word with signs: such words are looked up by their beginning.
+    tokens = read.select(id, F.explode(F.array_union(F.split("n", "[^a-z0-9]+", -1), F.array(F.lit("")))).alias("form")).distinct()
+    met = tokens.join(forms, "form") if small else skew_join(tokens, forms, ["form"], "inner")
+    hits = met.filter("exact").select(id, key, "alt", "words", "word").distinct()
+    signs = met.filter("NOT exact").select(id, key, "alt", "words", "word").distinct().join(read, id).filter(stands(F.col("n"), F.col("word"))).drop("n")
+    whole = hits.unionByName(signs).distinct().groupBy(id, key, "alt", "words").agg(F.count("*").alias("found")).filter("found = words")
+    return whole.select(id, key).distinct()
 
 
 def compare_keywords(text: Column, keywords: Column) -> Column:

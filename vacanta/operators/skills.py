@@ -105,31 +105,39 @@ def in_cv(groups: DataFrame, cv_text: str = "", cv_skills: list[str] | None = No
     return F.array_contains(known, F.col("key")) | F.exists(K.spellings(F.col("key")), lambda f: F.contains(text, F.concat(F.lit(" "), f, F.lit(" "))))
 
 
-def skill_demand(texts: DataFrame, groups: DataFrame, id: str = "offer_id", text: str = "text", required: str | None = None, bonus: str | None = None, market: str | None = None, guard: bool = True) -> DataFrame:
-    """How many texts ask for each skill: key, name, kind, count, bonus, share, per market when given.
-
-    `required` and `bonus` are the two parts of the text; a skill found only in the second is a wish.
-    """
-    ids = [id] if market is None else [market, id]
-    groups = settle(groups)
-    forms = forms_of(groups)
+def text_skills(texts: DataFrame, groups: DataFrame, ids: list[str], text: str = "text", required: str | None = None, bonus: str | None = None) -> DataFrame:
+    """(ids, key, wished) of every skill a whole text holds; wished if its bonus part names it and its required part does not."""
+    forms = settle(forms_of(groups))
     longest = longest_phrase(forms)
     parts = [("full", text)] + ([("required", required), ("bonus", bonus)] if required and bonus else [])
     stacked = texts.select(*ids, F.explode_outer(F.array(*[F.struct(F.lit(n).alias("part"), skill_key(F.col(c)).alias("words")) for n, c in parts])).alias("p")).select(*ids, "p.part", "p.words")
     hits = citing(stacked, forms, [*ids, "part"], "words", keyed=True, max_words=longest, distinct=False)
     per_text = hits.groupBy(*ids, "key").agg(*[F.max((F.col("part") == n).cast("int")).alias(n) for n in ("full", "required", "bonus")])
-    by = ["key"] if market is None else [market, "key"]
-    counted = per_text.filter("full = 1").groupBy(*by).agg(F.count("*").alias("count"), F.sum(F.col("bonus") * (1 - F.col("required"))).alias("bonus"))
-    counted = counted.filter(F.col("count") >= R.MIN_COUNT)
-    sizes = texts.agg(F.count("*").alias("read")) if market is None else texts.groupBy(market).agg(F.count("*").alias("read"))
-    joined = counted.join(groups, "key")
-    joined = joined.join(sizes, market) if market else joined.withColumn("read", sizes.scalar())
+    return per_text.filter("full = 1").select(*ids, "key", (F.col("bonus") * (1 - F.col("required"))).alias("wished"))
+
+
+def weighed(counted: DataFrame, sizes: DataFrame, groups: DataFrame, by: list[str], guard: bool = True) -> DataFrame:
+    """Counts (by, key, count, bonus) with names, kinds and shares of the texts read (`sizes`: by, read); rare and common words left out."""
+    joined = counted.filter(F.col("count") >= R.MIN_COUNT).join(groups, "key")
+    joined = joined.join(sizes, by) if by else joined.withColumn("read", sizes.scalar())
     if guard:
         single = ~F.contains(F.col("key"), F.lit(" ")) & ~F.col("key").isin(R.SHORT_SKILLS)
         common = single & (F.col("extracted") / F.col("count") < R.COMMON_WORD_SHARE) & (F.col("extracted") < R.COMMON_WORD_EXTRACTIONS)
         joined = joined.filter(~common)
     share = half_up(100 * F.col("count") / F.greatest(F.lit(1), F.col("read"))).cast("int")
-    return joined.select(*by, "name", "kind", "count", "bonus", share.alias("share"))
+    return joined.select(*by, "key", "name", "kind", "count", "bonus", share.alias("share"))
+
+
+def skill_demand(texts: DataFrame, groups: DataFrame, id: str = "offer_id", text: str = "text", required: str | None = None, bonus: str | None = None, market: str | None = None, guard: bool = True) -> DataFrame:
+    """How many texts ask for each skill: key, name, kind, count, bonus, share, per market when given.
+
+    `required` and `bonus` are the two parts of the text; a skill found only in the second is a wish.
+    """
+    by = [] if market is None else [market]
+    groups = settle(groups)
+    counted = text_skills(texts, groups, [*by, id], text, required, bonus).groupBy(*by, "key").agg(F.count("*").alias("count"), F.sum("wished").alias("bonus"))
+    sizes = texts.groupBy(*by).agg(F.count("*").alias("read"))
+    return weighed(counted, sizes, groups, by, guard)
 
 
 def top_by_kind(skills: DataFrame, k: int, within: list[str] | None = None) -> DataFrame:

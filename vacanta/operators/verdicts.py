@@ -39,31 +39,60 @@ def answer_list(c: Column) -> Column:
     return F.filter(F.transform(F.coalesce(c, strings([])), plain), lambda x: x != "")
 
 
+def _kind(item: str, field: str) -> Column:
+    """Type of a field of a variant: null when it is absent, VOID when it is a JSON null."""
+    return F.schema_of_variant(F.try_variant_get(item, f"$.{field}", "variant"))
+
+
+def _coerced(item: str, field: str) -> Column:
+    """A number as a lenient reader takes it: text is read, an empty one and null are 0, what cannot be read is null."""
+    text = strip(F.try_variant_get(item, f"$.{field}", "string"))
+    kind = _kind(item, field)
+    return F.when(kind == "VOID", 0.0).when(kind == "BOOLEAN", F.try_variant_get(item, f"$.{field}", "boolean").cast("double")).when(text == "", 0.0).otherwise(text.try_cast("double"))
+
+
 def parse_verdicts(answers: DataFrame, answer: str = "answer", offers: str = "offer_ids") -> tuple[DataFrame, DataFrame]:
     """(verdicts, refused): one row per element of each answer; a malformed element is set apart alone.
 
-    `offers` is the list of offers sent; "o2", "2" and "O2" mean the second, else the place in the answer.
+    Answers are read as variants, element by element and field by field, so one of a wrong type spoils its own
+    element only; `refused` names the first such field. An answer that is no JSON object with a list of results is
+    refused whole (field `resultats`). `offers` is the list of offers sent; "o2", "2" and "O2" mean the second, else
+    the place in the answer.
     """
-    parsed = answers.withColumn("_a", F.from_json(answer, R.ANSWER))
-    items = parsed.select("*", F.size("_a.resultats").alias("_n"), F.posexplode("_a.resultats").alias("_at", "i"))
-    number = F.regexp_extract(strip(F.col("i.id")), r"^[oO]?(\d+)$", 1).try_cast("int")
+    keep = [c for c in answers.columns if c not in (answer, offers)]
+    read = answers.withColumn("_list", F.try_variant_get(F.try_parse_json(F.col(answer)), "$.resultats", "array<variant>"))
+    whole = read.filter("_list IS NULL").select(*keep, F.lit(None).cast("string").alias("offer_id"), F.lit("resultats").alias("field"), F.col(answer).alias("element"))
+    items = read.filter("_list IS NOT NULL").select("*", F.size("_list").alias("_n"), F.posexplode("_list").alias("_at", "i"))
+    scores = ["score_interet", "score_chances", "score_tremplin"]
+    text = lambda f: F.try_variant_get("i", f"$.{f}", "string")
+    values = {f"_{s}": _coerced("i", s) for s in scores}
+    lists = {f"_{f}": F.try_variant_get("i", f"$.{f}", "array<string>") for f in ("missions", "points_d_attention")}
+    skills = F.try_variant_get("i", "$.competences", "array<struct<nom:string,type:string>>")
+    items = items.withColumns(values | lists | {"_competences": skills})
+
+    absent = lambda f: F.coalesce(_kind("i", f) == "VOID", F.lit(True))
+    broken = [F.when(~F.coalesce(_kind("i", "id").isin("STRING", "BIGINT") | _kind("i", "id").startswith("DECIMAL"), F.lit(False)), "id")]
+    broken += [F.when(F.coalesce(_kind("i", f) != "STRING", F.lit(True)), f) for f in ("correspondance", "secteur")]
+    broken += [F.when(~absent(f) & (_kind("i", f) != "STRING"), f) for f in R.TEXT_FIELDS]
+    broken += [F.when(~F.coalesce(F.col(f"_{s}").between(0, 100), F.lit(False)), s) for s in scores]
+    strings_only = lambda f: F.coalesce(_kind("i", f).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False))
+    broken += [F.when(~absent(f) & ~strings_only(f), f) for f in ("missions", "points_d_attention")]
+    broken += [F.when(~absent("competences") & (F.col("_competences").isNull() | F.exists("_competences", lambda x: x.isNull() | x["nom"].isNull())), "competences")]
+
+    number = F.regexp_extract(strip(text("id")), r"^[oO]?(\d+)$", 1).try_cast("int")
     by_id = F.get(F.col(offers), number - 1)
     by_place = F.when(F.col("_n") == F.size(offers), F.get(F.col(offers), F.col("_at")))
-    score = lambda f: F.col(f"i.{f}").try_cast("double")
-    scores = ["score_interet", "score_chances", "score_tremplin"]
-    sound = F.col("i.id").isNotNull() & F.col("i.correspondance").isNotNull() & F.col("i.secteur").isNotNull()
-    for s in scores:
-        sound = sound & F.coalesce(score(s).between(0, 100), F.lit(False))
-    keep = [c for c in answers.columns if c not in (answer, offers)]
     out = items.select(
-        *keep, F.coalesce(by_id, by_place).alias("offer_id"), sound.alias("_ok"), F.to_json("i").alias("_raw"),
-        one_of(F.col("i.correspondance"), R.MATCHES, "autre").alias("correspondance"), one_of(F.col("i.secteur"), R.SECTORS, "autre").alias("secteur"),
-        *[answer_text(F.col(f"i.{f}")).alias(f) for f in R.TEXT_FIELDS], *[score(s).alias(s) for s in scores],
-        answer_list(F.col("i.missions")).alias("missions"), answer_list(F.col("i.points_d_attention")).alias("points_d_attention"),
-        F.coalesce("i.competences", F.array().cast("array<struct<nom:string,type:string>>")).alias("competences"),
+        *keep, F.coalesce(by_id, by_place).alias("offer_id"), F.coalesce(*broken).alias("_field"), F.to_json("i").alias("_raw"),
+        one_of(text("correspondance"), R.MATCHES, "autre").alias("correspondance"), one_of(text("secteur"), R.SECTORS, "autre").alias("secteur"),
+        *[answer_text(text(f)).alias(f) for f in R.TEXT_FIELDS], *[F.col(f"_{s}").alias(s) for s in scores],
+        answer_list(F.col("_missions")).alias("missions"), answer_list(F.col("_points_d_attention")).alias("points_d_attention"),
+        F.coalesce("_competences", F.array().cast("array<struct<nom:string,type:string>>")).alias("competences"),
     )
-    good = F.col("_ok") & F.col("offer_id").isNotNull()
-    return out.filter(good).drop("_ok", "_raw"), out.filter(~good).select(*keep, "offer_id", F.col("_raw").alias("element"))
+    field = F.coalesce("_field", F.when(F.col("offer_id").isNull(), "id"))
+    refused = out.withColumn("field", field).filter("field IS NOT NULL").select(*keep, "offer_id", "field", F.col("_raw").alias("element"))
+    types = {f.name: f.dataType for f in refused.schema.fields}
+    return out.filter(field.isNull()).drop("_field", "_raw"), refused.unionByName(whole.withColumn("offer_id", F.col("offer_id").cast(types["offer_id"])))
 
 
 def written(quote: Column, squashed: Column) -> Column:
@@ -290,10 +319,22 @@ def learn_facts(offers: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Facts read in verdicts written on offers that lack them (first person's verdict wins); nothing known changes."""
     order = F.col("user_id")
     first = lambda col, ok=None: F.min_by(F.col(col), F.when(F.col(col).isNotNull() if ok is None else ok, order)).alias(f"_{col}")
-    facts = verdicts.groupBy("offer_id").agg(first("experience_found"), first("contract_found"), first("seniority"))
+    listed = [first("skills", F.size("skills") > 0)] if "skills" in offers.columns else []
+    facts = verdicts.groupBy("offer_id").agg(first("experience_found"), first("contract_found"), first("seniority"), *listed)
     j = offers.join(facts, "offer_id", "left")
     return j.withColumns({
         "experience_min_years": F.coalesce("experience_min_years", F.col("_experience_found")),
         "contract": F.when(F.col("contract") == "unknown", F.coalesce("_contract_found", "contract")).otherwise(F.col("contract")),
         "seniority_estimate": F.coalesce("seniority_estimate", "_seniority"),
-    }).drop("_experience_found", "_contract_found", "_seniority")
+        **({"skills": F.when(F.size("skills") > 0, F.col("skills")).otherwise(F.coalesce("_skills", "skills"))} if listed else {}),
+    }).drop("_experience_found", "_contract_found", "_seniority", "_skills")
+
+
+def learn_products(companies: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """What a company makes, read in verdicts on its offers, written where nothing is known (first person's verdict wins).
+
+    `companies` holds company_id and product; `verdicts` company_id, user_id and company_product.
+    """
+    told = F.col("company_product").isNotNull()
+    facts = verdicts.groupBy("company_id").agg(F.min_by("company_product", F.when(told, F.struct("user_id", "company_product"))).alias("_product"))
+    return companies.join(facts, "company_id", "left").withColumn("product", F.coalesce("product", "_product")).drop("_product")

@@ -10,10 +10,10 @@ from vacanta.functions.lines import split_requirements
 from vacanta.functions.signals import has_junior_title, is_student, salary_midpoint
 from vacanta.functions.text import rule_text
 from vacanta.operators import market as M
-from vacanta.operators.dedup import copies, dedup_texts
+from vacanta.operators.dedup import copies, dedup_texts, text_print
 from vacanta.operators.filters import active_at, is_excerpt
 from vacanta.operators.relevance import role_phrases, title_counts, title_matrix
-from vacanta.operators.skills import market_insights, skill_demand, skill_groups, top_by_kind
+from vacanta.operators.skills import market_insights, skill_demand, skill_groups, text_skills, top_by_kind, weighed
 from vacanta.rules import relevance as RR
 from vacanta.rules import skills as KR
 from vacanta.session import settle
@@ -23,12 +23,16 @@ TEXT_MIN = 300
 
 
 def named_offers(offers: DataFrame, profiles: DataFrame, at: Column) -> DataFrame:
-    """(profile, offer) of active offers read in full whose title names the role, in full or with the text's help.
+    """(profile, offer) of offers active at a time whose title names the role (`naming_offers`)."""
+    return naming_offers(active_at(offers, at), profiles)
+
+
+def naming_offers(online: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(profile, offer) of offers read in full whose title names the role, in full or with the text's help.
 
     Titles meet roles by equality on words; texts are cut into words only for the offers that are left.
     """
     phrases = role_phrases(profiles, bridges=None)
-    online = active_at(offers, at)
     near = title_matrix(online, phrases).filter(F.col("score") * F.col("weight") >= RR.MIN_TITLE_RELEVANCE)
     # Used for the texts to read and for the pairs: kept once, a line per title and role that meet.
     near = settle(near.select("title", "profile_id", "core", "words", "title_words"))
@@ -118,14 +122,56 @@ def market_trend(skills: DataFrame, history_from: str | None = None) -> DataFram
     return M.trend(today, before, ["profile_id", "reference", "key"])
 
 
-def rebuild_history(offers: DataFrame, profiles: DataFrame, vocabulary: DataFrame, days: list[str], job=None) -> DataFrame:
-    """Skills of past days: one market job per day to rebuild, days being few (weekly steps)."""
-    job = job or (lambda at: market_skills(market_base(offers, profiles, at)[0], vocabulary))
-    parts = [job(F.lit(f"{d} 12:00:00").cast(offers.schema["posted_at"].dataType)).withColumn("day", F.lit(d).cast("date")) for d in days]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def days_online(offers: DataFrame, days: list[str]) -> Column:
+    """Whether an offer is active at noon of each day, as an array of booleans."""
+    kind = offers.schema["posted_at"].dataType
+    posted, gone = F.col("posted_at"), F.col("archived_at")
+    return F.array(*[F.coalesce((posted <= at) & (gone.isNull() | (gone > at)), F.lit(False)) for at in (F.lit(f"{d} 12:00:00").cast(kind) for d in days)])
+
+
+def rebuild_history(offers: DataFrame, profiles: DataFrame, vocabulary: DataFrame, days: list[str], guard: bool = True, parts=split_requirements) -> DataFrame:
+    """Skills of past days, `(profile_id, day, key, name, kind, count, bonus, share)`, all days in one job.
+
+    Each text is read once. Of the copies of a text, each day counts the one that day's base would keep. Its stay becomes
+    +1 where it begins and -1 where it ends, added up per profile and skill; running sums give every day. `days` are in order.
+    """
+    by = ["profile_id"]
+    online = settle(offers.withColumn("online", days_online(offers, days)).filter(F.exists("online", lambda x: x)))
+    pairs = settle(naming_offers(online, profiles))
+    prints = online.join(pairs.select("offer_id").distinct(), "offer_id", "left_semi").select("offer_id", "engine_only", "online", text_print(F.col("text")).alias("print"))
+    rows = pairs.join(prints, "offer_id")
+    # Per day the employer's own page first, then the smallest id: plain minima, a few per text.
+    own = [F.min(F.when(F.col("online")[k] & ~F.col("engine_only"), F.col("offer_id"))).alias(f"o{k}") for k in range(len(days))]
+    any_ = [F.min(F.when(F.col("online")[k], F.col("offer_id"))).alias(f"a{k}") for k in range(len(days))]
+    winners = rows.groupBy(*by, "print").agg(*own, *any_)
+    kept = F.array(*[F.coalesce(f"o{k}", f"a{k}") for k in range(len(days))])
+    # Runs of days that one copy holds: it comes where the day before had another, and goes where the next one has.
+    each = winners.select(*by, kept.alias("kept"))
+    steps = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(len(days) - 1)), lambda k: F.array(
+        F.struct(F.get("kept", k).alias("offer_id"), k.alias("k"), (~F.get("kept", k).eqNullSafe(F.get("kept", k - 1))).cast("int").alias("step")),
+        F.struct(F.get("kept", k - 1).alias("offer_id"), k.alias("k"), (-(~F.get("kept", k).eqNullSafe(F.get("kept", k - 1))).cast("int")).alias("step")),
+    )))
+    events = settle(each.select(*by, F.explode(steps).alias("e")).select(*by, "e.*").filter("offer_id IS NOT NULL AND step <> 0"))
+    long = online.filter(F.length("text") > TEXT_MIN).join(events.select("offer_id").distinct(), "offer_id", "left_semi")
+    read = once(long.select("offer_id", "text"), p=parts(F.col("text"))).select("offer_id", "text", F.col("p.required").alias("required"), F.col("p.bonus").alias("bonus"))
+    groups = settle(skill_groups(vocabulary))
+    cited = text_skills(read, groups, ["offer_id"], required="required", bonus="bonus")
+    stays = events.join(long.select("offer_id"), "offer_id", "left_semi")
+    changes = stays.join(cited, "offer_id").groupBy(*by, "key", "k").agg(F.sum("step").alias("count"), F.sum(F.col("step") * F.col("wished")).alias("bonus"))
+    counted = running(changes, [*by, "key"], ["count", "bonus"], days)
+    sizes = running(stays.groupBy(*by, "k").agg(F.sum("step").alias("read")), by, ["read"], days)
+    return weighed(counted, sizes, groups, [*by, "day"], guard)
+
+
+def running(changes: DataFrame, by: list[str], values: list[str], days: list[str]) -> DataFrame:
+    """Value of every day from changes `(by, k, values)` at the days they happen: one short row per group."""
+    at = F.map_from_entries(F.collect_list(F.struct("k", F.struct(*[F.col(v).cast("bigint").alias(v) for v in values]))))
+    held = changes.groupBy(*by).agg(at.alias("at"))
+    zero = F.struct(*[F.lit(0).cast("bigint").alias(v) for v in values])
+    add = lambda a, b: F.struct(*[(a[v] + F.coalesce(b[v], F.lit(0))).alias(v) for v in values])
+    until = lambda k: F.aggregate(F.sequence(F.lit(0), k), zero, lambda acc, j: add(acc, F.try_element_at("at", j)))
+    every = F.transform(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(d).cast("date").alias("day")) for k, d in enumerate(days)]), lambda x: F.struct(x["day"].alias("day"), until(x["k"]).alias("v")))
+    return held.select(*by, F.explode(every).alias("e")).select(*by, F.col("e.day").alias("day"), *[F.col(f"e.v.{v}").alias(v) for v in values])
 
 
 KINDS = KR.KINDS

@@ -76,10 +76,11 @@ def _each(landing: DataFrame, schema: str, field: str | None, extra: list[str] |
     return parsed.select(*BOARD, *(extra or []), F.col("_p"), F.posexplode(items).alias("at", "j"))
 
 
-def greenhouse(landing: DataFrame) -> DataFrame:
+def greenhouse(landing: DataFrame, context: int | None = None) -> DataFrame:
+    """Place and remote work are read in the title and the text: the whole of it, or its first `context` characters."""
     j = _each(landing, R.GREENHOUSE, "jobs").withColumn("text", _html(F.col("j.content")))
     kind = F.get(F.filter("j.metadata", lambda m: m["name"].rlike(R.EMPLOYMENT_FIELD)), F.lit(0))["value"]
-    return finish(j.select(*BOARD, "text", F.col("j.title").alias("title"), F.col("j.location.name").alias("raw"), F.concat_ws("\n", "j.title", F.substring("text", 1, 600)).alias("context"), F.lit(None).cast("string").alias("said_remote"), kind.alias("employment"), F.col("j.absolute_url").alias("url"), F.col("board_name").alias("company"), F.coalesce("j.first_published", "j.updated_at").alias("published")), "greenhouse")
+    return finish(j.select(*BOARD, "text", F.col("j.title").alias("title"), F.col("j.location.name").alias("raw"), F.concat_ws("\n", "j.title", F.substring("text", 1, context) if context else F.col("text")).alias("context"), F.lit(None).cast("string").alias("said_remote"), kind.alias("employment"), F.col("j.absolute_url").alias("url"), F.col("board_name").alias("company"), F.coalesce("j.first_published", "j.updated_at").alias("published")), "greenhouse")
 
 
 def lever(landing: DataFrame) -> DataFrame:

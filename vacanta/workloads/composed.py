@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from vacanta.plans import market as MK
 from vacanta.plans import scoring as SC
 from vacanta.plans import views as VW
+from vacanta.rules import skills as KR
 from vacanta.session import settle
 from vacanta.workloads import sqltext as Q
-from vacanta.workloads.binding import NOW, OFFERS, ntz, offers, table, vocabulary, with_skills
-from vacanta.workloads.demand import PRINT
+from vacanta.workloads.binding import NOW, OFFERS, grams, ntz, offers, table, vocabulary, with_skills
+from vacanta.workloads.demand import GROUPS, PRINT
 from vacanta.workloads.people import ORDERS_NOW, applications, scores
 from vacanta.workloads.registry import query
 
@@ -62,6 +63,26 @@ def market_skills(spark, sf):
     return MK.market_skills(base, vocabulary(with_skills(o)), k=12).select("profile_id", "key", "kind", "count", "bonus", "share")
 
 
+HISTORY = ["2024-02-03", "2024-02-10", "2024-02-17", "2024-02-24", "2024-03-02", "2024-03-09", "2024-03-30"]
+_HISTORY = f"""WITH {OFFERS}, {_ROLE_SQL}, days AS (SELECT unnest([{", ".join(f"DATE '{d}'" for d in HISTORY)}]) AS day),
+a AS (SELECT days.day, o.*, string_split_regex({Q.fold('title')}, '[^a-z0-9+#]+') AS w FROM offers o, days WHERE posted_at <= day + INTERVAL 12 HOUR AND (archived_at IS NULL OR archived_at > day + INTERVAL 12 HOUR) AND NOT (engine_only AND length(text) < 1200)),
+b AS (SELECT DISTINCT profile_id, day, offer_id, engine_only, {PRINT} AS print, length(text) > 300 AS long FROM a JOIN r ON list_contains(w, role)),
+base AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY profile_id, day, print ORDER BY engine_only, offer_id) = 1),
+texts AS (SELECT offer_id, text FROM offers WHERE offer_id IN (SELECT offer_id FROM base WHERE long)), {GROUPS}, {grams('texts')},
+c AS (SELECT profile_id, day, form AS key, count(*) AS count FROM base JOIN grams USING (offer_id) JOIN vocab ON form = vocab.key WHERE long GROUP BY ALL HAVING count(*) >= 2),
+s AS (SELECT profile_id, day, count(*) AS read FROM base WHERE long GROUP BY ALL)
+SELECT profile_id, strftime(day, '%Y-%m-%d') AS day, key, count, {Q.half_up('100.0 * count / read')} AS share FROM c JOIN s USING (profile_id, day) JOIN vocab USING (key)
+WHERE NOT (NOT contains(key, ' ') AND key NOT IN {Q.one_of(KR.SHORT_SKILLS)} AND extracted / count < 0.06 AND extracted < 15)"""
+
+
+@query("market_history", _HISTORY)
+def market_history(spark, sf):
+    """Skills of seven past days per role: one job, equal to the market counted day by day."""
+    o = market_offers(spark, sf)
+    out = MK.rebuild_history(o, profiles(spark), vocabulary(with_skills(o)), HISTORY)
+    return out.select("profile_id", F.col("day").cast("string").alias("day"), "key", "count", "share")
+
+
 @query("tracking_todo", f"SELECT o_custkey AS user_id, count(*) FILTER (WHERE (o_orderstatus = 'P' AND CASE WHEN o_orderpriority = '5-LOW' THEN o_orderdate + INTERVAL 3 DAY ELSE o_orderdate END <= TIMESTAMP '{ORDERS_NOW}' - INTERVAL 7 DAY) OR (o_orderpriority = '1-URGENT' AND o_orderdate + INTERVAL 10 DAY > TIMESTAMP '{ORDERS_NOW}')) AS todo FROM orders GROUP BY 1")
 def tracking_todo(spark, sf):
     cust = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("company_id"))

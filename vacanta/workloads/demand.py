@@ -308,13 +308,37 @@ def cv_skills(spark, sf):
     return SK.cv_skills(cvs(spark, sf), names).select("cv_id", F.size("skills").alias("n"))
 
 
+# Keywords that test every branch of the rule: plurals, two words, alternatives, signs, a word that is in no text.
+KEYWORDS = ["the", "Les", "und/and", "los que", "a / b", "the+", "zzz", "user/assistant/que", "con", "email/mail", "de la"]
+_K_SQL = "k AS (SELECT unnest([" + ", ".join(f"'{k}'" for k in KEYWORDS) + "]) AS key)"
+_AB = "regexp_replace({}, '(^|[^a-z0-9_])a\\s*/\\s*b($|[^a-z0-9_])', '\\1a/b\\2', 'g')"
+
+
 @query(
     "present_missing",
+    f"""WITH {_K_SQL}, {_CV}, n AS (SELECT cv_id, {_AB.format(Q.fold('text'))} AS n FROM turns),
+        o AS (SELECT key, unnest(CASE WHEN contains({_AB.format('lower(key)')}, 'a/b') THEN [{_AB.format('lower(key)')}] ELSE string_split_regex({_AB.format('lower(key)')}, '\\s*/\\s*') END) AS alt FROM k),
+        w AS (SELECT key, alt, unnest(list_filter(string_split_regex(alt, '[^a-z0-9+#/]+'), lambda x: length(x) >= 2)) AS word FROM o),
+        s AS (SELECT key, alt, replace(CASE WHEN length(word) > 3 THEN regexp_replace(word, 's$', '') ELSE word END, '+', '\\+') AS stem FROM w),
+        f AS (SELECT cv_id, key, alt, bool_and(regexp_matches(n, '(?:^|[^a-z0-9])' || stem || '(?:s|x|es|ing)?(?:$|[^a-z0-9])')) AS ok FROM n, s GROUP BY ALL),
+        p AS (SELECT cv_id, key, bool_or(ok) AS ok FROM f GROUP BY ALL)
+        SELECT cv_id, count(*) FILTER (ok) AS present, {len(KEYWORDS)} - count(*) FILTER (ok) AS missing, {Q.half_up(f'100.0 * count(*) FILTER (ok) / {len(KEYWORDS)}')} AS score FROM p GROUP BY cv_id""",
+)
+def present_missing(spark, sf):
+    """Keywords present in each CV or missing from it, by equality of words with the keywords' forms."""
+    words = spark.createDataFrame([(k,) for k in KEYWORDS], "key string")
+    found = C.keywords_found(cvs(spark, sf), words).groupBy("cv_id").agg(F.count("*").alias("present"))
+    j = cvs(spark, sf).select("cv_id").distinct().join(found, "cv_id", "left").fillna(0, ["present"]).withColumn("missing", len(KEYWORDS) - F.col("present"))
+    return j.withColumn("score", F.floor(100 * F.col("present") / len(KEYWORDS) + 0.5).cast("int"))
+
+
+@query(
+    "top_skills_present",
     f"""{_DEMAND}, {_CV}, {grams('turns', 'cv_id', name='gc')}, top AS (SELECT key FROM kept ORDER BY count DESC, key LIMIT 12), p AS (SELECT turns.cv_id, top.key FROM turns, top)
         SELECT p.cv_id, count(gc.form) AS present, count(*) - count(gc.form) AS missing, {Q.half_up('100.0 * count(gc.form) / count(*)')} AS score
         FROM p LEFT JOIN gc ON gc.cv_id = p.cv_id AND gc.form = p.key GROUP BY p.cv_id""",
 )
-def present_missing(spark, sf):
+def top_skills_present(spark, sf):
     """The twelve skills asked most, present in each CV or missing from it."""
     top = _demand(spark, sf)[1].orderBy(F.desc("count"), "key").limit(12).select("key")
     listed = top.agg(F.array_sort(F.collect_list("key")).alias("keys"))
