@@ -31,7 +31,10 @@ def components(links: DataFrame) -> DataFrame:
             live.join(target.withColumnRenamed("id", "a").withColumnRenamed("to", "ta"), "a").join(target.withColumnRenamed("id", "b").withColumnRenamed("to", "tb"), "b")
             .select(F.col("ta").alias("a"), F.col("tb").alias("b")).where("a <> b").distinct()
         )
-        ids = settle(ids.join(target.withColumnRenamed("id", "root"), "root", "left").select("id", F.coalesce("to", "root").alias("root")))
+        ids = ids.join(target.withColumnRenamed("id", "root"), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
         turn += 1
+        if turn % 4 == 0:  # the plan of the ids grows by a join a round
+            ids = settle(ids)
+    ids = settle(ids)
     smallest = ids.groupBy("root").agg(F.min("id").alias("label"))
     return ids.join(smallest, "root").select("id", "label")

@@ -21,9 +21,9 @@ from vacanta.session import settle
 STRIPPED = " \t\n\x0b\x0c\r"
 # Code points of the shortest key that counts, and documents it must be found in for its lines to go.
 SHORTEST, DOCUMENTS = 40, 5
-# Runs of a level that are compacted into one, and documents of a batch: six batches at least, so that levels fill between batches.
+# Runs of a level that are compacted into one, and documents of a batch: four batches at least, so that a level fills before the last one.
 FANOUT = 3
-BATCH_ROWS, LEAST_BATCHES, MOST_BATCHES = 4_000_000, 6, 64
+BATCH_ROWS, LEAST_BATCHES, MOST_BATCHES = 4_000_000, 4, 64
 # Rows of one bucket of a run, about.
 BUCKET_ROWS = 1_000_000
 _ASCII = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

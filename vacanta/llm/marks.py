@@ -12,13 +12,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Bits per key, and limits of the map's size as powers of two (8 KB to 8 MB).
-PER_KEY, LEAST, MOST = 16, 16, 26
+# The map's size as a power of two: 2^26 bits are 8 MB. It serves up to some ten million keys well; more only let more rows through.
+BITS = 26
 
 
-def bit_map(keys: DataFrame, hashed: Column, most: int = MOST) -> np.ndarray:
-    """The map of a column of well mixed 64-bit hashes, of 2^`most` bits at most. The driver receives one long per 64 bits at most."""
-    bits = min(most, max(LEAST, int(PER_KEY * keys.count()).bit_length()))
+def bit_map(keys: DataFrame, hashed: Column, bits: int = BITS) -> np.ndarray:
+    """The map of a column of well mixed 64-bit hashes, of 2^`bits` bits. The driver receives one long per 64 bits at most."""
     at = F.shiftrightunsigned("h", 64 - bits)
     words = keys.select(hashed.alias("h")).groupBy(F.shiftrightunsigned(at, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))")).alias("bits")).toArrow()
     table = np.zeros(2 ** (bits - 6), np.int64)

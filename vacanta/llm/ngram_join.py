@@ -229,7 +229,7 @@ def _entries(docs: DataFrame, heads: DataFrame, ngram: int, similar: int) -> Dat
 
 
 def _bitmaps(docs: DataFrame, ids: DataFrame, ngram: int, similar: int) -> DataFrame:
-    """`(id, n, bits)` of the texts with these ids; the bitmap is as wide as the tiles above the text's band need."""
+    """`(id, n, bits)` of the texts with these ids (and a few others); the bitmap is as wide as the tiles above the text's band need."""
     starts = size_bands(similar)
     widths = np.array([width(int(s)) for s in starts])
 
@@ -237,7 +237,7 @@ def _bitmaps(docs: DataFrame, ids: DataFrame, ngram: int, similar: int) -> DataF
         band = np.searchsorted(starts, np.maximum(np.diff(limits), 1), side="right") - 1
         return [names, pa.array(np.diff(limits)), _list(*bitmaps(sets, limits, widths[band + 1]))]
 
-    return settle(_Chosen(docs, ids, ngram).read(make, "id long, n long, bits array<long>").where("n > 0").join(ids, "id", "left_semi"))
+    return settle(_Chosen(docs, ids, ngram).read(make, "id long, n long, bits array<long>").where("n > 0"))
 
 
 def _narrowed(bits: Column, longs: Column) -> Column:
@@ -285,7 +285,7 @@ def _both_ends(pairs: DataFrame, texts: DataFrame, names: list[str]) -> DataFram
 
 def _linked(pairs: DataFrame, docs: DataFrame, ngram: int, similar: int) -> DataFrame:
     """The pairs `(a, b)` that are similar enough: sorted arrays of both texts, intersected."""
-    ids = settle(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,7 +299,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, ngram: int, similar: int) -> Data
             yield batch.select([0, 1]).filter(pa.array(kept))
 
     read = _Chosen(docs, ids, ngram).read(lambda names, sets, limits: [names, _list(sets, limits)], "id long, grams array<long>")
-    sets = settle(read.where(F.size("grams") > 0).join(ids, "id", "left_semi"))
+    sets = settle(read.where(F.size("grams") > 0))
     met = _both_ends(pairs, sets, ["grams"]).select("a", "b", "grams_a", "grams_b")
     return settle(met.mapInArrow(meet, "a long, b long").distinct())
 
@@ -329,7 +329,7 @@ def ngram_join(docs: DataFrame, ngram: int = NGRAM, similar: int = SIMILAR) -> D
     hot = settle(_hot(placed, ["gram", "tile"], tiles))
     members = settle(_spread_join(placed, tiles, ["gram", "tile"], hot))
     star = settle(members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
-    sized = _bitmaps(named, star.select(F.col("a").alias("id")).union(star.select("b")).distinct(), ngram, similar)
+    sized = _bitmaps(named, star.select(F.col("a").alias("id")).union(star.select("b")), ngram, similar)
     longs = F.least(F.size("bits_a"), F.size("bits_b"))
     possible = _both_ends(star, sized, ["n", "bits"]).where(may_link(F.col("n_a"), _narrowed(F.col("bits_a"), longs), F.col("n_b"), _narrowed(F.col("bits_b"), longs), similar))
     labels = components(_linked(settle(possible.select("a", "b").distinct()), named, ngram, similar))
