@@ -41,13 +41,39 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
-def settle(df: DataFrame, compression: str | None = None) -> DataFrame:
+# Tables settled since the current step of a job began; None outside such jobs.
+_step: list[str] | None = None
+
+
+def begin_step(spark: SparkSession) -> None:
+    """Starts a step of a job: tables settled by the step before are removed.
+
+    For jobs whose steps read what the step before has written elsewhere, in full. Elsewhere settled tables stay.
+    """
+    global _step
+    jvm = spark._jvm
+    for table in _step or []:
+        path = jvm.org.apache.hadoop.fs.Path(table)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _step = []
+
+
+def end_steps(spark: SparkSession) -> None:
+    """The last step is over: what it settles from now on, and has settled, stays."""
+    global _step
+    _step = None
+
+
+def settle(df: DataFrame, compression: str | None = None, keep: bool = False) -> DataFrame:
     """Compute once into a table of the shared checkpoint folder and read it back.
 
     The lineage ends there, so a lost executor never costs the whole plan, several readers never repeat
-    the work, and the size of the table is known to the planner.
+    the work, and the size of the table is known to the planner. In a step of a job (`begin_step`) the table goes
+    when the next step begins, unless it is to `keep`.
     """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/vacanta-{uuid.uuid4().hex}"
+    if _step is not None and not keep:
+        _step.append(path)
     (df.write.option("compression", compression) if compression else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
