@@ -9,15 +9,31 @@ stay as they are, whatever their names. A null text is an empty one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vacanta.llm import minhash, mixing, queries, tiling, token_shards, toxicity
-from vacanta.session import settle
+from vacanta.session import begin_step, end_steps, settle
 
 # A document's key beside its own columns.
 ROW = "corpus_pipeline_key"
 
 
+def stage(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage takes away what the stage before had written for itself: its result is a table by now."""
+
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        begin_step(spark)
+        try:
+            return function(spark, docs, sf_dir)
+        finally:
+            if function is token_output:
+                end_steps(spark)
+
+    return begun
+
+
 def with_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn(ROW, F.xxhash64("doc_id", "text"))
 
@@ -64,11 +80,11 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("MinHash near-dedup", drop_near_duplicates),
-    ("benchmark decontamination", drop_contaminated),
-    ("mixing sources", mix_sources),
-    ("token-ID output", token_output),
+    ("toxicity", stage(drop_toxic)),
+    ("MinHash near-dedup", stage(drop_near_duplicates)),
+    ("benchmark decontamination", stage(drop_contaminated)),
+    ("mixing sources", stage(mix_sources)),
+    ("token-ID output", stage(token_output)),
 ]
 # No SQL: compression distances, MinHash and tokenizers have no form in it. See tests/llm/test_pipeline.py.
 ORACLE_SQL = None
@@ -76,6 +92,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = queries.table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir))
+    for _, step in STAGES[:-1]:
+        docs = settle(step(spark, docs, sf_dir), keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
