@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from vacanta.columns import half_up, once
 from vacanta.functions import skills as K
 from vacanta.functions.text import skill_key
+from vacanta.operators.phrases import runs_in
 from vacanta.rules import skills as R
 from vacanta.session import broadcast_if_small, settle
 
@@ -75,15 +76,14 @@ def longest_phrase(forms: DataFrame, form: str = "form") -> int:
 def citing(texts: DataFrame, forms: DataFrame, id: str, text: str = "text", keyed: bool = False, max_words: int | None = None, max_rows: int = PHRASE_ROWS, salts: int = 16, distinct: bool = True) -> DataFrame:
     """(id, key) once for every skill a text holds as whole words; with `distinct` off, once per spelling found.
 
-    Texts become their distinct phrases, matched by equality. A vocabulary of proven size is sent to the
-    executors and the phrases never move; beyond that size both sides are shuffled, the vocabulary
-    repeated over `salts` copies because common phrases are hot keys. (A join on the first word alone, with
-    the rest compared after it, was slower: common first words open many phrases.)
+    Runs of words are tested by their hashes first (`runs_in`); what is left is matched by equality of strings. A
+    vocabulary of proven size is sent to the executors and the phrases never move; beyond that size both sides are
+    shuffled, the vocabulary repeated over `salts` copies because common phrases are hot keys.
     """
     longest = max_words or longest_phrase(forms)
     words = F.col(text) if keyed else skill_key(F.col(text))
     ids = [id] if isinstance(id, str) else list(id)
-    grams = texts.select(*ids, F.explode_outer(K.phrases(words, longest)).alias("form"))
+    grams = runs_in(texts.select(*ids, words.alias("_words")), ids, "_words", forms, longest)
     side, small = broadcast_if_small(forms.select("form", "key"), max_rows)
     if small:
         found = grams.join(side, "form")

@@ -11,6 +11,8 @@ from vacanta.functions.text import dedup_key, rule_text
 from vacanta.operators import dedup as D
 from vacanta.operators import feed as FD
 from vacanta.operators import market as M
+from vacanta.operators.filters import DAY, seconds_between
+from vacanta.rules import signals as R
 from vacanta.session import settle
 from vacanta.sources import boards as B
 from vacanta.sources.feeds import union_feeds
@@ -62,6 +64,29 @@ def collect(feeds: list[DataFrame], state: DataFrame, countries: list[str], now:
     return purge_texts(archive_unlisted(merged, whole.distinct(), batch.select("dedup_key"), now), now)
 
 
+def archive_engine_offers(offers: DataFrame, followed: DataFrame, now: Column, days: int = R.ENGINE_SILENCE_DAYS) -> DataFrame:
+    """Active offers known from engines alone: archived if they copy an employer's own page (same title, same whole text,
+    followed ones kept: `followed` holds dedup_key) or were not seen for `days`."""
+    marked = offers.withColumn("engine_only", F.forall("sources", lambda s: s.isin(R.ENGINES)) & (F.size("sources") > 0))
+    active = marked.filter("archived_at IS NULL")
+    copies = D.merge_engine_copies(active, followed, id="dedup_key").withColumn("_copy", F.lit(True))
+    silent = F.col("engine_only") & F.coalesce(seconds_between(now, F.col("last_seen_at")) > days * DAY, F.lit(False))
+    joined = marked.join(copies, "dedup_key", "left")
+    gone = F.col("archived_at").isNull() & (silent | F.col("_copy").isNotNull())
+    return joined.withColumn("archived_at", F.when(gone, now).otherwise(F.col("archived_at"))).select(*offers.columns)
+
+
+def collection_pass(feeds: list[DataFrame], state: DataFrame, companies: DataFrame, followed: DataFrame, countries: list[str], now: Column, boards: DataFrame | None = None) -> dict[str, DataFrame]:
+    """One whole collection: `offers`, the next version of the table, and `companies`, those to insert (name_key, name).
+
+    Feeds are read, merged and archived by absence (`collect`), offers of engines by copy and by silence; companies
+    of offers that are not known yet are inserted once each.
+    """
+    offers = settle(archive_engine_offers(collect(feeds, state, countries, now, boards), followed, now))
+    missing, _ = D.ensure_companies(offers.filter("company IS NOT NULL").select("company"), companies)
+    return {"offers": offers, "companies": missing}
+
+
 def discover(index: DataFrame, companies: DataFrame) -> DataFrame:
     """Boards of the crawl index and guessed from names, known ones removed."""
     return FD.new_candidates(B.union_candidates(B.crawl_candidates(index), B.name_candidates(companies.filter("ats IS NULL"))), companies)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vacanta.plans import collection as C
+from vacanta.session import settle
 from vacanta.sources import feeds as S
 from vacanta.workloads.binding import table
 from vacanta.workloads.registry import query
@@ -34,7 +36,8 @@ def _of(kind: Column, values: list) -> Column:
     return F.get(F.array(*[F.lit(v).cast("string") for v in values]), kind)
 
 
-def documents(spark, sf) -> DataFrame:
+def documents(spark, sf, families: list[str]) -> DataFrame:
+    """Documents as job offers, dealt over the families in turn."""
     d = table(spark, sf, "documents").filter("doc_id IS NOT NULL")
     city = F.lit(None).cast("string")
     for lang, name in CITIES.items():
@@ -42,7 +45,7 @@ def documents(spark, sf) -> DataFrame:
     n = F.col("doc_id")
     said = F.concat(F.lit("Il faut "), (F.floor(n / 42) % 5 + 1).cast("string"), F.lit(" ans d'expérience."))
     return d.select(
-        n.alias("n"), (n % 14).cast("int").alias("family"), (F.floor(n / 14) % 3).cast("int").alias("kind"), F.floor(n / PAGE).alias("page"), F.coalesce("source", F.lit("none")).alias("token"),
+        n.alias("n"), _of((n % len(families)).cast("int"), families).alias("family"), (F.floor(n / 14) % 3).cast("int").alias("kind"), F.floor(n / PAGE).alias("page"), F.coalesce("source", F.lit("none")).alias("token"),
         F.coalesce(city, F.lit("Lyon")).alias("city"), said.alias("said"), F.concat(F.lit("Poste "), n.cast("string")).alias("title"), F.concat(F.lit("https://example.org/"), n.cast("string")).alias("url"),
         F.date_format(F.timestamp_add("DAY", (n % 28).cast("int"), F.lit("2026-01-01 08:00:00").cast("timestamp")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"),
     )
@@ -50,7 +53,7 @@ def documents(spark, sf) -> DataFrame:
 
 def jobs(d: DataFrame, family: str) -> tuple[DataFrame, DataFrame]:
     """(list entry, detail) of every document of a family, as JSON or XML text."""
-    rows = d.filter(F.col("family") == FAMILIES.index(family))
+    rows = d.filter(F.col("family") == family)
     c, s, kind = F.col, F.struct, F.col("kind")
     deal = _of(kind, CONTRACTS.get(family, [None] * 3))
     html = F.concat(F.lit("<p>"), c("said"), F.lit("</p>"))
@@ -112,11 +115,12 @@ def landing(d: DataFrame, family: str) -> tuple[DataFrame, DataFrame]:
     return paged.select("token", F.lit("Maison").alias("board_name"), none.alias("domain"), "payload", F.col("page").cast("int").alias("page"), none.alias("searched")), details
 
 
-def feeds(spark, sf) -> list[DataFrame]:
-    """All families read back."""
-    d = documents(spark, sf)
+def feeds(spark, sf, only: str = "true", families: list[str] | None = None) -> list[DataFrame]:
+    """The families read back, all of them unless some are named; `only` picks documents by n."""
+    families = families or FAMILIES
+    d = documents(spark, sf, families).filter(only)
     out = []
-    for family in FAMILIES:
+    for family in families:
         payloads, details = landing(d, family)
         out.append(S.read_feed(payloads, family, **({"details": details} if family in DETAILED else {})))
     return out
@@ -142,3 +146,46 @@ def feed_readers(spark, sf):
         "title", "source_key", "contract", "remote", F.col("experience_min_years").alias("years"), F.get("places", F.lit(0))["city"].alias("city"), F.date_format("published_at", "yyyy-MM-dd").alias("published"),
         F.element_at(lines, -1).alias("said"), F.when(F.size(lines) > 1, F.get(lines, F.lit(0))).otherwise("").alias("heading"),
     )
+
+
+COLLECTED = "2026-03-01 12:00:00"
+# Two boards and two engines for the collection.
+COLLECTED_FAMILIES = ["greenhouse", "lever", "adzuna", "jooble"]
+
+
+def collection_tables(spark, sf):
+    """Two thirds of the documents as known offers, two thirds as what feeds show now; some engine offers with a page of their own."""
+    now = F.lit(COLLECTED).cast("timestamp")
+    read = settle(C.normalise(S.union_feeds(*feeds(spark, sf, "n % 3 < 2", COLLECTED_FAMILIES)))).withColumn("n", F.regexp_extract("title", "[0-9]+", 0).cast("bigint"))
+    engine = F.col("ats").isNull()
+    paged = engine & (F.col("n") % 3 == 1) & (F.col("n") % 5 == 0)
+    long = F.concat("text", F.repeat(F.lit(" Un quai, une grue, des caisses."), 50))
+    none = F.lit(None).cast("timestamp")
+    known = read.select(
+        "dedup_key", "title", F.when(paged, long).otherwise(F.col("text")).alias("text"), F.array(F.struct(F.col("source_key").alias("source"), F.col("source_url").alias("url"))).alias("urls"), F.array("source_key").alias("sources"), "apply_url", "published_at",
+        F.lit("2026-01-01").cast("timestamp").alias("first_seen_at"), F.timestamp_add("DAY", (-(F.col("n") % 40)).cast("int"), now).alias("last_seen_at"), none.alias("archived_at"), F.lit(0).alias("repost_count"), none.alias("reposted_at"), "company", paged.alias("paged"), "n",
+    )
+    own = known.filter("paged").withColumns({"dedup_key": F.concat(F.lit("own-"), "title"), "sources": F.array(F.lit("lever:elsewhere")), "urls": F.array(F.struct(F.lit("lever:elsewhere").alias("source"), F.col("apply_url").alias("url"))), "company": F.concat(F.lit("Atelier "), F.char(F.col("n") % 7 + 97))})
+    followed = known.filter("n % 10 = 0").select("dedup_key")
+    return feeds(spark, sf, "n % 3 > 0", COLLECTED_FAMILIES), settle(known.unionByName(own).drop("paged", "n")), followed, now
+
+
+_COLLECTED = """d AS (SELECT doc_id AS n, doc_id % 4 AS f, coalesce(source, 'none') AS source, doc_id % 3 AS part FROM documents WHERE doc_id IS NOT NULL),
+    boards AS (SELECT DISTINCT f, source FROM d WHERE part > 0 AND f < 2)"""
+
+
+@query("collection_pass", f"""WITH {_COLLECTED}
+    SELECT 'Poste ' || d.n AS title, false AS own, CASE WHEN part = 2 THEN false WHEN f < 2 THEN part = 0 AND b.f IS NOT NULL WHEN part = 0 THEN d.n % 40 > 21 ELSE d.n % 5 = 0 AND d.n % 10 <> 0 END AS archived, part = 2 AS new
+    FROM d LEFT JOIN boards b USING (f, source) UNION ALL SELECT 'Poste ' || n, true, false, false FROM d WHERE f >= 2 AND part = 1 AND n % 5 = 0""")
+def collection_pass(spark, sf):
+    """A whole collection: new offers, those seen again, those gone from their boards, engine copies and silent engine offers."""
+    shown, state, followed, now = collection_tables(spark, sf)
+    out = C.collection_pass(shown, state, spark.createDataFrame([("maison",)], "name_key string"), followed, ["FR"], now)["offers"]
+    return out.select("title", F.array_contains("sources", "lever:elsewhere").alias("own"), F.col("archived_at").isNotNull().alias("archived"), (F.col("first_seen_at") == now).alias("new"))
+
+
+@query("collection_companies", f"WITH {_COLLECTED} SELECT DISTINCT 'Atelier ' || chr(CAST(97 + n % 7 AS INTEGER)) AS name FROM d WHERE f >= 2 AND part = 1 AND n % 5 = 0 UNION SELECT 'Entreprise non communiquée' FROM d WHERE f = 3")
+def collection_companies(spark, sf):
+    """Companies that the offers of a collection name and nobody knew."""
+    shown, state, followed, now = collection_tables(spark, sf)
+    return C.collection_pass(shown, state, spark.createDataFrame([("maison",)], "name_key string"), followed, ["FR"], now)["companies"].select("name")
