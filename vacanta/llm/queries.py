@@ -34,7 +34,25 @@ def tokenizer(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-@query("op6_near_duplicates")
+# Documents linked by the Jaccard similarity of their sets of five words in a row, and the smallest doc_id each one reaches.
+_JOINED = r"""
+    WITH RECURSIVE lists AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    words AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM lists),
+    runs AS (SELECT doc_id, i, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) AS s, lead(w, 4) OVER o IS NOT NULL AS whole FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    s AS (SELECT DISTINCT doc_id, md5(s) AS s FROM runs WHERE whole OR i = 1),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= {similar} * (na.n + nb.n - common)),
+    reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, b FROM reached r JOIN links ON a = r.other)
+    SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id{more} FROM reached LEFT JOIN n USING (doc_id) GROUP BY doc_id
+    """
+
+
+def joined_sql(similar: int, more: str = "") -> str:
+    return _JOINED.replace("{similar}", str(similar)).replace("{more}", more)
+
+
+@query("op6_near_duplicates", joined_sql(75, ", min(other) = doc_id AS kept"))
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     from vacanta.llm.minhash import near_duplicates
 
@@ -194,17 +212,7 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "op13_ngram_join",
-    r"""
-    WITH RECURSIVE lists AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-    words AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM lists),
-    runs AS (SELECT doc_id, i, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) AS s, lead(w, 4) OVER o IS NOT NULL AS whole FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-    s AS (SELECT DISTINCT doc_id, md5(s) AS s FROM runs WHERE whole OR i = 1),
-    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-    shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
-    links AS (SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 80 * (na.n + nb.n - common)),
-    reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, b FROM reached r JOIN links ON a = r.other)
-    SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id FROM reached LEFT JOIN n USING (doc_id) GROUP BY doc_id
-    """,
+    joined_sql(80),
 )
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     from vacanta.llm.ngram_join import ngram_join
