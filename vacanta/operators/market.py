@@ -224,9 +224,10 @@ def progress_weeks(apps: DataFrame, now: str, weeks: int = 8) -> DataFrame:
     return spine.join(counted, "week", "left").fillna(0, ["n"])
 
 
-def check_stats(checks: DataFrame) -> DataFrame:
-    """Agreement of spot checks, overall (null level) and per level."""
-    return checks.rollup("level").agg(F.count("*").alias("n"), F.count_if("right_call").alias("right"))
+def check_stats(checks: DataFrame, now: Column | None = None, days: int = 90) -> DataFrame:
+    """Agreement of spot checks, overall (null level) and per level; with `now`, of those of the last `days` (`checked_at`)."""
+    recent = checks if now is None else checks.filter(seconds_between(now, F.col("checked_at")) <= days * DAY)
+    return recent.rollup("level").agg(F.count("*").alias("n"), F.count_if("right_call").alias("right"))
 
 
 def choices(actions: DataFrame, applications: DataFrame) -> DataFrame:
@@ -244,6 +245,32 @@ def search_scope(profiles: DataFrame, k: int = 8) -> DataFrame:
     return counted.orderBy(F.desc("n"), "what", "place").limit(k)
 
 
+def company_searches(favorites: DataFrame, companies: DataFrame, kept: int | None = None) -> DataFrame:
+    """Favourite companies without a board that can be read: searched by name, once each.
+
+    `favorites` holds company_id, `companies` company_id, name and ats.
+    """
+    unread = companies.filter(F.col("ats").isNull()).join(favorites.select("company_id").distinct(), "company_id", "left_semi")
+    names = unread.select(F.col("name").alias("company")).distinct().orderBy("company")
+    return names if kept is None else names.limit(kept)
+
+
+def dashboard(offers: DataFrame, companies: DataFrame, profiles: DataFrame, applications: DataFrame, favorites: DataFrame) -> DataFrame:
+    """Counters of the admin page in one row: a pass per table.
+
+    `offers` holds archived_at, `companies` ats, `profiles` onboarded_at, `applications` status, `favorites` user_id.
+    """
+    n = lambda df, name, *when: df.agg((F.count_if(when[0]) if when else F.count("*")).alias(name))
+    parts = [
+        n(offers, "active_offers", F.col("archived_at").isNull()), n(companies, "directory", F.col("ats").isNotNull()), n(profiles, "onboarded", F.col("onboarded_at").isNotNull()),
+        applications.agg(F.count("*").alias("applications"), F.count_if(F.col("status") == "added").alias("added")), n(favorites, "favorites"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(F.broadcast(part), F.lit(True))
+    return out
+
+
 def companies_view(feed: DataFrame, favorites: DataFrame, others: int = 40, company: str = "company_id") -> DataFrame:
     """Employers of a selection: favourites first, then the 40 with most offers."""
     counted = feed.groupBy(company).agg(F.count("*").alias("total"), F.count_if(F.col("level") == "coeur").alias("coeur"))

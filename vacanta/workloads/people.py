@@ -210,19 +210,35 @@ def three_plus_share(spark, sf):
     return M.three_plus_share(b, ["market"])
 
 
-@query("check_rollup", "SELECT CASE WHEN quality = 1 THEN 'coeur' ELSE 'solide' END AS level, count(*) AS n, count(*) FILTER (WHERE toxic = 0) AS right FROM labels GROUP BY 1 UNION ALL SELECT NULL, count(*), count(*) FILTER (WHERE toxic = 0) FROM labels".replace("AS right", 'AS "right"'))
+_CHECKS = "c AS (SELECT CASE WHEN quality = 1 THEN 'coeur' ELSE 'solide' END AS level, toxic, TIMESTAMP '2024-06-30' - to_days(CAST(doc_id % 180 AS INTEGER)) AS checked_at FROM labels), r AS (SELECT * FROM c WHERE checked_at >= TIMESTAMP '2024-06-30' - INTERVAL 90 DAY)"
+
+
+@query("check_rollup", f"WITH {_CHECKS} SELECT level, count(*) AS n, count(*) FILTER (WHERE toxic = 0) AS \"right\" FROM r GROUP BY 1 UNION ALL SELECT NULL, count(*), count(*) FILTER (WHERE toxic = 0) FROM r")
 def check_rollup(spark, sf):
-    c = table(spark, sf, "labels").select(F.when(F.col("quality") == 1, "coeur").otherwise("solide").alias("level"), (F.col("toxic") == 0).alias("right_call"))
-    return M.check_stats(c)
+    """Spot checks of the last ninety days."""
+    now = ntz("2024-06-30")
+    at = F.timestamp_add("DAY", (-(F.col("doc_id") % 180)).cast("int"), now)
+    c = table(spark, sf, "labels").select(F.when(F.col("quality") == 1, "coeur").otherwise("solide").alias("level"), (F.col("toxic") == 0).alias("right_call"), at.alias("checked_at"))
+    return M.check_stats(c, now)
 
 
 @query("dashboard", f"""SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS active_offers, (SELECT count(*) FROM supplier WHERE s_acctbal > 0) AS directory,
-    (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS onboarded, count(*) AS applications, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS added FROM orders""")
+    (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS onboarded, count(*) AS applications, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS added, (SELECT count(*) FROM events WHERE event_type = 'signup') AS favorites FROM orders""")
 def dashboard(spark, sf):
-    """Counters of the admin page: one pass per table, single rows brought together as scalars."""
-    one = lambda name, cond: table(spark, sf, name).agg(F.count_if(F.expr(cond)).alias("n")).scalar()
-    o = table(spark, sf, "orders").agg(F.count_if(F.col("o_orderstatus") == "O").alias("active_offers"), F.count("*").alias("applications"), F.count_if(F.col("o_orderpriority") == "5-LOW").alias("added"))
-    return o.withColumns({"directory": one("supplier", "s_acctbal > 0"), "onboarded": one("customer", "c_acctbal > 0")})
+    """Counters of the admin page: orders as offers and applications, suppliers as the directory, sign-ups as favourites."""
+    o = table(spark, sf, "orders")
+    when = lambda c: F.when(c, F.lit("2024-01-01"))
+    return M.dashboard(
+        o.select(when(F.col("o_orderstatus") != "O").alias("archived_at")), table(spark, sf, "supplier").select(when(F.col("s_acctbal") > 0).alias("ats")), table(spark, sf, "customer").select(when(F.col("c_acctbal") > 0).alias("onboarded_at")),
+        o.select(F.when(F.col("o_orderpriority") == "5-LOW", "added").alias("status")), table(spark, sf, "events").filter("event_type = 'signup'").select("user_id"),
+    )
+
+
+@query("company_searches", "SELECT DISTINCT s_name AS company FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE s_acctbal <= 0 AND l_returnflag = 'R'")
+def company_searches(spark, sf):
+    """Favourites (suppliers of returned lines) without a board, searched by name."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("company_id"), F.col("s_name").alias("name"), F.when(F.col("s_acctbal") > 0, "site").alias("ats"))
+    return M.company_searches(table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("company_id")), s)
 
 
 @query("directory_origins", "SELECT CASE WHEN s_acctbal < 0 THEN 'crawl' WHEN s_acctbal < 5000 THEN 'name' ELSE 'user' END AS origin, count(*) AS n FROM supplier GROUP BY 1")
