@@ -61,36 +61,43 @@ def _segments(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def expected_counts(ids: np.ndarray, first: np.ndarray, model: dict) -> dict[str, np.ndarray]:
     """Expected emissions (class by state), transitions, first states and the log likelihood of the segments."""
     move, emit, states = model["move"], model["emit"], len(model["first"])
+    kinds = len(emit)
     total = {"emit": np.zeros_like(emit), "move": np.zeros((states, states)), "first": np.zeros(states), "likelihood": 0.0}
+    # Places behind a segment's end are of a kind of their own, which every state emits.
+    known = np.vstack([emit, np.ones(states)])
     starts, lengths, opens = _segments(ids, first)
     for at in range(0, len(starts), _CHUNK_SEGMENTS):
         s, n, o = starts[at : at + _CHUNK_SEGMENTS], lengths[at : at + _CHUNK_SEGMENTS], opens[at : at + _CHUNK_SEGMENTS]
         width = int(n.max())
         inside = np.arange(width)[:, None] < n
-        classes = ids[np.minimum(s + np.arange(width)[:, None], len(ids) - 1)].astype(np.int64)
-        seen = emit[classes]
-        seen[~inside] = 1.0
+        classes = np.where(inside, ids[np.minimum(s + np.arange(width)[:, None], len(ids) - 1)], kinds).astype(np.int64)
+        seen = known[classes]
         ahead = np.empty((width, len(s), states))
-        scale = np.empty((width, len(s)))
+        # Both recursions are scaled at the same steps: every eighth and the last.
+        scale: dict[int, np.ndarray] = {}
         alpha = np.where(o[:, None], model["first"], model["usual"]) * seen[0]
         for t in range(width):
             if t:
-                alpha = (alpha @ move) * seen[t]
-            scale[t] = alpha.sum(axis=1)
-            alpha = alpha / scale[t][:, None]
-            ahead[t] = alpha
-        total["likelihood"] += float(np.log(scale)[inside].sum())
+                alpha = np.multiply(alpha @ move, seen[t], out=ahead[t])
+            else:
+                ahead[0] = alpha
+                alpha = ahead[0]
+            if t % 8 == 7 or t == width - 1:
+                scale[t] = alpha.sum(axis=1)
+                alpha /= scale[t][:, None]
+        total["likelihood"] += float(sum(np.log(c).sum() for c in scale.values()))
         beta = np.ones((len(s), states))
         for t in range(width - 1, -1, -1):
             if t < width - 1:
-                back = seen[t + 1] * beta / scale[t + 1][:, None]
-                total["move"] += move * (ahead[t].T @ (back * inside[t + 1][:, None]))
+                back = seen[t + 1] * beta
+                if t + 1 in scale:
+                    back /= scale[t + 1][:, None]
+                total["move"] += move * (ahead[t][inside[t + 1]].T @ back[inside[t + 1]] if not inside[t + 1].all() else ahead[t].T @ back)
                 beta = back @ move.T
             ahead[t] *= beta
         total["first"] += ahead[0][o].sum(axis=0)
-        kept, where = classes[inside], ahead[inside]
-        for j in range(states):
-            total["emit"][:, j] += np.bincount(kept, where[:, j], len(emit))
+        cells = classes.reshape(-1, 1) * states + np.arange(states)
+        total["emit"] += np.bincount(cells.ravel(), ahead.ravel(), (kinds + 1) * states)[: kinds * states].reshape(kinds, states)
     return total
 
 
