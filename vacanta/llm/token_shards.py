@@ -4,7 +4,7 @@
    shared folder with the position of each sequence in its input partition.
 2. Sequence number = sequences of the partitions before + position. A keyed Feistel network over the next
    even power of two, walked until it falls below the number of sequences, gives the slot: a bijection.
-3. Shard s holds the slots `s * per_shard` on. Its task receives them by range, sorts by slot and writes records of one
+3. Shard s holds the slots `s * per_shard` on. One task receives exactly these, sorts by slot and writes records of one
    stride, so slot k is at byte `(k % per_shard) * stride`: a reader resumes anywhere with one seek. Shards
    are moved in `waves`, so a fraction of the tokens is in shuffle files at any time.
 
@@ -99,7 +99,8 @@ def write_shards(docs: DataFrame, path: str, length: int = 256, end: int | None
 
     A null text counts as empty and gives one sequence, the end token alone. A null doc_id is stored as the
     smallest long. Repeated rows are sequences of their own; other columns are ignored; an empty table writes
-    no shard. A task that is repeated writes a new file, and the manifest names the files of finished tasks.
+    no shard. A task that is repeated writes a new file, and the manifest names the files of finished tasks. Sequences are
+    numbered in the order of the input's partitions, so the training order belongs to the key and to the layout of the table.
     """
     spark = docs.sparkSession
     size = Library(path).size
@@ -153,7 +154,8 @@ def write_shards(docs: DataFrame, path: str, length: int = 256, end: int | None
         low, high = shards * wave // waves, shards * (wave + 1) // waves
         shard = F.floor(F.col("slot") / per_shard).cast("long")
         moved = numbered.where(F.col("slot").between(low * per_shard, high * per_shard - 1)).select("slot", "doc_id", "part", "n", "ids", shard.alias("shard"))
-        ranged = moved.repartition(high - low, "shard").sortWithinPartitions("slot").drop("shard")
+        # The shard's own number is its task: no two meet in one, none stays empty.
+        ranged = moved.repartitionById(high - low, (F.col("shard") - low).cast("int")).sortWithinPartitions("slot").drop("shard")
         done = settle(ranged.mapInArrow(write, "shard long, file string, records long"))
         manifest = done if manifest is None else manifest.union(done)
         del moved, ranged
