@@ -6,7 +6,7 @@ or count exactly afterwards. The map only keeps rows that cannot matter away fro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +31,11 @@ def marked(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return ((table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
-def rows_of(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows whose `key` is in `ids(id)`, and a few others, without a shuffle of the rows."""
+def rows_of(rows: DataFrame, ids: DataFrame, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, key: str = "doc_id") -> DataFrame:
+    """What `then` gives for the rows whose `key` is in `ids(id)`, and for a few others, without a shuffle of the rows."""
     shared = rows.sparkSession.sparkContext.broadcast(bit_map(ids, F.xxhash64("id")))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(marked(shared.value, batch.column(0).to_numpy()))).select(list(range(1, batch.num_columns)))
+        yield from then(batch.filter(pa.array(marked(shared.value, batch.column(0).to_numpy()))).select(list(range(1, batch.num_columns))) for batch in batches)
 
-    return rows.select(F.xxhash64(key).alias("_hash"), *rows.columns).mapInArrow(keep, rows.schema)
+    return rows.select(F.xxhash64(key).alias("_hash"), *rows.columns).mapInArrow(keep, schema)

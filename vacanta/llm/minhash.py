@@ -166,7 +166,7 @@ def least_estimate(minima: int, bits: int) -> float:
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs `(a, b)` whose full sets reach the threshold. Texts are read again for the ids in question, and no text is shuffled."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    sets = settle(rows_of(docs, ids).mapInArrow(_sets, "id long, shingles array<long>").where(F.size("shingles") > 0))
+    sets = settle(rows_of(docs, ids, _sets, "id long, shingles array<long>").where(F.size("shingles") > 0))
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = members.join(labels, "id", "left").select("id", "band", "k", F.coalesce("label", "id").alias("label"))
     mixed = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
     open_members = settle(placed.join(mixed.select("band", "size"), "band"))
-    fine = settle(rows_of(docs, open_members.select("id")).mapInArrow(_fine, "id long, n long, fine array<long>").where("n > 0").distinct())
+    fine = settle(rows_of(docs, open_members.select("id"), _fine, "id long, n long, fine array<long>").where("n > 0").distinct())
     # Sets of too different a size cannot be similar enough.
     alike = (100 * F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb")) & (small | (estimated(F.col("pa"), F.col("pb"), FINE_MINIMA, FINE_BITS) >= least_estimate(FINE_MINIMA, FINE_BITS)))
     # A pair is taken in the first band it shares, once.
