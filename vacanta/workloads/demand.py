@@ -231,7 +231,8 @@ kept AS (SELECT * FROM counted JOIN vocab USING (key) JOIN kinds USING (key), (S
 
 def _demand(spark, sf):
     o = with_skills(offers(spark, sf))
-    base = D.dedup_texts(X.active_at(o, ntz(NOW)))
+    # Read twice below, for the phrases and for the number of texts.
+    base = settle(D.dedup_texts(X.active_at(offers(spark, sf), ntz(NOW))).select("offer_id", "text"))
     return base, SK.skill_demand(base, SK.skill_groups(vocabulary(o)))
 
 
