@@ -20,7 +20,8 @@ def _required(name: str) -> str:
     ])
 
 
-ANY_NAME = r"\b(?:" + "|".join(n for _, n in R.NAMES) + r")\b"
+_NAMES = "|".join(n for _, n in R.NAMES)
+ANY_NAME = rf"\b(?:{_NAMES})\b"
 
 
 def _present(values: list[Column]) -> Column:
@@ -42,6 +43,8 @@ def required_languages(texts: DataFrame, key: str, text: str = "text") -> DataFr
     Only sentences that name a listed language and wish for nothing leave the row, so little is regrouped.
     """
     sentences = texts.select(key, F.posexplode(F.split(F.col(text), R.SENTENCE_END, -1)).alias("at", "raw"))
+    # Plain letters fold to their lower case: most sentences are told apart before they are folded.
+    sentences = sentences.filter((F.octet_length("raw") != F.length("raw")) | F.lower("raw").rlike(f"(?<![a-z0-9_])(?:{_NAMES})"))
     spoken = (
         sentences.withColumn("sentence", strip(F.col("raw")))
         .filter(F.col("sentence") != "")
