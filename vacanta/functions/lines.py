@@ -55,11 +55,12 @@ def split_requirements(text: Column, bonus: str = R.BONUS, section_words: str =
         )
     )
 
-    def part(wished: bool) -> Column:
-        kept = F.filter(flagged, lambda x: x["bonus"] == F.lit(wished))
+    def part(rows: Column, wished: bool) -> Column:
+        kept = F.filter(rows, lambda x: x["bonus"] == F.lit(wished))
         return F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
 
-    return F.struct(part(False).alias("required"), part(True).alias("bonus"))
+    # Lines are judged once for both parts.
+    return let(flagged, lambda rows: F.struct(part(rows, False).alias("required"), part(rows, True).alias("bonus")))
 
 
 def text_blocks(text: Column, bullet: str = "•", heading_length: int = 70) -> Column:

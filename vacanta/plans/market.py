@@ -13,10 +13,10 @@ from vacanta.operators import market as M
 from vacanta.operators.dedup import copies, dedup_texts, text_print
 from vacanta.operators.filters import active_at, is_excerpt
 from vacanta.operators.relevance import role_phrases, title_counts, title_matrix
-from vacanta.operators.skills import market_insights, skill_demand, skill_groups, text_skills, top_by_kind, weighed
+from vacanta.operators.skills import cited_counts, market_insights, skill_demand, skill_groups, top_by_kind, weighed
 from vacanta.rules import relevance as RR
 from vacanta.rules import skills as KR
-from vacanta.session import settle
+from vacanta.session import broadcast_if_small, settle
 
 METHOD = 2
 TEXT_MIN = 300
@@ -73,7 +73,8 @@ def market_counts(base: DataFrame, at: Column) -> dict[str, DataFrame]:
 def market_skills(base: DataFrame, vocabulary: DataFrame, k: int | None = 12, guard: bool = True, parts=split_requirements) -> DataFrame:
     """Skills asked per profile, wishes apart, the k first of each kind."""
     long = base.filter(F.length("text") > TEXT_MIN)
-    read = once(long.select("profile_id", "offer_id", "text"), p=parts(F.col("text"))).select("profile_id", "offer_id", "text", F.col("p.required").alias("required"), F.col("p.bonus").alias("bonus"))
+    # No generated row here: readers of the ids alone leave the parts out.
+    read = long.select("profile_id", "offer_id", "text", parts(F.col("text")).alias("p")).select("profile_id", "offer_id", "text", F.col("p.required").alias("required"), F.col("p.bonus").alias("bonus"))
     asked = skill_demand(read, skill_groups(vocabulary), required="required", bonus="bonus", market="profile_id", guard=guard)
     return top_by_kind(asked, k, ["profile_id"]) if k else asked
 
@@ -153,11 +154,16 @@ def rebuild_history(offers: DataFrame, profiles: DataFrame, vocabulary: DataFram
     )))
     events = settle(each.select(*by, F.explode(steps).alias("e")).select(*by, "e.*").filter("offer_id IS NOT NULL AND step <> 0"))
     long = online.filter(F.length("text") > TEXT_MIN).join(events.select("offer_id").distinct(), "offer_id", "left_semi")
-    read = once(long.select("offer_id", "text"), p=parts(F.col("text"))).select("offer_id", "text", F.col("p.required").alias("required"), F.col("p.bonus").alias("bonus"))
     groups = settle(skill_groups(vocabulary))
-    cited = text_skills(read, groups, ["offer_id"], required="required", bonus="bonus")
+    # Texts that come and go alike are counted together: the ways to do so are few.
+    ways = settle(events.groupBy("offer_id").agg(F.array_sort(F.collect_list(F.struct(*by, "k", "step"))).alias("stays")))
+    way = settle(ways.select("stays").distinct().withColumn("way", F.monotonically_increasing_id()))
+    there = ways.join(broadcast_if_small(way)[0], "stays").select("offer_id", "way")
+    read = long.select("offer_id", "text").join(there, "offer_id").select("offer_id", "way", "text", parts(F.col("text")).alias("p")).select("offer_id", "way", "text", F.col("p.required").alias("required"), F.col("p.bonus").alias("bonus"))
+    cited = cited_counts(read, groups, ["way"], "offer_id", required="required", bonus="bonus", known=online.join(there, "offer_id").select("way", "offer_id"))
     stays = events.join(long.select("offer_id"), "offer_id", "left_semi")
-    changes = stays.join(cited, "offer_id").groupBy(*by, "key", "k").agg(F.sum("step").alias("count"), F.sum(F.col("step") * F.col("wished")).alias("bonus"))
+    moved = cited.join(broadcast_if_small(way)[0], "way").select("key", "count", "bonus", F.explode("stays").alias("e"))
+    changes = moved.groupBy(*[F.col(f"e.{c}").alias(c) for c in by], "key", F.col("e.k").alias("k")).agg(F.sum(F.col("e.step") * F.col("count")).alias("count"), F.sum(F.col("e.step") * F.col("bonus")).alias("bonus"))
     counted = running(changes, [*by, "key"], ["count", "bonus"], days)
     sizes = running(stays.groupBy(*by, "k").agg(F.sum("step").alias("read")), by, ["read"], days)
     return weighed(counted, sizes, groups, [*by, "day"], guard)

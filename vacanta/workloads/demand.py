@@ -47,7 +47,7 @@ parts AS (SELECT offer_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTE
 
 
 def parts(df):
-    return once(df, r=N.split_requirements(F.col("text"), bonus=WISH, section_words=HEAD, plus=WISH)).withColumns({"required": F.col("r.required"), "bonus_text": F.col("r.bonus")}).drop("r")
+    return df.withColumn("r", N.split_requirements(F.col("text"), bonus=WISH, section_words=HEAD, plus=WISH)).withColumns({"required": F.col("r.required"), "bonus_text": F.col("r.bonus")}).drop("r")
 
 
 @query("active_offers", f"WITH {OFFERS}, {DEDUPED} SELECT offer_id, source FROM active")
@@ -261,7 +261,8 @@ SELECT key, count(*) AS count, count(*) FILTER (WHERE wished) AS bonus FROM hits
 @query("skill_demand_bonus", _BONUS)
 def skill_demand_bonus(spark, sf):
     o = with_skills(offers(spark, sf))
-    base = parts(D.dedup_texts(X.active_at(o, ntz(NOW))))
+    # Read for the ids, the phrases and the number of texts.
+    base = parts(settle(D.dedup_texts(X.active_at(offers(spark, sf), ntz(NOW))).select("offer_id", "text")))
     return SK.skill_demand(base, SK.skill_groups(vocabulary(o)), required="required", bonus="bonus_text", guard=False).select("key", "count", "bonus")
 
 
@@ -273,7 +274,11 @@ def skill_demand_bonus(spark, sf):
 )
 def wishes(spark, sf):
     """Skills an offer lists that only its bonus lines name."""
-    p = parts(with_skills(offers(spark, sf))).withColumns({"r": F.concat(F.lit(" "), skill_key(F.col("required")), F.lit(" ")), "b": F.concat(F.lit(" "), skill_key(F.col("bonus_text")), F.lit(" "))})
+    # Offers without bonus lines wish for nothing: they leave before their names become rows.
+    split = N.split_requirements(F.col("text"), bonus=WISH, section_words=HEAD, plus=WISH)
+    p = once(offers(spark, sf).select("offer_id", "title", "text"), s=split).filter("s.bonus <> ''").select("offer_id", "title", F.col("s.required").alias("required"), F.col("s.bonus").alias("bonus_text"))
+    keyed = lambda c: F.concat(F.lit(" "), skill_key(F.col(c)), F.lit(" "))
+    p = once(with_skills(p), r=keyed("required"), b=keyed("bonus_text"))
     names = p.select("offer_id", "r", "b", F.explode(F.array_distinct(F.transform("skills", lambda s: s["name"]))).alias("name"))
     word = F.concat(F.lit(" "), skill_key(F.col("name")), F.lit(" "))
     return names.filter(F.contains("b", word) & ~F.contains("r", word)).groupBy("offer_id").agg(F.count("*").alias("n"))
@@ -341,7 +346,8 @@ def present_missing(spark, sf):
 )
 def top_skills_present(spark, sf):
     """The twelve skills asked most, present in each CV or missing from it."""
-    top = _demand(spark, sf)[1].orderBy(F.desc("count"), "key").limit(12).select("key")
+    # Read for the keys and for their forms: the market is counted once.
+    top = settle(_demand(spark, sf)[1].orderBy(F.desc("count"), "key").limit(12).select("key"))
     listed = top.agg(F.array_sort(F.collect_list("key")).alias("keys"))
     found = SK.citing(cvs(spark, sf), settle(SK.forms_of(top)), "cv_id").groupBy("cv_id").agg(F.count("*").alias("present"))
     size = F.size(listed.select("keys").scalar())
@@ -387,11 +393,11 @@ def frozen_card(spark, sf):
     SELECT key, kept.count - before.count AS change FROM kept JOIN before USING (key) WHERE kept.count - before.count >= 3""")
 def skill_trend(spark, sf):
     """Skills that moved by three offers or more since the first of the month."""
-    o = with_skills(offers(spark, sf))
-    groups = settle(SK.skill_groups(vocabulary(o)))
-    base = D.dedup_texts(X.active_at(o, ntz(NOW)))
+    o = offers(spark, sf)
+    groups = settle(SK.skill_groups(vocabulary(with_skills(o))))
+    base = settle(D.dedup_texts(X.active_at(o, ntz(NOW))).select("offer_id", "text", "posted_at"))
     now_ = SK.skill_demand(base, groups)
-    hits = SK.citing(base.filter(F.col("posted_at") <= ntz("2024-03-01")), SK.forms_of(groups), "offer_id").groupBy("key").agg(F.count("*").alias("count"))
+    hits = SK.cited_counts(base.filter(F.col("posted_at") <= ntz("2024-03-01")), groups, [], "offer_id").select("key", "count")
     moved = M.trend(now_.select("key", "count", F.col("count").alias("share")), hits.withColumn("share", F.col("count")), ["key"])
     return moved.filter("change > 0").select("key", "change")
 
