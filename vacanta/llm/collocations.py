@@ -8,7 +8,8 @@ r"""Phrase collocations by prefix-free parsing: n-grams are counted inside disti
 3. One pass over the dictionary adds up words and pairs of words as 64-bit hashes, a second one longer n-grams
    whose pairs are all frequent (a phrase is never more frequent than a part of it). A bit map of fixed size holds
    the frequent pairs; one n-gram too many in it costs a row, never a result.
-4. A last pass spells the frequent phrases out. Cuts, scores and the test against longer phrases are equality joins.
+4. A last pass spells the frequent phrases out. Every chunk has one of 256 places, set by its words, and counts carry the
+   smallest place an n-gram is found at: a phrase is spelled from chunks of that place only. Cuts, scores and the test against longer phrases are equality joins.
 
 Texts are never shuffled as rows of words, and only chunks and counts travel.
 """
@@ -42,6 +43,8 @@ _CUTS = np.zeros(256, bool)
 _CUTS[[*range(0x0A, 0x0E), *b".,;:!?"]] = True
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09]] = True
+# Chunks are dealt to so many places, as a power of two.
+PLACES = 8
 # N-grams added up in a worker before they are handed on.
 _HELD = 2_000_000
 _ORDER = 0x9FB21C651E98DF25
@@ -102,6 +105,8 @@ class _Chunks:
         self.lang, self.names = names.indices.to_numpy()[owner], names.dictionary.to_pylist()
         self.salt = salts[self.lang] if len(owner) else np.zeros(0, np.uint64)
         self.ends = limits[1:][owner]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes, dtype=np.uint64)])
+        self.at = (mix(sums[self.first[1:]] - sums[self.first[:-1]]) >> np.uint64(64 - PLACES))[owner]
 
     def keys(self, k: int, at: np.ndarray) -> np.ndarray:
         """Keys of the n-grams of `k` words that begin at the words `at`."""
@@ -123,42 +128,48 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunks]:
                 yield _Chunks(batch, row, limits, text)
 
 
-def _sums(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Keys with their summed weights, `_HELD` occurrences at a time."""
+def _sums(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Keys with their summed weights and smallest places, `_HELD` occurrences at a time.
 
-    def added(keys: list, times: list) -> pa.RecordBatch:
-        key, weight = np.concatenate(keys), np.concatenate(times)
+    The place is in the lowest bits of `seen`, the weight above: one number takes less of a shuffle file than two.
+    """
+
+    def added(keys: list, times: list, places: list) -> pa.RecordBatch:
+        key, weight, place = np.concatenate(keys), np.concatenate(times), np.concatenate(places)
         order = np.argsort(key)
-        key, weight = key[order], weight[order]
+        key, weight, place = key[order], weight[order], place[order]
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        return pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(np.add.reduceat(weight, new))], names=["key", "times"])
+        seen = (np.add.reduceat(weight, new) << PLACES) | np.minimum.reduceat(place, new).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(seen)], names=["key", "seen"])
 
-    keys, times, held = [], [], 0
-    for key, weight in parts:
+    keys, times, places, held = [], [], [], 0
+    for key, weight, place in parts:
         if len(key):
             keys.append(key)
             times.append(weight)
+            places.append(place)
             held += len(key)
         if held >= _HELD:
-            yield added(keys, times)
-            keys, times, held = [], [], 0
+            yield added(keys, times, places)
+            keys, times, places, held = [], [], [], 0
     if held:
-        yield added(keys, times)
+        yield added(keys, times, places)
 
 
 def _frequent(rows: DataFrame, words: int, least: int) -> DataFrame:
-    """Keys counted `least` times or more. Most keys are rare, so rows are dealt by key before they are added up."""
+    """`(key, a, at)` of keys counted `least` times or more. Most keys are rare, so rows are dealt by key before they are added up."""
     tasks = max(8, -(-words // TASK_ROWS))
-    return settle(rows.repartition(tasks, "key").groupBy("key").agg(F.sum("times").alias("a")).where(F.col("a") >= least))
+    times, place = F.shiftright("seen", PLACES), F.col("seen").bitwiseAND(F.lit(2**PLACES - 1))
+    return settle(rows.repartition(tasks, "key").groupBy("key").agg(F.sum(times).alias("a"), F.min(place).alias("at")).where(F.col("a") >= least))
 
 
 def counted(book: DataFrame, words: int, longest: int, least: int) -> DataFrame:
-    """`(key, a)` of every n-gram of up to `longest` words that occurs `least` times or more; `words` is their number."""
+    """`(key, a, at)` of every n-gram of up to `longest` words that occurs `least` times or more, `at` its smallest place; `words` is their number."""
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _sums((c.keys(k, at), c.times[at]) for c in _read(batches) for k in (1, 2) for at in [c.starting(k)])
+        yield from _sums((c.keys(k, at), c.times[at], c.at[at]) for c in _read(batches) for k in (1, 2) for at in [c.starting(k)])
 
-    few = _frequent(book.mapInArrow(short, "key long, times long"), words, least)
+    few = _frequent(book.mapInArrow(short, "key long, seen long"), words, least)
     if longest < 3:
         return few
     pairs = book.sparkSession.sparkContext.broadcast(bit_map(few, F.col("key")))
@@ -173,19 +184,21 @@ def counted(book: DataFrame, words: int, longest: int, least: int) -> DataFrame:
                 for k in range(3, longest + 1):
                     going = going & whole[k - 2 : k - 2 + len(c.starts)]
                     at = np.flatnonzero(going & c.own & (c.left >= k))
-                    yield c.keys(k, at), c.times[at]
+                    yield c.keys(k, at), c.times[at], c.at[at]
 
         yield from _sums(parts())
 
-    return few.union(_frequent(book.mapInArrow(longer, "key long, times long"), words // 4, least))
+    return few.union(_frequent(book.mapInArrow(longer, "key long, seen long"), words // 4, least))
 
 
-def spelled(book: DataFrame, frequent: DataFrame, longest: int) -> DataFrame:
-    """`(key, lang, phrase, lefts, rights, insides, a)` of the frequent phrases of 2 words or more.
+def spellings(book: DataFrame, frequent: DataFrame, longest: int) -> DataFrame:
+    """`(key, lang, phrase, lefts, rights, insides)` of the frequent phrases of 2 words or more, and a few others.
 
-    `lefts` and `rights` are the keys of both sides of every cut, `insides` those of the phrases of 2 words or more inside.
+    A phrase is spelled where a chunk of its smallest place holds it: once in most cases, however many tasks meet it.
     """
-    shared = book.sparkSession.sparkContext.broadcast(bit_map(frequent, F.col("key")))
+    spark = book.sparkSession.sparkContext
+    shared = spark.broadcast(bit_map(frequent, F.col("key")))
+    placed = spark.broadcast(bit_map(frequent, F.col("key").bitwiseXOR(F.shiftleft("at", 64 - PLACES))))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -194,6 +207,7 @@ def spelled(book: DataFrame, frequent: DataFrame, longest: int) -> DataFrame:
                 at = c.starting(k)
                 keys = c.keys(k, at)
                 there = np.flatnonzero(marked(shared.value, keys))
+                there = there[marked(placed.value, keys[there] ^ (c.at[at[there]] << np.uint64(64 - PLACES)))]
                 keys, which = np.unique(keys[there], return_index=True)
                 new = np.array([x not in seen for x in keys.tolist()], bool)
                 keys, at = keys[new], at[there][which[new]]
@@ -214,9 +228,17 @@ def spelled(book: DataFrame, frequent: DataFrame, longest: int) -> DataFrame:
                     names=["key", "lang", "phrase", "lefts", "rights", "insides"],
                 )
 
-    found = book.mapInArrow(spell, "key long, lang string, phrase string, lefts array<long>, rights array<long>, insides array<long>")
+    return book.mapInArrow(spell, "key long, lang string, phrase string, lefts array<long>, rights array<long>, insides array<long>")
+
+
+def spelled(book: DataFrame, frequent: DataFrame, longest: int) -> DataFrame:
+    """`(key, lang, phrase, lefts, rights, insides, a)` of the frequent phrases of 2 words or more.
+
+    `lefts` and `rights` are the keys of both sides of every cut, `insides` those of the phrases of 2 words or more inside.
+    """
+    found = spellings(book, frequent, longest)
     one = found.groupBy("key").agg(F.min(F.struct("lang", "phrase", "lefts", "rights", "insides")).alias("p")).select("key", "p.*")
-    return settle(one.join(frequent, "key"))
+    return settle(one.join(frequent.select("key", "a"), "key"))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, covered: int = COVERED, top: int = TOP) -> DataFrame:
