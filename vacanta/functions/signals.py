@@ -7,22 +7,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vacanta.columns import contexts, first_rule, fixed_map, group, half_up, hears, let, pieces, says, tail
+from vacanta.columns import any_of, contexts, first_rule, fixed_map, group, half_up, hears, let, pieces, says, tail
 from vacanta.functions.text import rule_text
 from vacanta.rules import signals as R
 
 
+def _may(c: Column, pattern: str) -> Column:
+    """Whether `c` holds a word the pattern needs: texts without one are not searched for it."""
+    held = lambda n: F.contains(c, F.lit(n)) if isinstance(n, str) else F.contains(c, F.lit(n[0])) & hears(c, n[1])
+    return any_of([held(n) for n in R.NEEDS[pattern]])
+
+
+def _heard(c: Column, pattern: str) -> Column:
+    return _may(c, pattern) & hears(c, pattern)
+
+
 def contract_in(title: Column, explicit: Column, text: Column) -> Column:
     """Contract of a posting from its folded title, its folded structured field and its folded text."""
     loud = [(p, c) for p, c in R.CONTRACT_WORDS if c != "cdi"]
-    stated = F.coalesce(*[group(text, p) for p in R.CONTRACT_STATED])
+    stated = F.coalesce(*[F.when(_may(text, p), group(text, p)) for p in R.CONTRACT_STATED])
     named = fixed_map(R.CONTRACT_STATED_WORDS)
     return F.coalesce(
         first_rule(title, loud, test=hears),
         first_rule(F.coalesce(explicit, F.lit("")), R.CONTRACT_WORDS, test=hears),
         first_rule(title, R.CONTRACT_WORDS, test=hears),
         F.when(stated.isNotNull(), F.coalesce(F.try_element_at(named, F.regexp_replace(stated, "[- ]", "")), F.lit("unknown"))),
-        first_rule(text, R.CONTRACT_PROSE, test=hears),
+        first_rule(text, R.CONTRACT_PROSE, test=_heard),
         F.lit("unknown"),
     )
 
@@ -34,7 +44,7 @@ def detect_contract(title: Column, explicit: Column | None = None, text: Column
 
 def remote_in(text: Column) -> Column:
     n = F.translate(text, "\u00a0\u202f", "  ")
-    return F.when(hears(n, R.REMOTE_FULL), "remote").when(hears(n, R.REMOTE_DENIED), F.lit(None)).when(hears(n, R.REMOTE_SOME), "hybrid")
+    return F.when(_heard(n, R.REMOTE_FULL), "remote").when(_heard(n, R.REMOTE_DENIED), F.lit(None)).when(_heard(n, R.REMOTE_SOME), "hybrid")
 
 
 def detect_remote(text: Column) -> Column:
@@ -86,7 +96,7 @@ def detect_experience(text: Column) -> Column:
 
 
 def level_in(text: Column) -> Column:
-    return F.when(hears(text, R.JUNIOR_TEXT), "junior").when(hears(text, R.EXPERIENCED_TEXT), "experienced")
+    return F.when(_heard(text, R.JUNIOR_TEXT), "junior").when(_heard(text, R.EXPERIENCED_TEXT), "experienced")
 
 
 def detect_experience_level(text: Column) -> Column:

@@ -131,3 +131,21 @@ INTERMEDIARY = (
     r"|michael page|robert half|nexton"
 )
 ANONYMOUS = r"(?iu)non communiqu|confidenti|anonyme"
+
+# Words without which a long pattern over whole texts cannot match: one of them is needed, of a pair its word and its pattern.
+NEEDS = {
+    CONTRACT_STATED[0]: ("contrat",),
+    CONTRACT_STATED[1]: ("en cdi", "en cdd", "en stage", "en alternance"),
+    CONTRACT_STATED[2]: ("employment type",),
+    CONTRACT_PROSE[0][0]: (" stage", "stage de fin d'etudes"),
+    CONTRACT_PROSE[1][0]: ("cdi", "contrat a duree indeterminee"),
+    CONTRACT_PROSE[2][0]: ("cdd", "contrat a duree determinee", "fixed"),
+    CONTRACT_PROSE[3][0]: ("stage", "internship"),
+    CONTRACT_PROSE[4][0]: ("contrat d", "alternance "),
+    CONTRACT_PROSE[5][0]: ("freelance",),
+    REMOTE_FULL: ("remote", "teletravail"),
+    REMOTE_DENIED: ("remote", "teletravail", "home office", "fully on", "presentiel", "sur site"),
+    REMOTE_SOME: ("remote", "teletravail", "home office", "hybrid", ("tt", r"(?:jours?|days?)\s*(?:de |of |en )?tt\b")),
+    JUNIOR_TEXT: ("junior", "experi", "diplome", "debutant", "ecole", "entry", "grad", "early"),
+    EXPERIENCED_TEXT: ("experi", "profil", "track record", "seasoned"),
+}
