@@ -4,7 +4,8 @@ A text is cut before every space; where no space is followed by white space, the
 there, so the tokens of a text are those of its pieces in a row. A piece that no tier holds is cut
 by the pre-tokeniser's own pattern and its parts are looked up or encoded by the library. Texts where the
 shortcut could differ go to the library whole: those that hold an added token's string, or a code point whose
-class differs between the Unicode tables of the two pattern libraries. Nothing is shuffled.
+class differs between the Unicode tables of the two pattern libraries. Pieces that many texts miss are cut in one call.
+Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -24,28 +25,42 @@ UNSETTLED = re.compile("[՘֋֌࢏౜೜₏₝-₟꟎-꟱꭬꭭\U00010000-\U0001
 SPACES = re.compile(r" \s").search
 # Pieces and parts a worker keeps beside the broadcast tier before it starts anew (about 120 MB).
 CACHE_PIECES, CACHE_PARTS = 600_000, 400_000
+# Pieces no tier holds that are cut and encoded together, about.
+TOGETHER = 20_000
 
 
 class Tier(dict):
-    """piece -> value; computes what is missing and forgets all but the frequent tier when full."""
+    """key -> value; computes what is missing, many keys at a time, and forgets all but the frequent tier when full."""
 
-    def __init__(self, compute: Callable[[str], object], frequent: dict | None = None, limit: int = CACHE_PARTS):
+    def __init__(self, compute: Callable[[list[str]], list], frequent: dict | None = None, limit: int = CACHE_PARTS):
         super().__init__(frequent or {})
         self.compute, self.frequent, self.limit = compute, frequent or {}, limit + len(frequent or {})
 
-    def __missing__(self, key: str):
-        value = self.compute(key)
-        if len(self) >= self.limit:
+    def learnt(self, keys: Iterable[str]) -> dict:
+        """The values of `keys`, none of which is held."""
+        keys = list(dict.fromkeys(keys))
+        new = dict(zip(keys, self.compute(keys), strict=True))
+        if len(self) + len(new) > self.limit:
             self.clear()
             self.update(self.frequent)
-        self[key] = value
-        return value
+        self.update(new)
+        return new
+
+    def all(self, keys: list[str]) -> list:
+        """The values of `keys` in their order."""
+        values = [*map(self.get, keys)]
+        if None in values:
+            gaps = [i for i, v in enumerate(values) if v is None]
+            new = self.learnt(keys[i] for i in gaps)
+            for i in gaps:
+                values[i] = new[keys[i]]
+        return values
 
 
 class PieceCoder:
-    """Value of whole texts, put together from the values of their pieces.
+    """Values of whole texts, put together from the values of their pieces.
 
-    `encode(part)` gives the value of one pre-token, `whole(text)` that of a text the shortcut does not fit,
+    `encode(parts)` gives the values of pre-tokens, `whole(text)` that of a text the shortcut does not fit,
     `join(values)` that of pieces in a row. `specials` are strings the library treats as added tokens.
     """
 
@@ -53,21 +68,59 @@ class PieceCoder:
         self.find = regex.compile(PATTERN).findall
         self.join, self.whole, self.specials = join, whole, tuple(specials)
         self.parts = Tier(encode, limit=CACHE_PARTS)
-        self.pieces = Tier(lambda piece: self.spelled(" " + piece), frequent, CACHE_PIECES)
+        self.pieces = Tier(self.several, frequent, CACHE_PIECES)
 
     def spelled(self, text: str):
-        return self.join(map(self.parts.__getitem__, self.find(text)))
+        return self.join(self.parts.all(self.find(text)))
+
+    def several(self, pieces: list[str]) -> list:
+        """Values of different pieces, a space before each. No piece begins with white space, so they are cut as one text."""
+        full = [p for p in pieces if p]
+        found = self.find(" " + " ".join(full)) if full else []
+        values = self.parts.all(found)
+        # Pieces hold no space: a part that begins with one begins a piece.
+        bounds = [*[i for i, part in enumerate(found) if part[0] == " "], len(found)]
+        new = {p: self.join(values[a:b]) for p, a, b in zip(full, bounds[:-1], bounds[1:], strict=True)}
+        return [new[p] if p else self.spelled(" ") for p in pieces]
+
+    def all(self, texts: list[str | None]) -> list:
+        """The values of `texts` in their order."""
+        out: list = [None] * len(texts)
+        waiting, missing = [], 0
+
+        def fill() -> None:
+            new = self.pieces.learnt(p for *_, lacks in waiting for p in lacks)
+            for i, values, gaps, lacks in waiting:
+                for gap, piece in zip(gaps, lacks, strict=True):
+                    values[gap] = new[piece]
+                out[i] = self.join(values)
+            waiting.clear()
+
+        for i, text in enumerate(texts):
+            if not text:
+                out[i] = self.join(())
+            elif (not text.isascii() and UNSETTLED.search(text)) or any(s in text for s in self.specials):
+                out[i] = self.whole(text)
+            elif SPACES(text):
+                out[i] = self.spelled(text)
+            else:
+                pieces = text.split(" ")
+                values = [*map(self.pieces.get, pieces)]
+                values[0] = self.spelled(pieces[0])
+                if None not in values:
+                    out[i] = self.join(values)
+                    continue
+                gaps = [k for k, v in enumerate(values) if v is None]
+                waiting.append((i, values, gaps, [pieces[k] for k in gaps]))
+                missing += len(gaps)
+                if missing >= TOGETHER:
+                    fill()
+                    missing = 0
+        fill()
+        return out
 
     def of(self, text: str | None):
-        if not text:
-            return self.join(())
-        if (not text.isascii() and UNSETTLED.search(text)) or any(s in text for s in self.specials):
-            return self.whole(text)
-        if SPACES(text):
-            return self.spelled(text)
-        pieces = text.split(" ")
-        first = self.spelled(pieces[0])
-        return self.join((first, *map(self.pieces.__getitem__, pieces[1:]))) if len(pieces) > 1 else first
+        return self.all([text])[0]
 
 
 def frequent_pieces(texts: Iterable[str | None], size: int) -> list[str]:
@@ -122,4 +175,5 @@ class Library:
 
     def part(self, part: str) -> list:
         """Tokens of one pre-token."""
-        return self.model.tokenize(part.encode().decode("latin-1").translate(BYTE_LETTERS))
+        plain = part.isascii() and part.isprintable()
+        return self.model.tokenize(part.replace(" ", BYTE_LETTERS[0x20]) if plain else part.encode().decode("latin-1").translate(BYTE_LETTERS))

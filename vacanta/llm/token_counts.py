@@ -23,7 +23,7 @@ def counter(path: str, frequent: dict[str, int] | None = None):
     whole = lambda text: len(library.ids(text))
     if not library.plain:
         return lambda text: whole(text or "")
-    return PieceCoder(lambda part: len(library.part(part)), whole, sum, frequent, library.specials).of
+    return PieceCoder(lambda parts: [len(library.part(p)) for p in parts], whole, sum, frequent, library.specials).of
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:

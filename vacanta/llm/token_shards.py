@@ -15,6 +15,7 @@ Record, little endian: doc_id int64 (smallest value: null), part int32, number o
 from __future__ import annotations
 
 import hashlib
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -34,16 +35,19 @@ ROUNDS = 6
 READERS = 4_096
 
 def _coder(path: str, width: str) -> tuple:
+    """A function texts -> their ids as bytes, and the type of an id."""
     library, kind = Library(path), np.dtype(width)
+    letter = "H" if kind.itemsize == 2 else "I"
 
-    def packed(ids) -> bytes:
-        return np.array(ids, kind).tobytes()
+    def packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{letter}", *ids)
 
     def whole(text):
         return packed(library.ids(text or ""))
 
-    of = PieceCoder(lambda part: packed([t.id for t in library.part(part)]), whole, b"".join, None, library.specials).of if library.plain else whole
-    return of, kind
+    if not library.plain:
+        return lambda texts: [*map(whole, texts)], kind
+    return PieceCoder(lambda parts: [packed([t.id for t in library.part(p)]) for p in parts], whole, b"".join, None, library.specials).all, kind
 
 
 def _mixed(x: np.ndarray, key: np.uint64) -> np.ndarray:
@@ -81,8 +85,8 @@ def token_sequences(docs: DataFrame, path: str, length: int, end: int, width: st
             for start in range(0, batch.num_rows, 256):
                 rows = batch.slice(start, 256)
                 ids, parts, counts, pieces = [], [], [], []
-                for doc, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                    tokens = of(text) + stop
+                for doc, tokens in zip(rows.column(0).to_pylist(), of(rows.column(1).to_pylist()), strict=True):
+                    tokens += stop
                     for part, at in enumerate(range(0, len(tokens), stride)):
                         piece = tokens[at : at + stride]
                         ids.append(doc)
