@@ -70,6 +70,10 @@ class PieceCoder:
         self.parts = Tier(encode, limit=CACHE_PARTS)
         self.pieces = Tier(self.several, frequent, CACHE_PIECES)
 
+    def unfit(self, text: str) -> bool:
+        """Whether the shortcut could differ from the library."""
+        return bool(not text.isascii() and UNSETTLED.search(text)) or any(s in text for s in self.specials)
+
     def spelled(self, text: str):
         return self.join(self.parts.all(self.find(text)))
 
@@ -99,7 +103,7 @@ class PieceCoder:
         for i, text in enumerate(texts):
             if not text:
                 out[i] = self.join(())
-            elif (not text.isascii() and UNSETTLED.search(text)) or any(s in text for s in self.specials):
+            elif self.unfit(text):
                 out[i] = self.whole(text)
             elif SPACES(text):
                 out[i] = self.spelled(text)
@@ -150,7 +154,7 @@ class Library:
     """
 
     def __init__(self, path: str):
-        self.plain, self.specials, self.size = False, (), 0
+        self.plain, self.specials, self.size, self.merges = False, (), 0, []
         if path.endswith(".model"):
             import sentencepiece
 
@@ -171,7 +175,18 @@ class Library:
         pre, kind = config.get("pre_tokenizer") or {}, config["model"]
         self.specials = tuple(t["content"] for t in config.get("added_tokens") or [])
         self.plain = config.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and bool(pre.get("use_regex", True)) and kind.get("type") == "BPE" and not kind.get("dropout")
+        self.byte_ids = [kind["vocab"].get(BYTE_LETTERS[b], -1) for b in range(256)] if self.plain else []
         self.model = tokenizer.model
+        self.merges = self._merges(kind) if self.plain else []
+
+    @staticmethod
+    def _merges(kind: dict) -> list[tuple[int, int, int]]:
+        """`(left, right, both)` ids in the order of the merges; empty, if more than merges of bytes decides."""
+        vocab = kind["vocab"]
+        if kind.get("continuing_subword_prefix") or kind.get("end_of_word_suffix") or kind.get("ignore_merges") or not all(x in vocab for x in BYTE_LETTERS.values()):
+            return []
+        pairs = (m.split(" ") if isinstance(m, str) else m for m in kind["merges"])
+        return [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
 
     def part(self, part: str) -> list:
         """Tokens of one pre-token."""

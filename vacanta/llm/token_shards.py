@@ -15,16 +15,17 @@ Record, little endian: doc_id int64 (smallest value: null), part int32, number o
 from __future__ import annotations
 
 import hashlib
-import struct
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from vacanta.llm.files import open_file, shared_folder
-from vacanta.llm.pretokens import Library, PieceCoder
+from vacanta.llm.piece_stream import PieceStream
+from vacanta.llm.pretokens import Library
 from vacanta.llm.worker import held
 from vacanta.session import settle
 
@@ -33,21 +34,16 @@ HEADER = 16
 ROUNDS = 6
 # Tasks that read shards back, at most.
 READERS = 4_096
+# Bytes of text whose pieces are looked up together, about.
+TOGETHER_BYTES = 8_000_000
+
 
 def _coder(path: str, width: str) -> tuple:
     """A function texts -> their ids as bytes, and the type of an id."""
     library, kind = Library(path), np.dtype(width)
-    letter = "H" if kind.itemsize == 2 else "I"
-
-    def packed(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{letter}", *ids)
-
-    def whole(text):
-        return packed(library.ids(text or ""))
-
     if not library.plain:
-        return lambda texts: [*map(whole, texts)], kind
-    return PieceCoder(lambda parts: [packed([t.id for t in library.part(p)]) for p in parts], whole, b"".join, None, library.specials).all, kind
+        return lambda texts: [np.array(library.ids(text or ""), kind).tobytes() for text in texts], kind
+    return PieceStream(library, kind).all, kind
 
 
 def _mixed(x: np.ndarray, key: np.uint64) -> np.ndarray:
@@ -81,11 +77,11 @@ def token_sequences(docs: DataFrame, path: str, length: int, end: int, width: st
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, kind = held(("ids", path, width), lambda: _coder(path, width))
         stop, stride = np.array([end], kind).tobytes(), length * kind.itemsize
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                rows = batch.slice(start, 256)
+        for rows in _by_bytes(batches):
+            docs, tokens_of = rows.column(0).to_pylist(), of(rows.column(1).to_pylist())
+            for start in range(0, len(docs), 256):
                 ids, parts, counts, pieces = [], [], [], []
-                for doc, tokens in zip(rows.column(0).to_pylist(), of(rows.column(1).to_pylist()), strict=True):
+                for doc, tokens in zip(docs[start : start + 256], tokens_of[start : start + 256], strict=True):
                     tokens += stop
                     for part, at in enumerate(range(0, len(tokens), stride)):
                         piece = tokens[at : at + stride]
@@ -98,6 +94,15 @@ def token_sequences(docs: DataFrame, path: str, length: int, end: int, width: st
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, part int, n int, ids binary")
 
 
+def _by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in stretches of about `TOGETHER_BYTES` of text, one row at least."""
+    for batch in batches:
+        through = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), dtype=np.int64) // TOGETHER_BYTES
+        bounds = [*np.flatnonzero(np.diff(through, prepend=-1)).tolist(), batch.num_rows]
+        for start, end in zip(bounds[:-1], bounds[1:], strict=True):
+            yield batch.slice(start, end - start)
+
+
 def write_shards(docs: DataFrame, path: str, length: int = 256, end: int | None = None, key: int = 20_260, per_shard: int = 16_384, waves: int = 4) -> tuple[DataFrame, dict]:
     """Writes the shards of `docs(doc_id, text, ...)`; returns the manifest `(shard, file, records)` and the format.
 
@@ -128,6 +133,8 @@ def write_shards(docs: DataFrame, path: str, length: int = 256, end: int | None
 
         return pd.Series(slots(number.to_numpy(np.int64), n, key))
 
+    # Slots are fixed; marked so that a filter on them does not compute them a second time.
+    slot_of = slot_of.asNondeterministic()
     numbered = stored.withColumn("p", partition).join(F.broadcast(before), "p").withColumn("slot", slot_of(F.col("base") + F.col("at").bitwiseAND(F.lit(2**33 - 1))))
     folder = shared_folder(spark, "shards")
     shards = -(-n // per_shard)
